@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pfor
-from .common import table
+from . import chat, exact, langid, minhash, mixing, packing, pfor
+from .common import scratch, table
 
 WORD_TOKENS = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
@@ -18,13 +20,54 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_shards(pfor.write_shards(table(spark, sf_dir, "documents"), WORD_TOKENS, END_ID))
 
 
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex[:12]}", scratch(spark, "op2-index"), _partitions(spark))
+    return index.ingest(table(spark, sf_dir, "documents"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Weights by the order of the sources, the words wanted as a share of all, and the most times a source is taken.
+MIX = ((3.0, 1.0, 2.0), 1.5, 2.0)
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.draw(table(spark, sf_dir, "documents"), *MIX)
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.fit(docs.filter(langid.training(F.col("doc_id"))))
+    told = langid.identify(docs.select("doc_id", "text"), learned)
+    return told.select("doc_id", (~langid.training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_windows(table(spark, sf_dir, "documents"), WORD_TOKENS, END_ID, 4096)
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_chats(chat.format_chats(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_mix": op5_mix,
+    "op7_language": op7_language,
     "op8_pack": op8_pack,
+    "op10_chat": op10_chat,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_exact_dedup": exact.SQL, "op5_mix": mixing.SQL}
