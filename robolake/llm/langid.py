@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: The bounds of the sample: so many texts of each language at most, so many characters of each.
-SAMPLE, CHARS = 200, 1000
+#: The bounds of the sample: so many texts of each language at most, so many characters of each, and of all of a language together,
+#: as the compressor finds less in longer dictionaries.
+SAMPLE, CHARS, DICTIONARY = 200, 2000, 200_000
 #: The most frequent so many labels are learned, of those with LEAST labelled texts or more.
 LANGUAGES, LEAST = 200, 5
-BLOCK = 2048
+BLOCK = 512
 LEVEL = 3
 #: Below this score the two best languages are taken for equally good.
 MARGIN = 0.002
@@ -58,7 +59,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     texts: dict[str, list[str]] = {}
     for r in first:
         texts.setdefault(r["lang"], []).append(r["text"])
-    return {lang: " ".join(normalised(pa.array(t)).to_pylist()).encode() for lang, t in texts.items()}
+    return {lang: " ".join(normalised(pa.array([x[: max(1, DICTIONARY // len(t))] for x in t])).to_pylist()).encode() for lang, t in texts.items()}
 
 
 class Compressors:
