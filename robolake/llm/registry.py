@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, minhash, mixing, packing, pfor
+from . import chat, exact, langid, minhash, mixing, packing, pfor, secrets
 from .common import scratch, table
 
 WORD_TOKENS = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.ingest(table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_secrets": op3_secrets,
     "op4_near_dedup": op4_near_dedup,
     "op5_mix": op5_mix,
     "op7_language": op7_language,
