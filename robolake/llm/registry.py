@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, minhash, mixing, packing, pfor, secrets
+from . import chat, exact, langid, minhash, mixing, multiindex, packing, pfor, secrets, viterbi
 from .common import scratch, table
 
 WORD_TOKENS = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+UNIGRAM_PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.count_tokens(table(spark, sf_dir, "documents"), viterbi.vocabulary(UNIGRAM_PIECES))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = langid.fit(docs.filter(langid.training(F.col("doc_id"))))
@@ -57,6 +62,10 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_windows(table(spark, sf_dir, "documents"), WORD_TOKENS, END_ID, 4096)
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -70,8 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_near_dedup": op4_near_dedup,
     "op5_mix": op5_mix,
+    "op6_token_counts": op6_token_counts,
     "op7_language": op7_language,
     "op8_pack": op8_pack,
+    "op9_near_vectors": op9_near_vectors,
     "op10_chat": op10_chat,
 }
 
