@@ -17,6 +17,8 @@ WORD = rf"[^{SPACE}]+"
 ARROW_ROWS = 500
 
 _roots: dict[str, str] = {}
+#: Scratch tables written so far, in order.
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,13 +66,22 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def made() -> int:
+    return len(_made)
+
+
+def drop_made(spark: SparkSession, since: int, upto: int) -> None:
+    """Drop the tables that written() made in between, once nothing reads them any more."""
+    for path in _made[since:upto]:
+        drop_scratch(spark, path)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage and survives the loss of executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
+    _made.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: lookup() treats a key as hot from this share of all rows on; so at most HOT_PARTS keys are hot.
