@@ -1 +1 @@
-"""See the modules."""
+"""Column functions that several operators share."""

@@ -1 +1 @@
-"""See the modules."""
+"""Operators: plain functions from DataFrames to DataFrames."""

@@ -1 +1 @@
-"""See the modules."""
+"""Readers of tables, files and streams, and the shapes that operators take derived from them."""
