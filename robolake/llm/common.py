@@ -99,5 +99,5 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame
     bar = max(2, -(-total // HOT_PARTS))
     hot, cold = right.filter(F.col(count) >= bar), right.filter(F.col(count) < bar)
     a = left.join(F.broadcast(hot), key)
-    b = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
+    b = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return a.unionByName(b)

@@ -1,19 +1,48 @@
-"""Connected components of a table of links, by alternating large and small stars; every round is a written table."""
+"""Connected components of a table of links: by alternating large and small stars, every round a written table, or at most FEW links in one task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lookup, written
 
+#: Up to so many links, 16 MB, one task joins them at once; more are joined by rounds over all tasks.
+FEW = 1_000_000
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one that the links a - b connect it with."""
+    low = np.arange(n)
+    while True:
+        m = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, m)
+        np.minimum.at(new, b, m)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if held:
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(2))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots(len(nodes), at[: len(u)], at[len(u) :])])], ["node", "component"])
+
 
 def _state(links: DataFrame) -> tuple:
     r = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(r)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
     """links (u, v) -> node, component: the smallest node that can be reached, for every node with a link.
 
     Large star: each node hangs its larger neighbours on the smallest of its neighbours and itself. Small star: each
@@ -22,6 +51,8 @@ def components(links: DataFrame) -> DataFrame:
     its smallest neighbour is an aggregate, and the hub is looked up as a hot key.
     """
     now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
+    if now.count() <= few:
+        return written(now.coalesce(1).mapInArrow(_at_once, "node long, component long"), "components")
     before = None
     while (state := _state(now)) != before:
         before = state

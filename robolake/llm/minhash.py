@@ -6,9 +6,9 @@ BANDS bands of ROWS. Two sets of similarity 0.75 share no band with probability
 of 0.8, 1 in 10 million.
 
 Only sets that share a band with another are compared, and never all pairs of a bucket. Documents of equal sets are one
-set first. Then each bucket's sets are compared with its smallest, again with one drawn by hash where a bucket still
-lies in several components, and at last the sets outside a bucket's largest component with the other components'
-sets, but for pairs that the known distances to a common set rule out: 1 - J is a metric.
+set first. Then each bucket's sets are compared with its smallest; where many pairs are left, with some drawn by hash; and at last
+the sets outside a bucket's largest component with the other components' sets, but for pairs that the known distances
+to a common set rule out: 1 - J is a metric.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ PERMUTATIONS, BANDS, ROWS = 100, 40, 5
 PERCENT = 75
 #: Ids of sets to be compared are broadcast up to this number, 8 MB; more of them are joined by a shuffle.
 FEW = 1_000_000
+#: While more than PAIRS pairs for each one known are left, up to DRAWS times each bucket is compared with a drawn member first.
+PAIRS, DRAWS = 20, 3
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -127,7 +129,7 @@ def _near_sizes(a: str, b: str, percent: int):
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) of ids, a < b -> with j, the similarity, and linked; counted on the full sets."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa").cast("long") + F.size("sb") - F.col("common")
     return both.withColumn("common", common).select("a", "b", (F.col("common") / union).alias("j"), (F.col("common") * 100 >= union * percent).alias("linked"))
@@ -137,11 +139,36 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets that lie in several components: their members with component c."""
-    rows = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    open_ = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("in_bucket")).filter("c1 <> c2").select("key", "in_bucket")
-    return written(lookup(written(rows, "op4-labelled"), written(open_, "op4-open"), "key", "in_bucket").drop("in_bucket"), "op4-rest")
+def _linked(known: DataFrame) -> DataFrame:
+    return components(known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _outside(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """The members of buckets that lie in several components, with their component c and the bucket's largest, main; and how many
+    pairs there are of a member outside main and another member."""
+    rows = written(members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "op4-labelled")
+    sizes = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.sum("m").alias("m")).filter("x.m < m")
+    main = written(main.select("key", F.col("x.c").alias("main"), F.col("x.m").alias("main_m"), "m"), "op4-main")
+    cost = main.agg(F.sum(F.expr("(m - main_m) * m"))).first()[0]
+    return lookup(rows, main, "key", "m").drop("m", "main_m"), cost or 0
+
+
+def _last_pairs(mained: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a member outside its bucket's main component and one of another component that may be linked and haven't been compared.
+
+    A member's distance to the pivot is known, or the sizes tell how large it is at least; two members whose distances differ by more than a link's can't be linked.
+    """
+    to_pivot = known.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "j")
+    own = F.col("id") == F.col("pivot")
+    ratio = F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
+    placed = mained.join(to_pivot, ["id", "pivot"], "left").withColumns({"near": F.when(own, 0.0).otherwise(1 - F.col("j")), "far": F.when(own, 0.0).otherwise(F.coalesce(1 - F.col("j"), 1 - ratio))}).drop("j")
+    placed = written(placed, "op4-placed")
+    outside = placed.filter("c <> main").select("key", *[F.col(x).alias(f"{x}1") for x in ("id", "n", "c", "near", "far")])
+    pairs = placed.join(outside, "key").filter("c <> c1 and (c = main or id < id1)").filter(_near_sizes("n", "n1", percent))
+    limit = 1 - percent / 100 + 1e-9
+    pairs = pairs.filter(~F.coalesce((F.col("far1") - F.col("near") > limit) | (F.col("far") - F.col("near1") > limit), F.lit(False)))
+    return pairs.select(*_pair("id", "id1")).distinct().join(known, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
@@ -157,43 +184,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(_signatures(texts, k), "op4-signatures")
     full = rows.filter("n > 0 and id is not null")
-    groups = written(full.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "op4-sets")
-    reps = full.join(groups.select(F.col("rep").alias("id"), "set").hint("merge"), ["id", "set"], "left_semi")
-    banded = written(reps.select("id", "n", F.explode(F.array_distinct("bands")).alias("key")), "op4-bands")
-    buckets = written(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("pivot_n"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "op4-buckets")
+    groups = written(full.groupBy("set").agg(F.min(F.struct("id", "n", "bands")).alias("r"), F.count(F.lit(1)).alias("copies")).select("set", F.col("r.id").alias("rep"), "r.n", "r.bands", "copies"), "op4-sets")
+    banded = written(groups.select(F.col("rep").alias("id"), "n", F.explode(F.array_distinct("bands")).alias("key")), "op4-bands")
+    buckets = written(banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), "m"), "op4-buckets")
     members = written(lookup(banded, buckets, "key", "m").drop("m"), "op4-members")
     ids = written(members.select("id").distinct(), "op4-ids")
     asked = F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
-    sets = written(_sets(texts.join(asked, "id", "left_semi"), k).dropDuplicates(["id"]), "op4-shingles")
+    sets = written(_sets(texts.join(asked, "id", "left_semi"), k), "op4-shingles")
 
     first = members.filter(F.col("id") != F.col("pivot")).filter(_near_sizes("n", "pivot_n", percent)).select(*_pair("id", "pivot")).distinct()
-    known = written(_compare(first, sets, percent), "op4-first")
-    labels = written(components(known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "op4-components")
-
-    rest = _labelled(members, labels)
-    drawn = rest.groupBy("key").agg(F.min_by(F.struct("id", "n", "c"), F.xxhash64("key", "id")).alias("d"), F.count(F.lit(1)).alias("m"))
-    second = lookup(rest, written(drawn, "op4-drawn"), "key", "m").filter("c <> d.c").filter(_near_sizes("n", "d.n", percent)).select(*_pair("id", "d.id")).distinct()
-    more = _compare(second.join(known.hint("merge"), ["a", "b"], "left_anti"), sets, percent)
-    known = written(known.unionByName(more), "op4-second")
-    labels = written(components(known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "op4-components")
-
-    rest = _labelled(members, labels)
-    far = known.select(F.col("a").alias("x"), F.col("b").alias("y"), "j").unionByName(known.select(F.col("b").alias("x"), F.col("a").alias("y"), "j"))
-    # the distance to the bucket's pivot: known, or at least what the sizes allow
-    known_to = rest.join(far.select(F.col("x").alias("id"), F.col("y").alias("pivot"), "j").hint("merge"), ["id", "pivot"], "left")
-    known_to = written(known_to.withColumns({"near": F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(1 - F.col("j")), "least": F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce(1 - F.col("j"), 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")))}), "op4-distances")
-    sizes = known_to.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("m"))
-    mained = written(lookup(known_to, written(main, "op4-main"), "key", "m"), "op4-mained")
-    outside = mained.filter("c <> main").select("key", *[F.col(x).alias(f"{x}1") for x in ("id", "n", "c", "near", "least")])
-    limit = 1 - percent / 100 + 1e-9
-    pairs = mained.hint("merge").join(outside.hint("merge"), "key").filter("c <> c1 and (c = main or id < id1)").filter(_near_sizes("n", "n1", percent))
-    pairs = pairs.filter(~F.coalesce((F.col("least1") - F.col("near") > limit) | (F.col("least") - F.col("near1") > limit), F.lit(False)))
-    third = pairs.select(*_pair("id", "id1")).distinct().join(known.hint("merge"), ["a", "b"], "left_anti")
-    known = written(known.unionByName(_compare(third, sets, percent)), "op4-third")
-    labels = written(components(known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "op4-components")
-
-    settled = groups.join(labels.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").select("set", F.coalesce("component", "rep").alias("component_id"), "copies")
+    known = written(_compare(first, sets, percent), "op4-known")
+    labels = _linked(known)
+    mained, cost = _outside(members, labels)
+    for salt in range(DRAWS):
+        if cost <= PAIRS * max(1, known.count()):
+            break
+        drawn = written(mained.groupBy("key").agg(F.min_by(F.struct("id", "n", "c"), F.xxhash64("key", "id", F.lit(salt))).alias("d"), F.count(F.lit(1)).alias("m")), "op4-drawn")
+        more = lookup(mained, drawn, "key", "m").filter("c <> d.c").filter(_near_sizes("n", "d.n", percent)).select(*_pair("id", "d.id")).distinct()
+        known = written(known.unionByName(_compare(more.join(known, ["a", "b"], "left_anti"), sets, percent)), "op4-known")
+        labels = _linked(known)
+        mained, cost = _outside(members, labels)
+    if cost:
+        known = written(known.unionByName(_compare(_last_pairs(mained, known, percent), sets, percent)), "op4-known")
+        labels = _linked(known)
+
+    settled = groups.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set", F.coalesce("component", "rep").alias("component_id"), "copies")
     linked = lookup(full.select("id", "n", "set"), written(settled, "op4-settled"), "set", "copies").select("id", "n", "component_id")
     alone = rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lookup, small_batches, written
-from .components import components
+from .components import components, roots
 
 #: The sample that the codebooks are learned on.
 SAMPLE = 20_000
@@ -94,20 +94,6 @@ def _vectors(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(-1, width)
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest one that the links a - b connect it with."""
-    low = np.arange(n)
-    while True:
-        m = np.minimum(low[a], low[b])
-        new = low.copy()
-        np.minimum.at(new, a, m)
-        np.minimum.at(new, b, m)
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 FOUND = "u long, v long, n long"
 
 
@@ -183,7 +169,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         met = index.unionByName(visits).select("cell", "i", "q", "asks", "rep", "copies", "v", "home", "visits")
         found = written(met.groupBy("cell", "i", "q").applyInArrow(_meet(threshold, width), FOUND), "op9-found")
         counts = found.filter("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
-        labels = written(components(found.filter("v is not null").select("u", "v")), "op9-components")
+        labels = components(found.filter("v is not null").select("u", "v"))
         told = reps.select("key", "rep", "copies").join(counts.hint("merge"), "rep", "left").join(labels.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
         told = written(told.select("key", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "op9-told")
         alone = lookup(written(fit.select("id", "key"), "op9-rows"), told, "key", "copies").select(F.col("id").alias("vec_id"), "n_links", "component_id").unionByName(alone)
