@@ -6,9 +6,8 @@ BANDS bands of ROWS. Two sets of similarity 0.75 share no band with probability
 of 0.8, 1 in 10 million.
 
 Only sets that share a band with another are compared, and never all pairs of a bucket. Documents of equal sets are one
-set first. Then each bucket's sets are compared with its smallest; where many pairs are left, with some drawn by hash; and at last
-the sets outside a bucket's largest component with the other components' sets, but for pairs that the known distances
-to a common set rule out: 1 - J is a metric.
+set first. Then each bucket's sets are compared with its smallest. Where a bucket still lies in several components, the
+sets outside the largest one are compared with all others that its sets share buckets with, in bounded pairs of blocks that only links leave.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lookup, small_batches, written
-from .components import components
+from .components import components, roots
 from .wordcache import grouped, numbered
 
 SHINGLE = 5
@@ -32,8 +31,8 @@ PERMUTATIONS, BANDS, ROWS = 100, 40, 5
 PERCENT = 75
 #: Ids of sets to be compared are broadcast up to this number, 8 MB; more of them are joined by a shuffle.
 FEW = 1_000_000
-#: While more than PAIRS pairs for each one known are left, up to DRAWS times each bucket is compared with a drawn member first.
-PAIRS, DRAWS = 20, 3
+#: Shingles in a block of a family, about.
+BLOCK = 200_000
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -139,36 +138,59 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _linked(known: DataFrame) -> DataFrame:
-    return components(known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of sets that share buckets: a table (u, v) of a spanning forest for each pair of blocks.
 
-
-def _outside(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
-    """The members of buckets that lie in several components, with their component c and the bucket's largest, main; and how many
-    pairs there are of a member outside main and another member."""
-    rows = written(members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "op4-labelled")
-    sizes = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.sum("m").alias("m")).filter("x.m < m")
-    main = written(main.select("key", F.col("x.c").alias("main"), F.col("x.m").alias("main_m"), "m"), "op4-main")
-    cost = main.agg(F.sum(F.expr("(m - main_m) * m"))).first()[0]
-    return lookup(rows, main, "key", "m").drop("m", "main_m"), cost or 0
-
-
-def _last_pairs(mained: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a member outside its bucket's main component and one of another component that may be linked and haven't been compared.
-
-    A member's distance to the pivot is known, or the sizes tell how large it is at least; two members whose distances differ by more than a link's can't be linked.
+    Sets that share a bucket which lies in several components, directly or by others, form a family. In each, all sets outside its
+    largest component are compared with all of its sets, in pairs of blocks of about BLOCK shingles by hash, one group each.
     """
-    to_pivot = known.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "j")
-    own = F.col("id") == F.col("pivot")
-    ratio = F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-    placed = mained.join(to_pivot, ["id", "pivot"], "left").withColumns({"near": F.when(own, 0.0).otherwise(1 - F.col("j")), "far": F.when(own, 0.0).otherwise(F.coalesce(1 - F.col("j"), 1 - ratio))}).drop("j")
-    placed = written(placed, "op4-placed")
-    outside = placed.filter("c <> main").select("key", *[F.col(x).alias(f"{x}1") for x in ("id", "n", "c", "near", "far")])
-    pairs = placed.join(outside, "key").filter("c <> c1 and (c = main or id < id1)").filter(_near_sizes("n", "n1", percent))
-    limit = 1 - percent / 100 + 1e-9
-    pairs = pairs.filter(~F.coalesce((F.col("far1") - F.col("near") > limit) | (F.col("far") - F.col("near1") > limit), F.lit(False)))
-    return pairs.select(*_pair("id", "id1")).distinct().join(known, ["a", "b"], "left_anti")
+    rows = written(members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "op4-labelled")
+    open_ = written(rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("m")).filter("c1 <> c2").select("key", "m"), "op4-open")
+    mixed_ = written(lookup(rows, open_, "key", "m").select("id", "n", "c", "pivot"), "op4-mixed")
+    families = components(mixed_.select(F.col("id").alias("u"), F.col("pivot").alias("v")).filter("u <> v"))
+    every = mixed_.select("id", "n", "c").distinct().join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id")
+    every = written(every.join(sets, "id"), "op4-families")
+    by_c = every.groupBy("family", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    main = by_c.groupBy("family").agg(F.max(F.struct("m", "c")).alias("x"), F.max_by("n", F.struct("m", "c")).alias("main_n"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1))
+    deal = written(main.select("family", F.col("x.c").alias("main"), "m", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("main_n")).alias("out_blocks")), "op4-deal")
+    placed = lookup(every, deal, "family", "m")
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = placed.filter("c <> main").withColumn("i", spread("out_blocks")).withColumn("j", every_block("all_blocks")).withColumn("asks", F.lit(True))
+    inside = placed.withColumn("j", spread("all_blocks")).withColumn("i", every_block("out_blocks")).withColumn("asks", F.lit(False))
+    met = outside.unionByName(inside).select("family", "i", "j", "asks", "id", "c", "shingles")
+    return written(met.groupBy("family", "i", "j").applyInArrow(_meet(percent), "u long, v long"), "op4-across")
+
+
+def _meet(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        asks, ids, c = np.asarray(t.column("asks")), np.asarray(t.column("id")), np.asarray(t.column("c"))
+        lists = t.column("shingles").combine_chunks()
+        ends = np.asarray(lists.offsets)
+        size = np.diff(ends)
+        distinct, flat = np.unique(np.asarray(lists.values)[ends[0] : ends[-1]], return_inverse=True)
+        ends = ends - ends[0]
+        inside = np.flatnonzero(~asks)
+        codes = np.concatenate([flat[ends[y] : ends[y + 1]] for y in inside]) if len(inside) else flat[:0]
+        starts = np.cumsum(size[inside]) - size[inside]
+        mark = np.zeros(len(distinct), np.int64)
+        a, b = [], []
+        for x in np.flatnonzero(asks) if len(inside) else ():
+            own = flat[ends[x] : ends[x + 1]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[codes], starts)
+            mark[own] = 0
+            hit = inside[(common * 100 >= (size[inside] + size[x] - common) * percent) & (c[inside] != c[x])]
+            a.append(np.full(len(hit), x))
+            b.append(hit)
+        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
+        low = roots(len(ids), a, b)
+        hung = np.flatnonzero(low != np.arange(len(ids)))
+        return pa.table({"u": pa.array(ids[hung], pa.int64()), "v": pa.array(ids[low[hung]], pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
@@ -194,19 +216,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = members.filter(F.col("id") != F.col("pivot")).filter(_near_sizes("n", "pivot_n", percent)).select(*_pair("id", "pivot")).distinct()
     known = written(_compare(first, sets, percent), "op4-known")
-    labels = _linked(known)
-    mained, cost = _outside(members, labels)
-    for salt in range(DRAWS):
-        if cost <= PAIRS * max(1, known.count()):
-            break
-        drawn = written(mained.groupBy("key").agg(F.min_by(F.struct("id", "n", "c"), F.xxhash64("key", "id", F.lit(salt))).alias("d"), F.count(F.lit(1)).alias("m")), "op4-drawn")
-        more = lookup(mained, drawn, "key", "m").filter("c <> d.c").filter(_near_sizes("n", "d.n", percent)).select(*_pair("id", "d.id")).distinct()
-        known = written(known.unionByName(_compare(more.join(known, ["a", "b"], "left_anti"), sets, percent)), "op4-known")
-        labels = _linked(known)
-        mained, cost = _outside(members, labels)
-    if cost:
-        known = written(known.unionByName(_compare(_last_pairs(mained, known, percent), sets, percent)), "op4-known")
-        labels = _linked(known)
+    links = known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = _across(members, components(links), sets, percent)
+    labels = components(links.unionByName(more))
 
     settled = groups.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set", F.coalesce("component", "rep").alias("component_id"), "copies")
     linked = lookup(full.select("id", "n", "set"), written(settled, "op4-settled"), "set", "copies").select("id", "n", "component_id")
