@@ -1,0 +1,154 @@
+"""Secrets, mixing, language and chat formatting against plain versions; queries against SQL; the pipeline."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+from compare import assert_same, connect
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from robolake.llm import chat, langid, mixing, registry, secrets
+
+KINDS = [
+    ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), lambda m: len(m[2]) >= 8),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+]
+
+
+def base_spans(text):
+    return sorted((m.start(), k, m.end()) for k, (_, p, good) in enumerate(KINDS) for m in p.finditer(text or "") if good(m))
+
+
+def test_secrets(spark):
+    rnd = random.Random(1)
+    bits = ["password", "PassWD", "api_key", "ſecret", "token", '"', "'", " ", ":", "=", "abcdefgh1", "short", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é𓀀", "\n", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8", "x"]
+    texts = [None, "", "plain", "password=" + "a" * 50_000] + ["".join(rnd.choice(bits) for _ in range(rnd.randrange(30))) for _ in range(300)]
+    live, copied = "Qw1" + "Er2Ty3" * 6, "Zx9" + "Cv8Bn7" * 6
+    texts += [f"see {live} here", f"key {copied} one", f"key {copied} two", "token=" + live]
+    docs = spark.createDataFrame([(i, t, f"s{i % 2}") for i, t in enumerate(texts)], "doc_id long, text string, source string").selectExpr("*", "1 as row", "2 as n")
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == x for _, k, _ in want) for x in range(3)], t
+        joined = ",".join(f"{KINDS[k][0]}:{a}:{b}" for a, k, b in want)
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [s for s in got[i].spans.split(",") if s and not s.startswith("live")] == (joined.split(",") if joined else [])
+    n = len(texts)
+    assert got[n - 4].spans == f"live:4:{4 + len(live)}" or got[n - 4].spans == ""  # its value is also the last text's, of the other source
+    assert got[n - 3].spans == "" and got[n - 2].spans == ""
+
+
+def test_secrets_owner_specific_is_added(spark):
+    value = "Ab1" + "Cd2Ef3" * 5
+    docs = spark.createDataFrame([(1, f"x {value}", "a"), (2, f"y {value}", "a"), (2, f"y {value}", "a"), (None, None, None)], "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.n_added, r.spans) for r in secrets.scan(docs).collect()), key=str)
+    assert got == [(1, 1, f"live:2:{2 + len(value)}"), (2, 1, f"live:2:{2 + len(value)}"), (2, 1, f"live:2:{2 + len(value)}"), (None, 0, "")]
+    assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_mixing(spark):
+    rnd = random.Random(2)
+    rows = [(i, "w " * min(400, int(rnd.expovariate(1 / 60))), "big" if i % 3 == 0 else f"s{i % 7}") for i in range(3000)] + [(9001, None, "big"), (9002, "", None), (9003, "a b c", None), (9004, None, "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as key")
+    got = mixing.draw(docs, (3.0, 1.0, 2.0), 1.5, 2.0).collect()
+    assert len(got) == len(rows)
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    total = sum(size.values())
+    by: dict = {}
+    for r in got:
+        assert r.size == size[r.doc_id] and 0 <= r.copies <= 2
+        by.setdefault(r.source, []).append(r)
+    weight, cap = {}, {}
+    for k, s in enumerate(sorted(by, key=lambda s: (s is None, s or ""))):
+        weight[s], cap[s] = (3.0, 1.0, 2.0)[k % 3], 2.0 * sum(r.size for r in by[s])
+    full: set = set()
+    while True:  # the excess reshared by weight until no target is above
+        left = 1.5 * total - sum(cap[s] for s in full)
+        w = sum(weight[s] for s in by if s not in full)
+        over = {s for s in by if s not in full and left * weight[s] / w > cap[s]}
+        if not over:
+            break
+        full |= over
+    for s, rs in by.items():
+        target = cap[s] if s in full else left * weight[s] / w
+        assert rs[0].target == pytest.approx(target) and rs[0].source_size == sum(r.size for r in rs)
+        assert sum(r.size * r.copies for r in rs) == pytest.approx(target, abs=0.02 * target + 500)
+    again = mixing.draw(docs.repartition(7, "text"), (3.0, 1.0, 2.0), 1.5, 2.0).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    mixed = mixing.mix(docs, (3.0, 1.0, 2.0), 1.5, 2.0)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
+    assert mixing.draw(docs.limit(0), (1.0,), 1.5, 2.0).count() == 0
+
+
+def test_language(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    learned = langid.fit(docs.filter(langid.training(F.col("doc_id"))))
+    assert sorted(learned) == ["de", "en", "es", "fr"]
+    held = langid.identify(docs.filter(~langid.training(F.col("doc_id"))).withColumn("score", F.lit("clash")), learned)
+    assert held.filter("lang = lang_pred").count() / held.count() > 0.95
+    assert held.filter("score < 0 or score > 1").count() == 0
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !"), (4, "wort " * 20_000), (4, "x")], "doc_id long, text string")
+    got = {(r.doc_id, r.text): (r.lang_pred, r.rejected) for r in langid.identify(odd, learned).collect()}
+    assert [got[i, t][0] for i, t in ((1, None), (2, ""), (3, "123 !"))] == ["und"] * 3 and got[4, "x"][0] in learned
+    assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
+    assert langid.fit(docs.limit(0)) == {} and langid.identify(odd.limit(0), learned).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "tool", ""]), st.lists(st.sampled_from(["[INST]", "[/INST]", "</s>", "\\", "[", "]", "a", "é\n", "[ANS]", "[ROLE]", "<<SYS>>", "[/TURN]"]), max_size=6).map("".join)), max_size=5))
+def test_chat_parses_back(turns):
+    p = chat.INSTRUCT.pattern()
+    text = "".join(s for role, said in turns for s, _ in chat.segments(role, said, chat.INSTRUCT, p))
+    assert chat.parse(text, chat.INSTRUCT, p) == turns
+
+
+def test_chat(spark):
+    rows = [(1, 1, "assistant", "b</s>"), (1, 0, "user", "a"), (2, 0, "assistant", None), (3, 0, "user", "x" * 50_000), (3, 1, "assistant", "\\"), (None, 0, "user", "n"), (4, 0, None, "q"), (4, 0, "tool", "r"), (5, 0, "user", "e"), (5, 0, "user", "e")]
+    got = {r.conv_id: r for r in chat.read_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as seq"))).collect()}
+    by: dict = {}
+    for c, t, role, text in rows:
+        by.setdefault(c, []).append((t, role or "", text or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        digest = hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[1].valid and got[3].valid and not got[2].valid and not got[5].valid and got[5].problem == "turn 1: user after user"
+    assert chat.read_chats(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_same_as_sql(spark, sf, name):
+    assert_same(registry.QUERIES[name](spark, sf), connect(sf), registry.SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
+def test_query_runs(spark, sf, name):
+    q = registry.QUERIES[name](spark, sf)
+    assert q.count() > 0
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = docs
+    for name, stage in p.STAGES[:-1]:
+        before = {r.doc_id for r in kept.select("doc_id").collect()}
+        out = stage(spark, kept, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert {r.doc_id for r in rows} <= before
+        kept = spark.createDataFrame(rows, docs.schema)
+    pieces = p.STAGES[-1][1](spark, kept, sf).collect()
+    assert sum(r.start == 0 for r in pieces) == kept.count()
+    whole = p.run(spark, sf)
+    assert whole.count() == len(pieces)
