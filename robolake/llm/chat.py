@@ -197,3 +197,26 @@ def read_chats(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame
             yield batch([row(key, state)])
 
     return _in_order(formatted.select("conv_id", "seq", "segments", "problem"), ["conv_id", "seq"]).mapInArrow(run, schema)
+
+
+def sql(said: str, conv_id: int) -> str:
+    """What read_chats() tells of the conversations table and one more conversation, a user and an assistant who both say the same."""
+    t = INSTRUCT
+    pattern = t.pattern().pattern.replace("'", "''")
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    esc = lambda c: f"regexp_replace({c}, '({pattern})', '\\\\\\1', 'g')"
+    forms = " ".join(f"WHEN {quoted(r)} THEN {quoted(a)} || {esc('text')} || {quoted(b)}" for r, (a, b) in t.roles.items())
+    other = f"{quoted(t.other[0])} || {esc('role')} || {quoted(t.other[1])} || {esc('text')} || {quoted(t.other[2])}"
+    fine = " OR ".join(f"before = {quoted(s)} AND role IN ({', '.join(map(quoted, sorted(n)))})" for s, n in t.follows.items())
+    loss = f"role IN ({', '.join(map(quoted, sorted(t.loss)))})"
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT {conv_id}, 0, 'user', {quoted(said)} UNION ALL SELECT {conv_id}, 1, 'assistant', {quoted(said)}),
+o AS (SELECT *, row_number() OVER w AS k, coalesce(lag(role) OVER w, '') AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+f AS (SELECT *, CASE role {forms} ELSE {other} END AS formatted,
+             CASE WHEN {fine} THEN NULL ELSE 'turn ' || (k - 1) || ': ' || coalesce(nullif(role, ''), 'no role') || ' after ' || coalesce(nullif(before, ''), 'the beginning') END AS problem FROM o),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+             coalesce(sum(length(text)) FILTER ({loss}), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER ({loss}), '')) AS loss_sha256,
+             sum(length(formatted))::BIGINT AS formatted_chars, coalesce(arg_min(problem, k) FILTER (problem IS NOT NULL), CASE WHEN NOT arg_max({loss}, k) THEN 'ends after ' || coalesce(nullif(arg_max(role, k), ''), 'the beginning') END) AS problem
+      FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, problem IS NULL AS valid, problem FROM g"""

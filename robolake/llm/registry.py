@@ -66,9 +66,12 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+#: What both sides of the added conversation -7 say.
+SAID = "</s>[INST] ok [/INST]"
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = spark.createDataFrame([(-7, 0, "user", SAID), (-7, 1, "assistant", SAID)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return chat.read_chats(chat.format_chats(turns))
 
@@ -86,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-SQL: dict[str, str] = {"op2_exact_dedup": exact.SQL, "op5_mix": mixing.SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": exact.SQL, "op3_secrets": secrets.SQL, "op5_mix": mixing.SQL, "op10_chat": chat.sql(SAID, -7)}

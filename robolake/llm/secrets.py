@@ -82,3 +82,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     every = rows.select("row", "doc_id").join(told.hint("merge"), "row", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex", "n_live", "n_example", "n_added")]
     return every.select("doc_id", *zero, F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+
+
+def _sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    scans = "\n  UNION ALL ".join(f"SELECT doc_id, owner, {k} AS kind, regexp_split_to_array(text, {quoted(p)}) AS gaps, regexp_extract_all(text, {quoted(p)}, 0) AS whole, regexp_extract_all(text, {quoted(p)}, 1) AS value FROM d" for k, (p, *_) in enumerate([*BASE.values(), WIDE]))
+    least = BASE["assign"][2]
+    names = "[" + ", ".join(map(quoted, KINDS)) + "][kind + 1]"
+    span = f"{names} || ':' || start || ':' || upto, ',' ORDER BY start, kind"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents),
+m AS (
+  {scans}
+),
+e AS (SELECT *, unnest(range(1, len(whole) + 1)) AS k FROM m),
+p AS (SELECT doc_id, owner, kind, value[k] AS value, length(whole[k]) AS size,
+             (list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:k-1], lambda x: length(x))), 0))::BIGINT AS start FROM e),
+g AS (SELECT *, start + size AS upto FROM p WHERE kind IN (1, 2) OR kind = 0 AND length(value) >= {least}
+      OR kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')),
+c AS (SELECT * FROM g WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM g b WHERE b.doc_id = g.doc_id AND b.kind < 3 AND b.start < g.upto AND b.upto > g.start)),
+o AS (SELECT value, count(DISTINCT owner) < {OWNERS} AS alive FROM c GROUP BY value),
+j AS (SELECT c.*, o.alive FROM c JOIN o USING (value) WHERE kind < 3 OR o.alive)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       count(*) FILTER (kind < 3 AND alive) AS n_live, count(*) FILTER (kind < 3 AND NOT alive) AS n_example, count(*) FILTER (kind = 3) AS n_added,
+       sha256(coalesce(string_agg({span}) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg({span}), '') AS spans
+FROM d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id"""
+
+
+SQL = _sql()

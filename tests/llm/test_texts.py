@@ -136,19 +136,76 @@ def test_query_runs(spark, sf, name):
     assert q.count() > 0
 
 
-def test_pipeline(spark, sf):
+def plain_copies(docs):
+    """Copies of each (doc_id, words, source) in plain Python: targets by resharing, then one line a source."""
+    by: dict = {}
+    for i, n, s in docs:
+        by.setdefault(s, []).append((i, n))
+    weight = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(sorted(by, key=lambda s: (s is None, s or "")))}
+    size = {s: sum(n for _, n in r) for s, r in by.items()}
+    full: set = set()
+    while True:
+        rest = [s for s in by if s not in full]
+        left, w = 1.5 * sum(size.values()) - sum(2 * size[s] for s in full), sum(weight[s] for s in rest)
+        over = {s for s in rest if left * weight[s] / w > 2 * size[s]}
+        if not over:
+            break
+        full |= over
+    out = {}
+    for s, rows in by.items():
+        target = 2.0 * size[s] if s in full else left * weight[s] / w
+        step = int(target / size[s] * mixing.UNIT) if size[s] else 0
+        at = int(hashlib.md5(("0:" + ("n" if s is None else "s" + s)).encode()).hexdigest()[:7], 16)
+        cls = lambda n: n if n < 16 else n.bit_length() * 8 + (n >> (n.bit_length() - 4))
+        for i, n in sorted(rows, key=lambda r: (cls(r[1]), int(hashlib.md5(str(r[0]).encode()).hexdigest()[:1], 16), r[1], r[0])):
+            out[i] = (at + step) // mixing.UNIT - at // mixing.UNIT
+            at += step
+    return out
+
+
+def test_pipeline_against_plain_version(spark, sf):
     import corpus_pipeline as p
+    import numpy as np
+    import pyarrow as pa
+    from test_dedup import near_brute, spaced
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = docs
+    rows = docs.collect()
+    best = langid.Compressors(langid.fit(docs.filter(langid.training(F.col("doc_id"))))).best
+    text = langid.normalised(pa.array([r.text for r in rows])).cast(pa.binary()).to_pylist()
+    told = [best(t) for t in text]
+    rows = [r for r, (lang, score) in zip(rows, told, strict=True) if lang != "und" and score >= langid.MARGIN]
+    first: dict = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        first.setdefault(spaced(r.text), r)
+    component = near_brute([(r.doc_id, r.text) for r in first.values()])[1]
+    kept = {r.doc_id: r for r in first.values() if component[r.doc_id] == r.doc_id}
+    copies = plain_copies([(r.doc_id, len(re.findall("[^\x20\x09-\x0d]+", r.text)), r.source) for r in kept.values()])
+    library = Tokenizer.from_file(registry.WORD_TOKENS)
+    pieces = p.run(spark, sf).collect()
+    begun: dict = {}
+    for r in pieces:
+        begun[r.doc_id] = begun.get(r.doc_id, 0) + (r.start == 0)
+    assert begun == {i: n for i, n in copies.items() if n}
+    tokens = {i: len(library.encode(kept[i].text, add_special_tokens=False).ids) + 1 for i in begun}
+    assert all(r.doc_tokens == tokens[r.doc_id] for r in pieces)
+    assert sum(r.length for r in pieces) == sum(tokens[i] * n for i, n in begun.items())
+    by: dict = {}
+    for r in pieces:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in by.values():
+        s.sort()
+        assert [o for o, _ in s] == np.cumsum([0, *[n for _, n in s[:-1]]]).tolist() and sum(n for _, n in s) <= 4096
+
+
+def test_stages_keep_columns(spark, sf):
+    import corpus_pipeline as p
+
+    docs = kept = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in p.STAGES[:-1]:
-        before = {r.doc_id for r in kept.select("doc_id").collect()}
-        out = stage(spark, kept, sf)
-        assert out.columns == docs.columns, name
-        rows = out.collect()
-        assert {r.doc_id for r in rows} <= before
-        kept = spark.createDataFrame(rows, docs.schema)
-    pieces = p.STAGES[-1][1](spark, kept, sf).collect()
-    assert sum(r.start == 0 for r in pieces) == kept.count()
-    whole = p.run(spark, sf)
-    assert whole.count() == len(pieces)
+        rows = stage(spark, kept, sf)
+        assert rows.columns == docs.columns, name
+        kept = spark.createDataFrame(rows.collect(), docs.schema)
+    assert p.STAGES[-1][1](spark, kept, sf).filter("start = 0").count() == kept.count()
+    assert p.STAGES[0][1](spark, docs.limit(0), sf).count() == 0
