@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from robolake.functions.columns import hash_mod, r6
-from robolake.operators import evaluation, ledger, quality, timeline
+from robolake.operators import evaluation, ledger, quality, recursive, timeline
 from robolake.sources.tables import costs, load, readings, transitions
 
 H = timeline.SECOND * 3600
@@ -74,6 +74,15 @@ def c15_fuse(spark, d):
     return _rounded(evaluation.fuse(r, "entity", "value", "var"), "fused", "variance")
 
 
+@query("c15_filter", f"""
+WITH RECURSIVE {E}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY us, id) AS k FROM e),
+     r AS (SELECT entity, us, id, k, value AS x, 25.0::DOUBLE AS p FROM o WHERE k = 1
+           UNION ALL SELECT o.entity, o.us, o.id, o.k, r.x + (r.p + 1) / (r.p + 1 + 25) * (o.value - r.x), (1 - (r.p + 1) / (r.p + 1 + 25)) * (r.p + 1) FROM r JOIN o ON o.entity = r.entity AND o.k = r.k + 1)
+SELECT entity, us, id, round(x, 6) AS estimate, round(p, 6) AS variance FROM r""")
+def c15_filter(spark, d):
+    return _rounded(recursive.kalman(readings(spark, d), "entity", ("us", "id"), "value", 1.0, 25.0), "estimate", "variance")
+
+
 @query("c16_predict", f"""
 WITH {E}, w AS (SELECT entity, us, id, value, lag(value, 1) OVER w AS v1, lag(value, 2) OVER w AS v2, lag(us, 1) OVER w AS t1, lag(us, 2) OVER w AS t2 FROM e WINDOW w AS (PARTITION BY entity ORDER BY us, id)),
      p AS (SELECT entity, us, id, abs(value - (v1 + (v1 - v2) / nullif((t1 - t2)::DOUBLE, 0) * (us - t1))) AS error FROM w)
@@ -134,6 +143,15 @@ def c19_tracking(spark, d):
     return _rounded(t, "rmse", "max_error", "in_band")
 
 
+@query("c19_loop", f"""
+WITH RECURSIVE {E}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY us, id) AS k FROM e),
+     r AS (SELECT entity, us, id, k, 0.2::DOUBLE * (0.8::DOUBLE * value + 0.1::DOUBLE * value) AS y, value AS total, value AS ref FROM o WHERE k = 1
+           UNION ALL SELECT o.entity, o.us, o.id, o.k, r.y + 0.2::DOUBLE * (0.8::DOUBLE * (o.value - r.y) + 0.1::DOUBLE * (r.total + (o.value - r.y)) - r.y), r.total + (o.value - r.y), o.value FROM r JOIN o ON o.entity = r.entity AND o.k = r.k + 1)
+SELECT entity, us, id, round(y, 6) AS output, round(ref - y, 6) AS error FROM r""")
+def c19_loop(spark, d):
+    return _rounded(recursive.control_loop(readings(spark, d), "entity", ("us", "id"), "value", 0.8, 0.1, 0.2), "output", "error")
+
+
 @query("c20_limits", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), x AS (SELECT vec_id, v, list_transform(v, lambda x: greatest(x - 0.2::DOUBLE, -0.2::DOUBLE - x, 0::DOUBLE)) AS e FROM v)
 SELECT vec_id, len(list_filter(e, lambda x: x > 0))::BIGINT AS n_violations, round(list_max(e), 6) AS max_excess, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm FROM x""")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from robolake.functions.columns import bin_of, wilson
-from robolake.operators import evaluation, ledger, quality, release, timeline
+from robolake.operators import evaluation, ledger, quality, recursive, release, timeline
 
 S = timeline.SECOND
 
@@ -157,3 +157,18 @@ def test_ingest_takes_files_once(spark, sf, tmp_path):
         jobs.ingest(jobs.events(spark, sf), str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "c"), "value >= 10")
     good, bad = spark.read.parquet(str(tmp_path / "good")), spark.read.parquet(str(tmp_path / "bad"))
     assert good.count() + bad.count() == 1000 and good.filter("value < 10").count() == 0
+
+
+def test_filter_missing_and_single(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), ("b", 1, 7.0)], "k string, t long, v double")
+    assert vals(recursive.kalman(df, "k", ("t",), "v", 1.0, 4.0), "k", "t", "estimate", "variance") == [("a", 1, 2.0, 4.0), ("a", 2, 2.0, 5.0), ("b", 1, 7.0, 4.0)]
+    assert recursive.control_loop(df.limit(0), "k", ("t",), "v", 1.0, 0.1, 0.2).count() == 0
+
+
+def test_read_rows(spark, tmp_path):
+    from robolake.sources.tables import read_rows
+
+    (tmp_path / "a.json").write_text('{"a": 1, "b": "x"}\n{"a": 2}\n')
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n,y\n")
+    assert vals(read_rows(spark, str(tmp_path / "a.json"), "json", "a long, b string"), "a", "b") == [(1, "x"), (2, None)]
+    assert vals(read_rows(spark, str(tmp_path / "a.csv"), "csv", "a long, b string"), "a", "b") == [(1, "x"), (None, "y")]
