@@ -31,8 +31,8 @@ PERMUTATIONS, BANDS, ROWS = 100, 40, 5
 PERCENT = 75
 #: Ids of sets to be compared are broadcast up to this number, 8 MB; more of them are joined by a shuffle.
 FEW = 1_000_000
-#: Shingles in a block of a family, about.
-BLOCK = 200_000
+#: Shingles in a block of a family, about: a sixteenth of the family's, but within these limits.
+BLOCK = (20_000, 200_000)
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -142,7 +142,7 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     """Links between the components of sets that share buckets: a table (u, v) of a spanning forest for each pair of blocks.
 
     Sets that share a bucket which lies in several components, directly or by others, form a family. In each, all sets outside its
-    largest component are compared with all of its sets, in pairs of blocks of about BLOCK shingles by hash, one group each.
+    largest component are compared with all of its sets, in pairs of blocks by hash, of a size within BLOCK, one group each.
     """
     rows = written(members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "op4-labelled")
     open_ = written(rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("m")).filter("c1 <> c2").select("key", "m"), "op4-open")
@@ -152,7 +152,8 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     every = written(every.join(sets, "id"), "op4-families")
     by_c = every.groupBy("family", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
     main = by_c.groupBy("family").agg(F.max(F.struct("m", "c")).alias("x"), F.max_by("n", F.struct("m", "c")).alias("main_n"), F.sum("m").alias("m"), F.sum("n").alias("n"))
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1))
+    size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.col("n") / 16))
+    blocks = lambda n: F.greatest(F.ceil(n / size), F.lit(1))
     deal = written(main.select("family", F.col("x.c").alias("main"), "m", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("main_n")).alias("out_blocks")), "op4-deal")
     placed = lookup(every, deal, "family", "m")
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n))

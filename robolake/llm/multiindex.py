@@ -135,7 +135,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    v = F.col(vector_col).cast("array<float>")
+    kind = "array<double>" if dict(vectors.dtypes)[vector_col] == "array<double>" else "array<float>"
+    v = F.col(vector_col).cast(kind)
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).withColumn("fine", F.coalesce(fine, F.lit(False)))
     width = rows.filter("fine").groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").first()
@@ -157,7 +158,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
                 x /= np.linalg.norm(x, axis=1)[:, None]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.cells(x), pa.int64()), pa.array(list(index.order(x)), pa.list_(pa.int64()))], ["rep", "copies", "v", "home", "visits"])
 
-        coded = written(reps.select("rep", "copies", "v").mapInArrow(code, "rep long, copies long, v array<float>, home long, visits array<long>"), "op9-coded")
+        coded = written(reps.select("rep", "copies", "v").mapInArrow(code, f"rep long, copies long, v {kind}, home long, visits array<long>"), "op9-coded")
         held = coded.groupBy(F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("held"))
         asked = coded.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
         deal = written(held.join(asked, "cell").select("cell", F.ceil(F.col("held") / BLOCK).alias("blocks"), F.ceil(F.col("asked") / BLOCK).alias("askers")), "op9-cells")  # at most MOST ** 2 rows

@@ -53,12 +53,13 @@ def grouped(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordB
         at = 0
         while at < len(ends):
             before = int(ends[at - 1]) if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, before + PIECE - size, "right"))) if not held else int(np.searchsorted(ends, before + PIECE - size, "right"))
-            upto = max(upto, at)
+            upto = int(np.searchsorted(ends, before + PIECE - size, "right"))
+            if not held:
+                upto = max(upto, at + 1)  # one long text
             if upto > at:
                 held.append(b.slice(at, upto - at))
                 size += int(ends[upto - 1]) - before
-            if upto < len(ends) and held:
+            if upto < len(ends):
                 yield _one(held)
                 held, size = [], 0
             at = upto

@@ -115,7 +115,7 @@ def test_near_duplicates_brute_force(spark):
 
 def test_near_family_of_blocks(spark, monkeypatch):
     """A family that straddles the threshold, over many small blocks."""
-    monkeypatch.setattr(minhash, "BLOCK", 300)
+    monkeypatch.setattr(minhash, "BLOCK", (300, 300))
     rnd = random.Random(3)
     base = ["b%d" % i for i in range(60)]
     docs = []
