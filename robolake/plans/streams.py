@@ -7,19 +7,32 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from robolake.functions.columns import micros
 from robolake.streaming import jobs
 
+from .release import DEGRADE
+
 QUERIES, SQL = {}, {}
 
 
-def query(name: str):
+#: Append mode gives a window once the watermark, an hour before the last event, has passed its end.
+MARK = "(SELECT epoch_us(max(ts)) - 3600000000 FROM events)"
+
+
+def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
         return f
 
     return add
 
 
+def _micros(df, *cols):
+    return df.withColumns({c: micros(c) for c in cols})
+
+
 def _folder(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
@@ -34,32 +47,41 @@ def _drained(spark, df, mode="append"):
     return jobs.drain(df, f"{at}/out", f"{at}/checkpoint", mode)
 
 
-@query("s1_tumbling")
+@query("s1_tumbling", f"""
+SELECT (epoch_us(ts) // 3600000000) * 3600000000 AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events
+WHERE (epoch_us(ts) // 3600000000 + 1) * 3600000000 <= {MARK} GROUP BY ALL""")
 def s1_tumbling(spark, d):
-    return _drained(spark, jobs.tumbling(jobs.events(spark, d), "1 hour", "1 hour"))
+    return _micros(_drained(spark, jobs.tumbling(jobs.events(spark, d), "1 hour", "1 hour")), "start").withColumn("mean", F.round("mean", 6))
 
 
-@query("s2_sliding")
+@query("s2_sliding", f"""
+WITH w AS (SELECT (epoch_us(ts) // 900000000 - k) * 900000000 AS start FROM events, (SELECT unnest([0, 1, 2, 3]) AS k))
+SELECT start, count(*) AS n FROM w WHERE start + 3600000000 <= {MARK} GROUP BY start""")
 def s2_sliding(spark, d):
-    return _drained(spark, jobs.sliding(jobs.events(spark, d), "1 hour", "1 hour", "15 minutes"))
+    return _micros(_drained(spark, jobs.sliding(jobs.events(spark, d), "1 hour", "1 hour", "15 minutes")), "start")
 
 
-@query("s3_session")
+@query("s3_session", f"""
+WITH x AS (SELECT user_id, epoch_us(ts) AS us, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 1800000000, true)::INT AS s FROM events),
+     y AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM x)
+SELECT user_id, min(us) AS start, max(us) + 1800000000 AS "end", count(*) AS n FROM y GROUP BY user_id, k HAVING max(us) + 1800000000 <= {MARK}""")
 def s3_session(spark, d):
-    return _drained(spark, jobs.sessions(jobs.events(spark, d), "1 hour", "30 minutes"))
+    return _micros(_drained(spark, jobs.sessions(jobs.events(spark, d), "1 hour", "30 minutes")), "start", "end")
 
 
-@query("s4_interval_join")
+@query("s4_interval_join", """
+SELECT a.user_id, a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOURS
+WHERE a.event_type = 'view' AND b.event_type = 'purchase'""")
 def s4_interval_join(spark, d):
     e = jobs.events(spark, d)
     return _drained(spark, jobs.interval_join(e.filter("event_type = 'view'"), jobs.events(spark, d).filter("event_type = 'purchase'"), "1 hour", "6 HOURS"))
 
 
-@query("s5_once")
+@query("s5_once", "SELECT DISTINCT user_id, event_type FROM events")
 def s5_once(spark, d):
-    return _drained(spark, jobs.once(jobs.events(spark, d), "1 hour", ("user_id", "event_type")).select("event_id", "user_id", "event_type"))
+    return _drained(spark, jobs.once(jobs.events(spark, d), "1 hour", ("user_id", "event_type")).select("user_id", "event_type"))
 
 
-@query("s6_degrade")
+@query("s6_degrade", f"WITH {DEGRADE} SELECT entity AS user_id, id AS event_id, CASE WHEN n >= 3 THEN 'STOPPED' WHEN n >= 2 THEN 'DEGRADED' ELSE 'NORMAL' END AS state FROM n")
 def s6_degrade(spark, d):
     return _drained(spark, jobs.degrade(jobs.events(spark, d).select("user_id", "event_id", "ts", "event_type"), 2, 3))
