@@ -12,9 +12,8 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of its files."""
-    folder, pattern = sf_dir, "events.parquet*"
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events table as a stream of its files. The pattern serves for one file as for a folder; a stream takes no plain path to one file."""
+    return spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(df: DataFrame, late: str, width: str) -> DataFrame:
