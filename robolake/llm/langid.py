@@ -44,15 +44,17 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     """A dictionary for each language from rows with a text and a label; rows without either don't count.
 
     At most sample * LANGUAGES beginnings of chars characters reach the driver. Which ones is settled by a hash of
-    the text, so a rerun learns the same; copies of a text count once. A first pass counts the labels, a second
-    keeps about four times the sample by the hash before anything is shuffled.
+    the text, so a rerun learns the same; copies of a text count once. A first pass counts each label's rows and distinct
+    hashes, a second keeps about four times the sample of these by the hash before texts are shuffled; so a label gets
+    the sample, or all its texts if it has fewer, however many copies there are.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect() if r["n"] >= LEAST}
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
+    distinct = hashed.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in distinct.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect() if r["n"] >= LEAST}
     if not counts:
         return {}
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * sample / n))])
-    hashed = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
     near = hashed.filter(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(rate, F.col("lang")) * (1 << 30))
     once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
     first = once.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample).orderBy("lang", "h").collect()

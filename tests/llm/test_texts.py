@@ -101,6 +101,18 @@ def test_language(spark, sf):
     assert langid.fit(docs.limit(0)) == {} and langid.identify(odd.limit(0), learned).count() == 0
 
 
+def test_language_sample_counts_copies_once(spark):
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
+    few = spark.range(300).selectExpr("id", "'few' as lang")
+    many = spark.range(2000).selectExpr("id", "'many' as lang")
+    copies = spark.range(200_000).selectExpr("7L as id", "explode(array('few', 'many')) as lang")
+    docs = few.unionByName(many).unionByName(copies).select("lang", F.translate(F.format_string("%05d", "id"), "0123456789", "abcdefghij").alias("text"))
+    learned = {lang: d.decode().split() for lang, d in langid.fit(docs).items()}
+    assert {lang: len(t) for lang, t in learned.items()} == {"few": 200, "many": 200}
+    assert all(len(set(t)) == 200 for t in learned.values()) and set(learned["few"]) <= {word(i) for i in range(300)}
+    assert len(langid.fit(docs, sample=500)["few"].split()) == 300
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "tool", ""]), st.lists(st.sampled_from(["[INST]", "[/INST]", "</s>", "\\", "[", "]", "a", "é\n", "[ANS]", "[ROLE]", "<<SYS>>", "[/TURN]"]), max_size=6).map("".join)), max_size=5))
 def test_chat_parses_back(turns):
