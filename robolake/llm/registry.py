@@ -31,7 +31,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("n_repos")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

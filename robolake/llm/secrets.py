@@ -1,9 +1,9 @@
 """Secrets in texts, and which of them look live: ownership frequency over the corpus. DataFrame operations only.
 
 Base spans come from three patterns. The method then counts, for the hash of each candidate value, in how many distinct
-repositories and by how many distinct owners it occurs over the corpus. A value that several owners have is a widely copied example;
-one that a single owner has looks live. Wider candidates, long mixed tokens that no pattern names, are too common to be
-reported by their looks; those that a single owner has are added as spans of kind ``live``.
+repositories and by how many distinct owners it occurs over the corpus. A value that several owners have, or that stands in many
+repositories of one, is a widely copied example; one in few repositories of a single owner looks live. Wider candidates, long mixed
+tokens that no pattern names, are too common to be reported by their looks; those that look live are added as spans of kind ``live``.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ WIDE = ("([A-Za-z0-9+/_-]{24,})", 1, 24, "[A-Za-z0-9+/_-]{24}")
 KINDS = ("assign", "access", "hex", "live")
 #: Owners from which on a value counts as a copied example.
 OWNERS = 2
+#: Distinct repositories from which on a value of fewer owners counts as one too: an owner may use a credential in some.
+REPOS = 10
 
 _MATCH = "array<struct<kind:int,gap:long,size:long,value:string>>"
 
@@ -42,12 +44,13 @@ def _matches(text: Column, kind: int, pattern: str, group: int, least: int, hint
     return F.when(text.rlike(hint), row).otherwise(F.lit(None)).cast(_MATCH)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", owners: int = OWNERS) -> DataFrame:
-    """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and by ownership n_live, n_example, n_added.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
+    """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and by ownership n_live, n_example, n_added
+    and n_repos, the most repositories that any value of the document stands in (wide candidates too), 0 without one.
 
     Spans are kind:start:end in code points, end exclusive, by start and then by kind. Base spans stay whatever the method says of them;
-    n_live and n_example divide them by whether fewer than ``owners`` owners have the value. A wide candidate
-    that doesn't overlap a base span and whose value has fewer than ``owners`` owners is added as ``live``.
+    n_live and n_example divide them by whether the value looks live: fewer than ``owners`` owners and fewer than ``repos`` distinct
+    repositories have it. A wide candidate that doesn't overlap a base span and whose value looks live is added as ``live``.
     Null texts are empty; a null owner or repository is one of its own; repeated rows are documents of their own; other columns aren't read.
     One pass over the texts; what is shuffled are matches. Values are compared by 128-bit digests. A value in very many
     documents is counted by partial sums and looked up as a hot key.
@@ -73,14 +76,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     spans = written(spans, "op3-spans")
     by_owner = spans.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("repos"))
     owned = written(by_owner.groupBy("hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos")), "op3-owners")
-    judged = lookup(spans, owned, "hash", "n").withColumn("alive", F.col("n_owners") < owners).filter(base | F.col("alive"))
+    judged = lookup(spans, owned, "hash", "n").withColumn("alive", (F.col("n_owners") < owners) & (F.col("n_repos") < repos))
+    shown = base | F.col("alive")
     one = F.struct("start", "kind", "end")
-    told = judged.groupBy("row").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{name}") for k, name in enumerate(BASE)], F.count_if(base & F.col("alive")).alias("n_live"), F.count_if(base & ~F.col("alive")).alias("n_example"), F.count_if(~base).alias("n_added"), F.sort_array(F.collect_list(one)).alias("all"))
+    told = judged.groupBy("row").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{name}") for k, name in enumerate(BASE)], F.count_if(base & F.col("alive")).alias("n_live"), F.count_if(base & ~F.col("alive")).alias("n_example"), F.count_if(~base & F.col("alive")).alias("n_added"), F.max("n_repos").alias("n_repos"), F.sort_array(F.collect_list(F.when(shown, one))).alias("all"))
     name = lambda k: F.element_at(F.array(*[F.lit(x) for x in KINDS]), k + 1)
     joined = lambda of: F.concat_ws(",", F.transform(of, lambda x: F.concat_ws(":", name(x["kind"]), x["start"].cast("string"), x["end"].cast("string"))))
     told = told.select("row", *[c for c in told.columns if c.startswith("n_")], F.sha2(joined(F.filter("all", lambda x: x["kind"] < wide)), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
     every = rows.select("row", "doc_id").join(told.hint("merge"), "row", "left")
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex", "n_live", "n_example", "n_added")]
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex", "n_live", "n_example", "n_added", "n_repos")]
     return every.select("doc_id", *zero, F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 

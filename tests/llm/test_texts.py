@@ -53,6 +53,18 @@ def test_secrets_owner_specific_is_added(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_in_many_repositories_of_one_owner_are_examples(spark):
+    copied, live = "Ab1" + "Cd2Ef3" * 5, "Gh4" + "Ij5Kl6" * 5
+    rows = [(i, f"x {copied} token={'k' * 12}", "hot") for i in range(secrets.REPOS)]
+    rows += [(100 + i, f"x {live} token={'m' * 12}", "hot") for i in range(secrets.REPOS - 1)]
+    rows += [(100, f"again {live}", "hot"), (300, "plain", "hot")]  # a repository counts once
+    got = [r.asDict() for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    seen = {(r["doc_id"] >= 100, r["n_live"], r["n_example"], r["n_added"], r["n_repos"]) for r in got if r["n_assign"]}
+    assert seen == {(False, 0, 1, 0, secrets.REPOS), (True, 1, 0, 1, secrets.REPOS - 1)}
+    assert all("live" not in r["spans"] for r in got if r["doc_id"] < 100)
+    assert sorted((r["n_added"], r["n_repos"]) for r in got if not r["n_assign"]) == [(0, 0), (1, secrets.REPOS - 1)]
+
+
 def test_mixing(spark):
     rnd = random.Random(2)
     rows = [(i, "w " * min(400, int(rnd.expovariate(1 / 60))), "big" if i % 3 == 0 else f"s{i % 7}") for i in range(3000)] + [(9001, None, "big"), (9002, "", None), (9003, "a b c", None), (9004, None, "empty")]
