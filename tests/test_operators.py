@@ -172,3 +172,11 @@ def test_read_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\n1,x\n,y\n")
     assert vals(read_rows(spark, str(tmp_path / "a.json"), "json", "a long, b string"), "a", "b") == [(1, "x"), (2, None)]
     assert vals(read_rows(spark, str(tmp_path / "a.csv"), "csv", "a long, b string"), "a", "b") == [(1, "x"), (None, "y")]
+
+
+def test_more_queries_than_one_block(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = v.filter("vec_id % 4 = 0")
+    rows = lambda most: sorted(tuple(r) for r in evaluation.top_similar(v, q, "vec_id", "embedding", 5, most).collect())
+    one = rows(10_000)
+    assert len(one) == 5 * q.count() and rows(q.count()) == rows(q.count() - 1) == rows(7) == one
