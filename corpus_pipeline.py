@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage reads what its predecessor kept and all but the last return the columns of documents. A stage's scratch tables are dropped when
-the next one begins, when its own rows have been written. doc_id names a document: rows that share one stay or go together.
+the next one begins, when its own rows have been written. A document is a doc_id, which may be null, with a text: of rows that repeat both
+(texts up to white space) one stays, and rows that share only the id stay or go each by its text.
 """
 
 from __future__ import annotations
@@ -29,10 +30,20 @@ def _stage(f: Callable[[SparkSession, DataFrame], DataFrame]) -> Callable[[Spark
     return run_stage
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the ids in gone. Few ids are broadcast, so the texts aren't shuffled; more of them are joined."""
-    gone = common.written(gone.select("doc_id").filter("doc_id is not null").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= minhash.FEW else gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """docs but for the rows with the keys in gone, where null equals null. Few are broadcast, so the texts aren't shuffled; more of them are joined."""
+    gone = common.written(gone.select(*[F.col(k).alias(f"gone_{k}") for k in keys]).distinct(), "gone")
+    same = [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys]
+    return docs.join(F.broadcast(gone) if gone.count() <= minhash.FEW else gone.hint("merge"), same, "left_anti")
+
+
+def _shared(docs: DataFrame) -> DataFrame:
+    """The ids that don't name one row, null among them."""
+    return common.written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "shared")
+
+
+def _digested(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("digest", exact.digest(F.col("text")))
 
 
 def language(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -44,12 +55,36 @@ def language(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Of equal texts the one with the smallest id."""
     index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex[:12]}", common.scratch(spark, "digests"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return _without(docs, index.ingest(docs).filter("not kept"))
+    told = index.ingest(docs)
+    if _shared(told).isEmpty():
+        return _without(docs, told.filter("not kept"), "doc_id").select(*docs.columns)
+    keys = common.written(told.groupBy("doc_id", F.unhex("text_sha256").alias("digest")).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "keys")
+    rest = _without(_digested(docs), keys.filter("not kept or n > 1"), "doc_id", "digest").select(*docs.columns)
+    again = _without(_digested(docs), keys.filter("not kept or n = 1"), "doc_id", "digest")
+    one = again.groupBy("doc_id", "digest").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return rest.unionByName(one)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Of each group of near-duplicates the one with the smallest id."""
-    return _without(docs, minhash.near_duplicates(docs).filter("not kept"))
+    shared = _shared(docs)
+    if shared.isEmpty():
+        return _without(docs, minhash.near_duplicates(docs).filter("not kept"), "doc_id").select(*docs.columns)
+    # documents without an id of their own get one above all others; which of a group stays is then settled by the given ids
+    ids = shared.filter("doc_id is not null")
+    given = _digested(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "digest").distinct()
+    some = given.join(F.broadcast(ids) if ids.count() <= minhash.FEW else ids.hint("merge"), "doc_id", "left_semi")
+    top = max(docs.agg(F.max("doc_id")).first()[0] or 0, 0)
+    own = common.written(some.unionByName(given.filter("doc_id is null")).select("doc_id", "digest", (F.monotonically_increasing_id() + top + 1).alias("own")), "own")
+    few = own.count() <= minhash.FEW
+    keys = own.select(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"), "own")
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
+    named = _digested(docs).join(F.broadcast(keys) if few else keys.hint("merge"), same, "left").withColumn("node", F.coalesce("own", F.col("doc_id").cast("long"))).select(*docs.columns, "node")
+    told = common.written(minhash.near_duplicates(named, "node").select(F.col("doc_id").alias("own"), "component_id"), "told")
+    back = own.select("own", F.col("doc_id").alias("given"), F.lit(True).alias("odd"))
+    told = common.written(told.join(F.broadcast(back) if few else back.hint("merge"), "own", "left").withColumn("given", F.when(F.col("odd"), F.col("given")).otherwise(F.col("own"))), "given")
+    best = common.written(told.groupBy("component_id").agg(F.min(F.struct(F.col("given").isNull(), "given", "own")).alias("x"), F.count(F.lit(1)).alias("m")).select("component_id", F.col("x.own").alias("best"), "m"), "best")
+    return _without(named, common.lookup(told, best, "component_id", "m").filter("own <> best").select(F.col("own").alias("node")), "node").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:

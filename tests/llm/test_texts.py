@@ -233,3 +233,21 @@ def test_stages_keep_columns(spark, sf):
         kept = spark.createDataFrame(rows.collect(), docs.schema)
     assert p.STAGES[-1][1](spark, kept, sf).filter("start = 0").count() == kept.count()
     assert p.STAGES[0][1](spark, docs.limit(0), sf).count() == 0
+
+
+def test_stages_tell_rows_by_id_and_text(spark):
+    import corpus_pipeline as p
+
+    words = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    stages = dict(p.STAGES)
+    rows = [(1, words("a"), "s"), (2, words("a"), "s"), (2, words("b"), "s"), (3, words("c"), "t"), (3, words("c"), "s"), (None, words("d"), "s"), (None, words("d"), "s"), (None, words("a"), "s"), (None, words("e"), "s"), (4, words("f"), "s")]
+    kept = stages["exact_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    want = [(1, words("a"), "s"), (2, words("b"), "s"), (3, words("c"), "s"), (None, words("d"), "s"), (None, words("e"), "s"), (4, words("f"), "s")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    close = lambda tag: words(tag) + " end"
+    rows = want + [(2, close("a"), "s"), (4, close("c"), "s"), (None, close("d"), "s"), (9, close("e"), "s"), (9, words("g"), "s"), (7, close("b"), "s")]
+    kept = stages["near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    want = [r for r in want if r[1] not in (words("d"), words("e"))] + [(9, close("e"), "s"), (9, words("g"), "s")]
+    left = sorted(map(tuple, kept.collect()), key=str)
+    assert len([r for r in left if r[1].startswith("d0")]) == 1  # of two null ids either may stay
+    assert [r for r in left if not r[1].startswith("d0")] == sorted(want, key=str)
