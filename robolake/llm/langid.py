@@ -22,8 +22,8 @@ from .common import small_batches
 #: The bounds of the sample: so many texts of each language at most, so many characters of each, and of all of a language together,
 #: as the compressor finds less in longer dictionaries.
 SAMPLE, CHARS, DICTIONARY = 200, 2000, 200_000
-#: The most frequent so many labels are learned, of those with LEAST labelled texts or more.
-LANGUAGES, LEAST = 200, 5
+#: The most frequent so many labels are learned, as every text is compressed once for each.
+LANGUAGES = 200
 BLOCK = 512
 LEVEL = 3
 #: Below this score the two best languages are taken for equally good.
@@ -51,7 +51,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
     hashed = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
     distinct = hashed.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    counts = {r["lang"]: r["texts"] for r in distinct.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect() if r["n"] >= LEAST}
+    counts = {r["lang"]: r["texts"] for r in distinct.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return {}
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * sample / n))])

@@ -113,6 +113,11 @@ def test_language(spark, sf):
     assert langid.fit(docs.limit(0)) == {} and langid.identify(odd.limit(0), learned).count() == 0
 
 
+def test_language_learns_labels_of_one_text(spark):
+    docs = spark.createDataFrame([("ein kleines haus am see", "de"), *[(f"a small house {'x' * i}", "en") for i in range(6)]], "text string, lang string")
+    assert sorted(langid.fit(docs)) == ["de", "en"]
+
+
 def test_language_sample_counts_copies_once(spark):
     word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
     few = spark.range(300).selectExpr("id", "'few' as lang")
