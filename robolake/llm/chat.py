@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import bounded_batches, scratch, table_at
 
 ESCAPE = "\\"
 
@@ -47,7 +47,9 @@ INSTRUCT = Template(
     roles={"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "</s>")},
     other=("[ROLE]", "[/ROLE]", "[/TURN]"),
     loss=frozenset({"assistant"}),
-    follows={"": frozenset({"system", "user"}), "system": frozenset({"user"}), "user": frozenset({"assistant"}), "assistant": frozenset({"user"})},
+    follows={
+        "": frozenset({"system", "user"}), "system": frozenset({"user"}), "user": frozenset({"assistant"}), "assistant": frozenset({"user"}),
+    },
     controls=("<s>",),
 )
 
@@ -116,14 +118,15 @@ def _in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(keys[0]).sortWithinPartitions(*keys)
 
 
-def format_chats(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """Write the segments of every turn (SEGMENTS; problem in a conversation's last row); gives the written table.
+def format_chats(turns: DataFrame, template: Template = INSTRUCT, path: str | None = None) -> DataFrame:
+    """Write the segments of every turn (SEGMENTS; problem in a conversation's last row) at path, or if none is given in the shared
+    folder until the application ends; gives the written table.
 
     Null text and null role are empty; a role that the template doesn't name is written as ``other`` and never bears loss; turns of
     equal number stand in the order of role and text; repeated rows are turns of their own; a null conv_id is a conversation.
     Conversations in a wrong order are formatted all the same and say so in problem. Other columns aren't read.
     """
-    small_batches(turns.sparkSession)
+    bounded_batches(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = template.pattern()
@@ -133,7 +136,8 @@ def format_chats(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             c = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:3]), pa.array([[{"text": t, "loss": s} for t, s in x] for x in c[3]], kind), pa.array(c[4], pa.string())], names)
+            parts = pa.array([[{"text": t, "loss": s} for t, s in x] for x in c[3]], kind)
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:3]), parts, pa.array(c[4], pa.string())], names)
 
         for b in batches:
             rows = []
@@ -151,14 +155,19 @@ def format_chats(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
         if held:
             yield batch([(*held, machine.end())])
 
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return written(_in_order(rows, ["conv_id", "turn", "role", "text"]).mapInArrow(run, SEGMENTS), "op10")
+    said = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *said)
+    ordered = _in_order(rows, ["conv_id", "turn", "role", "text"])
+    return table_at(ordered.mapInArrow(run, SEGMENTS), path or scratch(turns.sparkSession, "chats"))
 
 
 def read_chats(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """What the written conversations hold, parsed from their text: counts and digests for each."""
-    small_batches(formatted.sparkSession)
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, problem string"
+    bounded_batches(formatted.sparkSession)
+    schema = (
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+        "formatted_chars long, valid boolean, problem string"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = template.pattern()
@@ -169,7 +178,8 @@ def read_chats(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame
             return {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "problem": None}
 
         def row(key, s) -> tuple:
-            return (key, s["n"], s["turns"].hexdigest(), s["loss_chars"], s["loss"].hexdigest(), s["chars"], s["problem"] is None, s["problem"])
+            digests = s["turns"].hexdigest(), s["loss_chars"], s["loss"].hexdigest()
+            return (key, s["n"], *digests, s["chars"], s["problem"] is None, s["problem"])
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
@@ -177,7 +187,7 @@ def read_chats(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame
 
         for b in batches:
             rows = []
-            for conv, parts, problem in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for conv, parts, problem in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                 if state and conv != key:
                     rows.append(row(key, state))
                     state = None
@@ -212,11 +222,16 @@ def sql(said: str, conv_id: int) -> str:
     return f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT {conv_id}, 0, 'user', {quoted(said)} UNION ALL SELECT {conv_id}, 1, 'assistant', {quoted(said)}),
-o AS (SELECT *, row_number() OVER w AS k, coalesce(lag(role) OVER w, '') AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+o AS (SELECT *, row_number() OVER w AS k, coalesce(lag(role) OVER w, '') AS before
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 f AS (SELECT *, CASE role {forms} ELSE {other} END AS formatted,
-             CASE WHEN {fine} THEN NULL ELSE 'turn ' || (k - 1) || ': ' || coalesce(nullif(role, ''), 'no role') || ' after ' || coalesce(nullif(before, ''), 'the beginning') END AS problem FROM o),
+             CASE WHEN {fine} THEN NULL ELSE 'turn ' || (k - 1) || ': ' || coalesce(nullif(role, ''), 'no role')
+               || ' after ' || coalesce(nullif(before, ''), 'the beginning') END AS problem FROM o),
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
-             coalesce(sum(length(text)) FILTER ({loss}), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER ({loss}), '')) AS loss_sha256,
-             sum(length(formatted))::BIGINT AS formatted_chars, coalesce(arg_min(problem, k) FILTER (problem IS NOT NULL), CASE WHEN NOT arg_max({loss}, k) THEN 'ends after ' || coalesce(nullif(arg_max(role, k), ''), 'the beginning') END) AS problem
+             coalesce(sum(length(text)) FILTER ({loss}), 0)::BIGINT AS loss_chars,
+             sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER ({loss}), '')) AS loss_sha256,
+             sum(length(formatted))::BIGINT AS formatted_chars,
+             coalesce(arg_min(problem, k) FILTER (problem IS NOT NULL),
+                      CASE WHEN NOT arg_max({loss}, k) THEN 'ends after ' || coalesce(nullif(arg_max(role, k), ''), 'the beginning') END) AS problem
       FROM f GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, problem IS NULL AS valid, problem FROM g"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, written
+from .common import Scratch, lookup
 
 #: Up to so many links, 16 MB, one task joins them at once; more are joined by rounds over all tasks.
 FEW = 1_000_000
@@ -42,7 +42,7 @@ def _state(links: DataFrame) -> tuple:
     return tuple(r)
 
 
-def components(links: DataFrame, few: int = FEW) -> DataFrame:
+def components(links: DataFrame, tmp: Scratch, few: int = FEW) -> DataFrame:
     """links (u, v) -> node, component: the smallest node that can be reached, for every node with a link.
 
     Large star: each node hangs its larger neighbours on the smallest of its neighbours and itself. Small star: each
@@ -50,20 +50,21 @@ def components(links: DataFrame, few: int = FEW) -> DataFrame:
     component needs about the logarithm of its size, end when no link changes. A hub's links are never gathered:
     its smallest neighbour is an aggregate, and the hub is looked up as a hot key.
     """
-    now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
+    now = tmp.written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
     if now.count() <= few:
-        return written(now.coalesce(1).mapInArrow(_at_once, "node long, component long"), "components")
+        return tmp.written(now.coalesce(1).mapInArrow(_at_once, "node long, component long"), "components")
     before = None
     while (state := _state(now)) != before:
         before = state
         if not state[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "large")
+        low = tmp.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "large")
         large = lookup(both, low, "u", "n").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.distinct(), "large-star")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "small")
-        hung = lookup(large, low, "u", "n").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
-        now = written(hung.filter("u <> v").distinct(), "links")
+        large = tmp.written(large.distinct(), "large-star")
+        low = tmp.written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "small")
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        hung = lookup(large, low, "u", "n").select(F.explode(pairs).alias("p")).select("p.*")
+        now = tmp.written(hung.filter("u <> v").distinct(), "links")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

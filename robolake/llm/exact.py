@@ -1,16 +1,18 @@
 """Exact deduplication against a persistent digest index, bucketed and sorted by hash. DataFrame operations only.
 
-The index is a Parquet table with one row for each text ever kept: its digest and the id that stands for it. A batch is
-reduced to one row a digest before anything is compared; a sort-merge anti-join with the index, whose bucketed
-and sorted side isn't shuffled, leaves the new digests, which are appended.
+The index is a Parquet table with one row for each text ever kept: its digest, the id that stands for it and the name of the batch
+that brought it. A batch is reduced to one row a digest before anything is compared; a sort-merge anti-join with the
+index, whose bucketed and sorted side isn't shuffled, leaves the new digests, which are appended.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, lookup, written
+from .common import SPACE, Scratch, drop_path, lookup
 
 
 def normalise(text: Column) -> Column:
@@ -26,30 +28,46 @@ class DigestIndex:
     """A table of digests at a path. Opening a path that holds an index goes on with it, in any later application too."""
 
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int):
-        self.spark, self.name = spark, name
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
-        self.buckets = buckets
+        self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def drop(self) -> None:
+        """Forget the index: its name and its files. What ingest() has given stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop_path(self.spark, self.path)
+
+    def ingest(self, docs: DataFrame, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicate a batch against itself and the index, append what is new, and tell for each row what became of it.
 
         Gives doc_id, keep_id, group_size (rows of this batch with the text), kept, text_sha256. Of equal texts in a
         batch the smallest id stays, unless an earlier batch has kept one. Null texts equal empty ones. A null id never
         stands for a group that has another id; alone it stays with keep_id null. Rows that repeat both id and text stay or go together.
         Other columns aren't read. No rows give no rows.
+
+        Under the same ``batch`` name the same rows can be ingested again, after a loss at any moment: digests that the index has from this
+        batch are its own, so the answer is the one that the first run gave or would have given. Without a name each call is a batch of its own.
         """
-        rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest")), "op2-rows")
-        batch = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size")), "op2-groups")
-        known = self.table().withColumn("known", F.lit(True))
-        groups = written(batch.join(known.hint("merge"), "digest", "left").select("digest", F.when(F.col("known"), F.col("keep_id")).otherwise(F.col("first_id")).alias("keep_id"), F.coalesce("known", F.lit(False)).alias("known"), "group_size"), "op2-known")
-        new = batch.join(self.table().hint("merge"), "digest", "left_anti")
-        new.select("digest", F.col("first_id").alias("keep_id")).repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
-        return lookup(rows, groups, "digest", "group_size").select(
-            "doc_id", "keep_id", "group_size", (~F.col("known") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-        )
+        batch = batch or uuid.uuid4().hex
+        with Scratch(self.spark) as tmp:
+            rows = tmp.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest")), "rows")
+            groups = tmp.written(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+            new = tmp.written(groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti"), "new")
+            told = new.select("digest", F.col("first_id").alias("keep_id"), F.lit(True).alias("own"), "group_size")
+            if new.count() < groups.count():  # else the index knows none of them and needn't be read again
+                known = groups.join(self.table().hint("merge"), "digest")
+                told = told.unionByName(known.select("digest", "keep_id", (F.col("batch") == batch).alias("own"), "group_size"))
+            told = tmp.written(told, "told")
+            added = new.select("digest", F.col("first_id").alias("keep_id"), F.lit(batch).alias("batch"))
+            added.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
+            kept = (F.col("own") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept")
+            each = lookup(rows, told, "digest", "group_size")
+            return tmp.result(each.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256")), "op2")
 
 
 SQL = r"""

@@ -17,13 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches
 
 #: The bounds of the sample: so many texts of each language at most, so many characters of each, and of all of a language together,
 #: as the compressor finds less in longer dictionaries.
 SAMPLE, CHARS, DICTIONARY = 200, 2000, 200_000
-#: The most frequent so many labels are learned, as every text is compressed once for each.
-LANGUAGES = 200
+#: Characters of all dictionaries together: with very many labels each gets a share of these, and none is left out.
+TOTAL = 64_000_000
 BLOCK = 512
 LEVEL = 3
 #: Below this score the two best languages are taken for equally good.
@@ -40,28 +40,38 @@ def training(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4 != 2
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, chars: int = CHARS) -> dict[str, bytes]:
-    """A dictionary for each language from rows with a text and a label; rows without either don't count.
+def fit(
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, chars: int = CHARS,
+    dictionary: int = DICTIONARY, total: int = TOTAL,
+) -> dict[str, bytes]:
+    """A dictionary for each label, from rows with a text that has a letter and a label; rows without either don't count.
 
-    At most sample * LANGUAGES beginnings of chars characters reach the driver. Which ones is settled by a hash of
-    the text, so a rerun learns the same; copies of a text count once. A first pass counts each label's rows and distinct
-    hashes, a second keeps about four times the sample of these by the hash before texts are shuffled; so a label gets
-    the sample, or all its texts if it has fewer, however many copies there are.
+    Every label is learned. With n labels each gets at most min(dictionary, total / n) characters, from at most ``sample`` texts of it and
+    at most ``chars`` characters of a text; so what reaches the driver is bounded by ``total`` and a few characters a label. Which texts
+    is settled by a hash of the text, so a rerun learns the same; copies of a text count once. A first pass counts each
+    label's distinct hashes, a second keeps about four times the sample of these by the hash before texts are shuffled; so a label
+    gets the sample, or all its texts if it has fewer, however many copies there are.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
-    hashed = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
-    distinct = hashed.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    counts = {r["lang"]: r["texts"] for r in distinct.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
+    rows = rows.filter(F.col("text").rlike(r"\p{L}"))
+    texts = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h")).distinct()
+    counted = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in counted.collect()}  # a row a label
     if not counts:
         return {}
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * sample / n))])
-    near = hashed.filter(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(rate, F.col("lang")) * (1 << 30))
+    room = max(1, min(dictionary, total // len(counts)))
+    texts_of = max(1, min(sample, room))
+    share = labelled.sparkSession.createDataFrame([(lang, 4.0 * texts_of / n) for lang, n in counts.items()], "of string, rate double")
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, min(chars, room)).alias("text"))
+    drawn = F.pmod("h", F.lit(1 << 30)) < F.col("rate") * (1 << 30)
+    near = hashed.join(F.broadcast(share), F.col("lang") == F.col("of")).filter(drawn)
     once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    first = once.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample).orderBy("lang", "h").collect()
-    texts: dict[str, list[str]] = {}
-    for r in first:
-        texts.setdefault(r["lang"], []).append(r["text"])
-    return {lang: " ".join(normalised(pa.array([x[: max(1, DICTIONARY // len(t))] for x in t])).to_pylist()).encode() for lang, t in texts.items()}
+    first = once.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= texts_of)
+    sized = first.withColumn("text", F.expr(f"substring(text, 1, greatest(1, {room} div count(*) over (partition by lang)))"))
+    gathered: dict[str, list[str]] = {}
+    for r in sized.orderBy("lang", "h").collect():
+        gathered.setdefault(r["lang"], []).append(r["text"])
+    return {lang: " ".join(normalised(pa.array(t)).to_pylist()).encode() for lang, t in gathered.items()}
 
 
 class Compressors:
@@ -96,16 +106,18 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     One pass without a shuffle; memory is bounded by an Arrow batch.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded by LANGUAGES * SAMPLE * CHARS
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded by what fit() may gather
     place, names = docs.columns.index(text_col), [*docs.columns, "lang_pred", "score", "rejected"]
     schema = docs.selectExpr("*", "'' as lang_pred", "0d as score", "false as rejected").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(shared.value)
         for b in batches:
-            got = [compressors.best(t) for t in normalised(b.column(place)).cast(pa.binary()).to_pylist()]
+            got = [compressors.best(t.as_py()) for t in normalised(b.column(place)).cast(pa.binary())]
             langs, scores = [g[0] for g in got], [g[1] for g in got]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([n == "und" or s < margin for n, s in got], pa.bool_())], names)
+            rejected = [n == "und" or s < margin for n, s in got]
+            more = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names)
 
     return docs.mapInArrow(run, schema)

@@ -6,8 +6,9 @@ BANDS bands of ROWS. Two sets of similarity 0.75 share no band with probability
 of 0.8, 1 in 10 million.
 
 Only sets that share a band with another are compared, and never all pairs of a bucket. Documents of equal sets are one
-set first. Then each bucket's sets are compared with its smallest. Where a bucket still lies in several components, the
-sets outside the largest one are compared with all others that its sets share buckets with, in bounded pairs of blocks that only links leave.
+set first. Then each bucket's sets are compared with its pivot. Where a bucket still lies in several components, the
+sets outside the largest one meet all others that its sets share buckets with, in bounded pairs of blocks that only links leave; in
+a block a prefix filter finds the pairs that are counted: those that share one of their rarest shingles.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, small_batches, written
+from .common import Scratch, bounded_batches, lookup
 from .components import components, roots
 from .wordcache import grouped, numbered
 
@@ -107,7 +108,8 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                 size.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keys.append(minmax.keys(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "set", "bands"])
+            columns = [b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "set", "bands"])
 
     return docs.mapInArrow(run, "id long, n long, set binary, bands array<long>")
 
@@ -115,7 +117,8 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in grouped(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in shingle_sets(b.column(1), k)], pa.list_(pa.int64()))], ["id", "shingles"])
+            sets = pa.array([s.view(np.int64) for s in shingle_sets(b.column(1), k)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["id", "shingles"])
 
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
@@ -127,63 +130,90 @@ def _near_sizes(a: str, b: str, percent: int):
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) of ids, a < b -> with j, the similarity, and linked; counted on the full sets."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa").cast("long") + F.size("sb") - F.col("common")
-    return both.withColumn("common", common).select("a", "b", (F.col("common") / union).alias("j"), (F.col("common") * 100 >= union * percent).alias("linked"))
+    linked = F.col("common") * 100 >= union * percent
+    return both.withColumn("common", common).select("a", "b", (F.col("common") / union).alias("j"), linked.alias("linked"))
 
 
 def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """Links between the components of sets that share buckets: a table (u, v) of a spanning forest for each pair of blocks.
 
     Sets that share a bucket which lies in several components, directly or by others, form a family. In each, all sets outside its
-    largest component are compared with all of its sets, in pairs of blocks by hash, of a size within BLOCK, one group each.
+    largest component meet all of its sets, in pairs of blocks by hash, of a size within BLOCK, one group each.
     """
-    rows = written(members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "op4-labelled")
-    open_ = written(rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("m")).filter("c1 <> c2").select("key", "m"), "op4-open")
-    mixed_ = written(lookup(rows, open_, "key", "m").select("id", "n", "c", "pivot"), "op4-mixed")
-    families = components(mixed_.select(F.col("id").alias("u"), F.col("pivot").alias("v")).filter("u <> v"))
+    named = labels.select(F.col("node").alias("id"), "component")
+    rows = tmp.written(members.join(named, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "labelled")
+    by_key = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("m"))
+    open_ = tmp.written(by_key.filter("c1 <> c2").select("key", "m"), "open")
+    mixed_ = tmp.written(lookup(rows, open_, "key", "m").select("id", "n", "c", "pivot"), "mixed")
+    families = components(mixed_.select(F.col("id").alias("u"), F.col("pivot").alias("v")).filter("u <> v"), tmp)
     every = mixed_.select("id", "n", "c").distinct().join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id")
-    every = written(every.join(sets, "id"), "op4-families")
+    every = tmp.written(every.join(sets, "id"), "families")
     by_c = every.groupBy("family", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
-    main = by_c.groupBy("family").agg(F.max(F.struct("m", "c")).alias("x"), F.max_by("n", F.struct("m", "c")).alias("main_n"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+    largest = F.struct("m", "c")
+    main = by_c.groupBy("family").agg(F.max(largest).alias("x"), F.max_by("n", largest).alias("main_n"), F.sum("m").alias("m"), F.sum("n").alias("n"))
     size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.col("n") / 16))
     blocks = lambda n: F.greatest(F.ceil(n / size), F.lit(1))
-    deal = written(main.select("family", F.col("x.c").alias("main"), "m", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("main_n")).alias("out_blocks")), "op4-deal")
+    counts = [blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("main_n")).alias("out_blocks")]
+    deal = tmp.written(main.select("family", F.col("x.c").alias("main"), "m", *counts), "deal")
     placed = lookup(every, deal, "family", "m")
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outside = placed.filter("c <> main").withColumn("i", spread("out_blocks")).withColumn("j", every_block("all_blocks")).withColumn("asks", F.lit(True))
-    inside = placed.withColumn("j", spread("all_blocks")).withColumn("i", every_block("out_blocks")).withColumn("asks", F.lit(False))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = placed.filter("c <> main").withColumn("i", spread("out_blocks")).withColumn("j", each("all_blocks")).withColumn("asks", F.lit(True))
+    inside = placed.withColumn("j", spread("all_blocks")).withColumn("i", each("out_blocks")).withColumn("asks", F.lit(False))
     met = outside.unionByName(inside).select("family", "i", "j", "asks", "id", "c", "shingles")
-    return written(met.groupBy("family", "i", "j").applyInArrow(_meet(percent), "u long, v long"), "op4-across")
+    return tmp.written(met.groupBy("family", "i", "j").applyInArrow(_meet(percent), "u long, v long"), "across")
 
 
 def _meet(percent: int):
+    """Links between the sets that ask and the others, in different components, as a spanning forest.
+
+    Prefix filter: with all shingles of the group in one order, rarest first, two sets of that similarity share one of the first
+    n - ceil(n * percent / 100) + 1 of both. Only others that share such a shingle with the asking set, have a like size
+    and lie in another component are counted, on their whole sets.
+    """
+
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         asks, ids, c = np.asarray(t.column("asks")), np.asarray(t.column("id")), np.asarray(t.column("c"))
         lists = t.column("shingles").combine_chunks()
         ends = np.asarray(lists.offsets)
         size = np.diff(ends)
-        distinct, flat = np.unique(np.asarray(lists.values)[ends[0] : ends[-1]], return_inverse=True)
+        distinct, flat, often = np.unique(np.asarray(lists.values)[ends[0] : ends[-1]], return_inverse=True, return_counts=True)
         ends = ends - ends[0]
-        inside = np.flatnonzero(~asks)
-        codes = np.concatenate([flat[ends[y] : ends[y + 1]] for y in inside]) if len(inside) else flat[:0]
-        starts = np.cumsum(size[inside]) - size[inside]
+        rank = np.empty(len(distinct), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(distinct))
+        owner = np.repeat(np.arange(len(ids)), size)
+        order = np.lexsort((rank[flat], owner))
+        flat = rank[flat][order]  # each set's shingles, rarest first
+        prefix = size - -(-size * percent // 100) + 1
+        leads = (np.arange(len(flat)) - np.repeat(ends[:-1], size) < np.repeat(prefix, size)) & ~asks[owner]
+        posts = np.flatnonzero(leads)
+        posts = posts[np.argsort(flat[posts], kind="stable")]
+        holders = owner[posts]
+        begin = np.searchsorted(flat[posts], np.arange(len(distinct) + 1))
         mark = np.zeros(len(distinct), np.int64)
         a, b = [], []
-        for x in np.flatnonzero(asks) if len(inside) else ():
+        for x in np.flatnonzero(asks) if len(posts) else ():
             own = flat[ends[x] : ends[x + 1]]
+            lead = own[: prefix[x]]
+            near = np.unique(holders[_spans(begin[lead], begin[lead + 1])])
+            like = np.minimum(size[near], size[x]) * 100 >= np.maximum(size[near], size[x]) * percent
+            near = near[like & (c[near] != c[x])]
+            if not len(near):
+                continue
             mark[own] = 1
-            common = np.add.reduceat(mark[codes], starts)
+            common = np.add.reduceat(mark[flat[_spans(ends[near], ends[near + 1])]], np.cumsum(size[near]) - size[near])
             mark[own] = 0
-            hit = inside[(common * 100 >= (size[inside] + size[x] - common) * percent) & (c[inside] != c[x])]
+            hit = near[common * 100 >= (size[near] + size[x] - common) * percent]
             a.append(np.full(len(hit), x))
             b.append(hit)
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
@@ -194,34 +224,48 @@ def _meet(percent: int):
     return run
 
 
+def _spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each begin up to its end, one span after the other."""
+    n = end - begin
+    upto = np.cumsum(n)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begin - upto + n, n)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """For each row doc_id, n_shingles, component_id, kept: sets with 100 * intersection >= percent * union are linked.
 
     A-Z are lower-cased, words are runs of other characters than ASCII white space. A text of fewer than k words has its whole
     sequence as one shingle; null texts and those without words have none and are linked with nothing. A component's smallest id is kept.
     Rows that share an id are one node of the graph; a null id is linked with nothing, component_id null and not kept. Other
-    columns aren't read; no rows give no rows. Shingles are compared by 64-bit hashes.
+    columns aren't read; no rows give no rows. Shingles are compared by 64-bit hashes. The result is a written table.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = written(_signatures(texts, k), "op4-signatures")
-    full = rows.filter("n > 0 and id is not null")
-    groups = written(full.groupBy("set").agg(F.min(F.struct("id", "n", "bands")).alias("r"), F.count(F.lit(1)).alias("copies")).select("set", F.col("r.id").alias("rep"), "r.n", "r.bands", "copies"), "op4-sets")
-    banded = written(groups.select(F.col("rep").alias("id"), "n", F.explode(F.array_distinct("bands")).alias("key")), "op4-bands")
-    buckets = written(banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), "m"), "op4-buckets")
-    members = written(lookup(banded, buckets, "key", "m").drop("m"), "op4-members")
-    ids = written(members.select("id").distinct(), "op4-ids")
-    asked = F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
-    sets = written(_sets(texts.join(asked, "id", "left_semi"), k), "op4-shingles")
-
-    first = members.filter(F.col("id") != F.col("pivot")).filter(_near_sizes("n", "pivot_n", percent)).select(*_pair("id", "pivot")).distinct()
-    known = written(_compare(first, sets, percent), "op4-known")
-    links = known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    more = _across(members, components(links), sets, percent)
-    labels = components(links.unionByName(more))
-
-    settled = groups.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set", F.coalesce("component", "rep").alias("component_id"), "copies")
-    linked = lookup(full.select("id", "n", "set"), written(settled, "op4-settled"), "set", "copies").select("id", "n", "component_id")
-    alone = rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    with Scratch(docs.sparkSession) as tmp:
+        rows = tmp.written(_signatures(texts, k), "signatures")
+        full = rows.filter("n > 0 and id is not null")
+        one = full.groupBy("set").agg(F.min(F.struct("id", "n", "bands")).alias("r"), F.count(F.lit(1)).alias("copies"))
+        groups = tmp.written(one.select("set", F.col("r.id").alias("rep"), "r.n", "r.bands", "copies"), "sets")
+        banded = groups.select(F.col("rep").alias("id"), "n", F.explode(F.array_distinct("bands")).alias("key"))
+        banded = tmp.written(banded, "bands")
+        buckets = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+        buckets = tmp.written(buckets.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), "m"), "buckets")
+        members = tmp.written(lookup(banded, buckets, "key", "m").drop("m"), "members")
+        ids = tmp.written(members.select("id").distinct(), "ids")
+        asked = F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
+        sets = tmp.written(_sets(texts.join(asked, "id", "left_semi"), k), "shingles")
+
+        first = members.filter(F.col("id") != F.col("pivot")).filter(_near_sizes("n", "pivot_n", percent)).select(*_pair("id", "pivot")).distinct()
+        known = tmp.written(_compare(first, sets, percent), "known")
+        links = known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        more = _across(members, components(links, tmp), sets, percent, tmp)
+        labels = components(links.unionByName(more), tmp)
+
+        named = labels.select(F.col("node").alias("rep"), "component")
+        settled = groups.join(named, "rep", "left").select("set", F.coalesce("component", "rep").alias("component_id"), "copies")
+        settled = tmp.written(settled, "settled")
+        linked = lookup(full.select("id", "n", "set"), settled, "set", "copies").select("id", "n", "component_id")
+        alone = rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+        kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
+        told = linked.unionByName(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", kept)
+        return tmp.result(told, "op4")

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .wordcache import WordTokens, grouped
+from .common import bounded_batches
+from .wordcache import grouped, opened
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids of a task begin at its number times this.
@@ -100,7 +100,9 @@ class SumOfSquares:
             lo += 1
 
 
-def pack_windows(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_windows(
+    docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Tokenise the texts, end_id after each document, and pack them; one row a piece (PIECES).
 
     Null and empty texts are packed as their end_id alone; repeated rows are packed each; a null id stays null;
@@ -108,10 +110,10 @@ def pack_windows(docs: DataFrame, tokenizer_file: str, end_id: int, window: int
     so a task that is run again gives the same rows. A task keeps its open windows in memory, at most one
     level array and some hundred windows however many rows it reads.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer, sequence = WordTokens(tokenizer_file), SumOfSquares(window), TaskContext.get().partitionId() * TASK_IDS
+        tokens, packer, sequence = opened(tokenizer_file), SumOfSquares(window), TaskContext.get().partitionId() * TASK_IDS
         end = np.array([end_id], "<u4")
         rows: list[tuple] = []
 
@@ -125,7 +127,8 @@ def pack_windows(docs: DataFrame, tokenizer_file: str, end_id: int, window: int
                 sequence += 1
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            out = pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PIECES.split(", ")])
             rows.clear()
             return out
 

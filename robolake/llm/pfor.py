@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
-from .wordcache import WordTokens, grouped
+from .common import table_at, bounded_batches, scratch
+from .wordcache import grouped, opened
 
 BLOCK = 128
 PERCENTS = (50, 75, 90, 95, 100)
@@ -124,23 +124,27 @@ def block(data: bytes, k: int) -> np.ndarray:
     start = int(np.frombuffer(data, "<u4", 1, 16 + 6 * blocks + 4 * k)[0])
     words_at, w = 16 + 10 * blocks, int(width[k])
     out = _unpack(np.frombuffer(data, "<u4", 4 * w, words_at + 4 * start)[None], w)[0].astype(np.uint32) if w else np.zeros(BLOCK, np.uint32)
-    place_at, before, m = words_at + 16 * int(width.sum(dtype=np.int64)), int(patched[:k].sum(dtype=np.int64)), int(patched[k])
+    place_at = words_at + 16 * int(width.sum(dtype=np.int64))
+    before, m = int(patched[:k].sum(dtype=np.int64)), int(patched[k])
     out[np.frombuffer(data, "u1", m, place_at + before)] = np.frombuffer(data, "<u4", m, place_at + patches + 4 * before)
     return out + low[k]
 
 
-def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(
+    docs: DataFrame, tokenizer_file: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Encode the texts, end_id after each document, and write them in ascending id order; gives the written table (SHARDS).
 
     Null texts are empty and leave their end_id alone; equal ids stand in the order of their texts; a null id comes
     first; other columns aren't read; no rows give a table without rows. One shuffle deals the texts out by
-    ranges of ids, so no part holds more than its range however skewed other columns are.
-    A segment ends with a document: memory is bounded by SEGMENT ids and one document.
+    ranges of the id and the text's first characters, so rows that share an id, or have none, are spread too.
+    A segment ends with a document: memory is bounded by SEGMENT ids and one document. The table lies at ``path``, or if none is
+    given in the shared folder until the application ends.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = WordTokens(tokenizer_file), np.array([end_id], "<u4")
+        tokens, end = opened(tokenizer_file), np.array([end_id], "<u4")
         part, seg = TaskContext.get().partitionId(), 0
         ids: list = []
         parts: list[np.ndarray] = []
@@ -148,8 +152,10 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str
         size = 0
 
         def segment() -> pa.RecordBatch:
-            payload = pack(np.concatenate(parts))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([payload], pa.binary())], ["part", "seg", "n_values", "doc_ids", "lengths", "payload"])
+            lists = pa.list_(pa.int64())
+            kinds = {"part": pa.int32(), "seg": pa.int32(), "n_values": pa.int64(), "doc_ids": lists, "lengths": lists, "payload": pa.binary()}
+            row = [part, seg, size, ids, lengths, pack(np.concatenate(parts))]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds.values(), strict=True)], list(kinds))
 
         for b in grouped(batches, 1):
             got, ends = tokens.encode(b.column(1))
@@ -165,8 +171,8 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str
             yield segment()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return written(dealt.mapInArrow(encode, SHARDS), "op1")
+    dealt = rows.repartitionByRange("id", F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
+    return table_at(dealt.mapInArrow(encode, SHARDS), path or scratch(docs.sparkSession, "shards"))
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -175,7 +181,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     start counts the ids of all documents before it: those of the parts before, of which a small table has one row
     a part, of the segments before in its part, and of the documents before in its segment.
     """
-    small_batches(shards.sparkSession)
+    bounded_batches(shards.sparkSession)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,10 +190,12 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 crc = [zlib.crc32(raw[a * 4 : e * 4]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                n = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seg] * n, pa.int32()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["part", "seg", "doc_id", "inside", "n_tokens", "ids_crc32"])
+                where = [pa.array([x] * len(docs), pa.int32()) for x in (part, seg)]
+                told = [pa.array(x, pa.int64()) for x in (docs, starts, lengths, crc)]
+                yield pa.RecordBatch.from_arrays([*where, *told], ["part", "seg", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    read = shards.select("part", "seg", "doc_ids", "lengths", "payload").mapInArrow(decode, "part int, seg int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    columns = "part int, seg int, doc_id long, inside long, n_tokens long, ids_crc32 long"
+    read = shards.select("part", "seg", "doc_ids", "lengths", "payload").mapInArrow(decode, columns)
     return read.join(_before(shards), ["part", "seg"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 

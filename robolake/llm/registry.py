@@ -27,11 +27,13 @@ def _partitions(spark: SparkSession) -> int:
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex[:12]}", scratch(spark, "op2-index"), _partitions(spark))
-    return index.ingest(table(spark, sf_dir, "documents"))
+    told = index.ingest(table(spark, sf_dir, "documents"))
+    index.drop()
+    return told
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents")).drop("n_repos")
+    return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ score so far and the number of pieces behind it. Ties follow the tokenizers libr
 replaces an earlier one only if it scores strictly higher, ways being tried by their start. A place that no one-character
 piece covers gets the unknown piece, ten below the worst score, and neighbouring unknown pieces count as one.
 
-A text's chunks, runs of other bytes than ASCII white space with the mark of a space before unless they begin with it, are counted one by one; each worker keeps the counts of chunks it has met.
+A text's chunks, runs of other bytes than ASCII white space with the mark of a space before unless they begin with it, are counted one by
+one; each worker keeps the counts of chunks it has met.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches
 from .wordcache import Memory, grouped, numbered
 
 MARK = "▁"
@@ -30,7 +31,8 @@ def vocabulary(sentencepiece_file: str) -> list[tuple[str, float]]:
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_file)
-    return [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+    plain = (i for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i)))
+    return [(m.id_to_piece(i), m.get_score(i)) for i in plain]
 
 
 class CountOnly:
@@ -88,13 +90,15 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], id_col: str =
 
     One pass without a shuffle; repeated rows are counted each; a null id stays null; other columns aren't read.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a tokenizer's vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = CountOnly(shared.value)
         for b in grouped(batches, 1):
             size = pc.utf8_length(pc.fill_null(b.column(1), "")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(counter.counts(b.column(1)), pa.int64())], ["doc_id", "n_chars", "n_tokens"])
+            counts = pa.array(counter.counts(b.column(1)), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), size, counts], ["doc_id", "n_chars", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_chars long, n_tokens long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, "doc_id long, n_chars long, n_tokens long")

@@ -1,14 +1,16 @@
-"""Whole-text tokenisation through the tokenizers library, which sees each new chunk of text once a worker.
+"""Whole-text tokenisation through the tokenizers library, which sees each new chunk of text once a worker where the tokenizer allows it.
 
-A chunk is a maximal run of bytes other than ASCII white space. The word tokenizer drops white space, its
+A chunk is a maximal run of bytes other than ASCII white space. A word tokenizer drops white space, its
 normaliser composes no character with white space and lower-cases one character at a time, and none of its
 patterns crosses white space; so the ids of a text are the ids of its chunks in order. Each Python worker
 keeps the packed ids of chunks that it has met. Two generations bound the memory: when the young one is
-full it becomes the old one, and what is found there is taken along.
+full it becomes the old one, and what is found there is taken along. Files whose parts are not just those of
+such a tokenizer are told when they are opened, and texts go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -18,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts are split and their chunks numbered for about so many bytes at a time; a longer text is cut at white space into pieces of about so many bytes.
+#: Texts are split and their chunks numbered for about so many bytes at a time; a longer text is cut at white space into pieces of about
+#: so many bytes.
 PIECE = 6 << 20
 GAP = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -110,8 +113,69 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+#: The parts of a tokenizer file for which chunks are told apart: lower-cased words, digits and signs, byte-level, with word ends.
+WORD_PARTS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            # the fixed pattern of such tokenizers
+            {
+                "type": "Split", "behavior": "Removed", "invert": True,
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {
+        "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>",
+        "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
+    },
+}
+
+
+def by_chunks(tokenizer_file: str) -> bool:
+    """Whether a tokenizer file is of the kind whose texts fall into chunks; added tokens may neither span nor take white space."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        parts = json.load(f)
+    parts["model"] = {k: v for k, v in parts["model"].items() if k not in ("vocab", "merges")}
+    added = parts.get("added_tokens") or []
+    fine = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"])) for t in added)
+    return fine and not parts.get("truncation") and not parts.get("padding") and all(parts.get(k) == v for k, v in WORD_PARTS.items())
+
+
+def opened(tokenizer_file: str) -> WordTokens | WholeTokens:
+    """What encodes texts by this file: chunk by chunk if it allows that, else whole texts."""
+    return WordTokens(tokenizer_file) if by_chunks(tokenizer_file) else WholeTokens(tokenizer_file)
+
+
+def _library(tokenizer_file: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_file)
+
+
+class WholeTokens:
+    """Ids of texts under any tokenizer of the library, each text encoded whole."""
+
+    def __init__(self, tokenizer_file: str):
+        self.whole = _library(tokenizer_file)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of strings, one text after the other, and each text's end in them; null counts as empty."""
+        got = self.whole.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)
+        ids = [np.array(x.ids, "<u4") for x in got]
+        return np.concatenate([*ids, np.zeros(0, "<u4")]), np.cumsum([len(x) for x in ids], dtype=np.int64)
+
+
 class WordTokens:
-    """Ids of texts under a byte-level word BPE that drops white space and lower-cases."""
+    """Ids of texts under a byte-level word BPE that drops white space and lower-cases; the file must be one of by_chunks()."""
 
     #: Lower-cased words of letters that no normaliser changes.
     PLAIN = "^[a-zß-öø-ÿ]+$"
@@ -119,11 +183,10 @@ class WordTokens:
     STOPS = string.punctuation.replace("'", "")
 
     def __init__(self, tokenizer_file: str, most: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(tokenizer_file)
-        self.bare = Tokenizer(self.whole.model)  # for words that are in normal form already
+        if not by_chunks(tokenizer_file):
+            raise ValueError(f"{tokenizer_file} is no word tokenizer of the kind whose texts fall into chunks")
+        self.whole = _library(tokenizer_file)
+        self.bare = type(self.whole)(self.whole.model)  # for words that are in normal form already
         self.letters = _byte_letters()
         vocab = self.whole.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -148,7 +211,10 @@ class WordTokens:
         return out
 
     def _parts(self, chunks: pa.Array) -> tuple[np.ndarray, list[bytes]]:
-        """For each chunk the numbers of its two parts, and the packed ids of the parts: a plain word and the stops behind it, or the whole chunk and nothing."""
+        """For each chunk the numbers of its two parts, and the packed ids of the parts.
+
+        The parts are a plain word and the stops behind it, or the whole chunk and nothing.
+        """
         low = pc.utf8_lower(chunks)
         word = pc.ascii_rtrim(low, self.STOPS)
         # the one letter with another lower case in full than letter by letter

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from robolake.llm import components, exact, minhash, multiindex
-from robolake.llm.common import lookup, written
+from robolake.llm.common import Scratch, lookup, shared_keys
 
 
 def spaced(t):
@@ -68,10 +68,11 @@ def test_exact_repeated_and_null_ids(spark, index):
 
 
 def test_lookup_hot_and_cold(spark):
-    left = written(spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id div 2 as string)) as k"), "t")
-    right = written(left.groupBy("k").count(), "t")
-    got = lookup(left, right, "k", "count")
-    assert got.count() == 3000 and got.filter("k = 'hot'").select("count").distinct().first()[0] == 1000
+    with Scratch(spark) as tmp:
+        left = tmp.written(spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id div 2 as string)) as k"), "t")
+        right = tmp.written(left.groupBy("k").count(), "t")
+        got = lookup(left, right, "k", "count")
+        assert got.count() == 3000 and got.filter("k = 'hot'").select("count").distinct().first()[0] == 1000
 
 
 @pytest.mark.parametrize("few", [0, components.FEW])
@@ -79,7 +80,8 @@ def test_components(spark, few):
     rnd = random.Random(few)
     links = [(i, i + 1) for i in range(40)] + [(rnd.randrange(100, 400), rnd.randrange(100, 400)) for _ in range(180)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
     want = brute_components({x for l in links for x in l}, links)
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long"), few).collect()}
+    with Scratch(spark) as tmp:
+        got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long"), tmp, few).collect()}
     assert got == {n: c for n, c in want.items() if any(n in l and l[0] != l[1] for l in links)}
 
 
@@ -128,6 +130,34 @@ def test_near_family_of_blocks(spark, monkeypatch):
     assert got == near_brute(docs)[1]
 
 
+def test_shared_keys_of_a_key_over_many_tasks(spark):
+    """A key with two thirds of the rows, keys of two rows and single ones, in more and in fewer tasks than keys."""
+    rows = [(7, i, 1) for i in range(2000)] + [(i // 2 * 2, 5000 + i, 2) for i in range(10, 800)] + [(10_000 + i, i, 3) for i in range(300)]
+    random.Random(1).shuffle(rows)
+    by: dict = {}
+    for k, i, _ in rows:
+        by.setdefault(k, set()).add(i)
+    df = spark.createDataFrame(rows, "key long, id long, n long")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in ("1", "5", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            with Scratch(spark) as tmp:
+                got = shared_keys(df, tmp).collect()
+            members: dict = {}
+            for r in got:
+                members.setdefault(r.key, set()).add(r.id)
+                assert r.pivot in by[r.key] and r.pivot <= r.id
+            assert members == {k: ids for k, ids in by.items() if len(ids) > 1}
+            whole = brute_components([(r.key, r.id) for r in got], [((r.key, r.id), (r.key, r.pivot)) for r in got])
+            assert all(low[1] == min(by[k]) for (k, _), low in whole.items())
+            assert len(got) <= sum(map(len, members.values())) + 2 * int(parts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
 def test_near_duplicate_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "x")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()), key=str)
