@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, lookup
+from .common import Scratch, bounded_batches, lookup, shared_keys
 from .components import components, roots
 from .wordcache import grouped, numbered
 
@@ -247,10 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         one = full.groupBy("set").agg(F.min(F.struct("id", "n", "bands")).alias("r"), F.count(F.lit(1)).alias("copies"))
         groups = tmp.written(one.select("set", F.col("r.id").alias("rep"), "r.n", "r.bands", "copies"), "sets")
         banded = groups.select(F.col("rep").alias("id"), "n", F.explode(F.array_distinct("bands")).alias("key"))
-        banded = tmp.written(banded, "bands")
-        buckets = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-        buckets = tmp.written(buckets.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), "m"), "buckets")
-        members = tmp.written(lookup(banded, buckets, "key", "m").drop("m"), "members")
+        members = tmp.written(shared_keys(banded, tmp), "members")
         ids = tmp.written(members.select("id").distinct(), "ids")
         asked = F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
         sets = tmp.written(_sets(texts.join(asked, "id", "left_semi"), k), "shingles")
