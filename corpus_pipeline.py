@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage reads what its predecessor kept and all but the last return the columns of documents. A stage's scratch tables are dropped when
-the next one begins, when its own rows have been written. A document is a doc_id, which may be null, with a text: of rows that repeat both
-(texts up to white space) one stays, and rows that share only the id stay or go each by its text.
+Each stage reads what its predecessor kept and all but the last return the columns of documents. What a stage writes for itself is gone
+when it returns, but for small tables of ids that its rows are still read with. A document is a doc_id, which may be null, with a
+text: of rows that repeat both (texts up to white space) one stays, and rows that share only the id stay or go each by its text.
 """
 
 from __future__ import annotations
@@ -14,95 +14,101 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from robolake.llm import common, exact, langid, minhash, mixing, packing, registry
+from robolake.llm.common import Scratch
 
-_last: tuple[int, int] = (0, 0)
 
+def _few(df: DataFrame) -> DataFrame:
+    """A table to be joined: few rows are broadcast, so the texts on the other side aren't shuffled; more of them are merged."""
+    return F.broadcast(df) if df.count() <= minhash.FEW else df.hint("merge")
 
-def _stage(f: Callable[[SparkSession, DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _last
-        common.drop_made(spark, *_last)
-        begin = common.made()
-        out = f(spark, docs)
-        _last = (begin, common.made())
-        return out
 
-    return run_stage
+def _without(docs: DataFrame, gone: DataFrame, tmp: Scratch, *keys: str) -> DataFrame:
+    """docs but for the rows with the keys in gone, where null equals null."""
+    gone = tmp.result(gone.select(*[F.col(k).alias(f"gone_{k}") for k in keys]).distinct(), "gone")
+    return docs.join(_few(gone), [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys], "left_anti")
 
 
-def _without(docs: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
-    """docs but for the rows with the keys in gone, where null equals null. Few are broadcast, so the texts aren't shuffled; more of them are joined."""
-    gone = common.written(gone.select(*[F.col(k).alias(f"gone_{k}") for k in keys]).distinct(), "gone")
-    same = [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys]
-    return docs.join(F.broadcast(gone) if gone.count() <= minhash.FEW else gone.hint("merge"), same, "left_anti")
-
-
-def _shared(docs: DataFrame) -> DataFrame:
+def _shared(docs: DataFrame, tmp: Scratch) -> DataFrame:
     """The ids that don't name one row, null among them."""
-    return common.written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "shared")
+    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return tmp.written(counts.filter("n > 1 or doc_id is null").select("doc_id"), "shared")
 
 
 def _digested(docs: DataFrame) -> DataFrame:
     return docs.withColumn("digest", exact.digest(F.col("text")))
 
 
-def language(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin."""
     learned = langid.fit(docs.filter(langid.training(F.col("doc_id"))))
     return langid.identify(docs, learned).filter("not rejected").select(*docs.columns)
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id."""
-    index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex[:12]}", common.scratch(spark, "digests"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex[:12]}", common.scratch(spark, "digests"), buckets)
     told = index.ingest(docs)
-    if _shared(told).isEmpty():
-        return _without(docs, told.filter("not kept"), "doc_id").select(*docs.columns)
-    keys = common.written(told.groupBy("doc_id", F.unhex("text_sha256").alias("digest")).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "keys")
-    rest = _without(_digested(docs), keys.filter("not kept or n > 1"), "doc_id", "digest").select(*docs.columns)
-    again = _without(_digested(docs), keys.filter("not kept or n = 1"), "doc_id", "digest")
-    one = again.groupBy("doc_id", "digest").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return rest.unionByName(one)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    index.drop()
+    with Scratch(spark) as tmp:
+        if _shared(told, tmp).isEmpty():
+            return _without(docs, told.filter("not kept"), tmp, "doc_id").select(*docs.columns)
+        digest = F.unhex("text_sha256").alias("digest")
+        keys = tmp.written(told.groupBy("doc_id", digest).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "keys")
+        rest = _without(_digested(docs), keys.filter("not kept or n > 1"), tmp, "doc_id", "digest").select(*docs.columns)
+        again = _without(_digested(docs), keys.filter("not kept or n = 1"), tmp, "doc_id", "digest")
+        one = again.groupBy("doc_id", "digest").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+        return rest.unionByName(one)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the one with the smallest id."""
-    shared = _shared(docs)
-    if shared.isEmpty():
-        return _without(docs, minhash.near_duplicates(docs).filter("not kept"), "doc_id").select(*docs.columns)
-    # documents without an id of their own get one above all others; which of a group stays is then settled by the given ids
-    ids = shared.filter("doc_id is not null")
+    with Scratch(spark) as tmp:
+        shared = _shared(docs, tmp)
+        if shared.isEmpty():
+            return _without(docs, minhash.near_duplicates(docs).filter("not kept"), tmp, "doc_id").select(*docs.columns)
+        named, own = _named(docs, shared, tmp)
+        told = minhash.near_duplicates(named, "node").select(F.col("doc_id").alias("own"), "component_id")
+        back = own.select("own", F.col("doc_id").alias("given"), F.lit(True).alias("odd"))
+        given = F.when(F.col("odd"), F.col("given")).otherwise(F.col("own"))
+        told = tmp.written(told.join(_few(back), "own", "left").withColumn("given", given), "given")
+        first = F.min(F.struct(F.col("given").isNull(), "given", "own")).alias("x")
+        best = told.groupBy("component_id").agg(first, F.count(F.lit(1)).alias("m")).select("component_id", F.col("x.own").alias("best"), "m")
+        gone = common.lookup(told, tmp.written(best, "best"), "component_id", "m").filter("own <> best").select(F.col("own").alias("node"))
+        return _without(named, gone, tmp, "node").select(*docs.columns)
+
+
+def _named(docs: DataFrame, shared: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
+    """docs with node, an id of each (doc_id, text), and the table of those that had no id of their own: they get one above all others.
+
+    Which of a group stays is then settled by the given ids.
+    """
     given = _digested(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "digest").distinct()
-    some = given.join(F.broadcast(ids) if ids.count() <= minhash.FEW else ids.hint("merge"), "doc_id", "left_semi")
+    some = given.join(_few(shared.filter("doc_id is not null")), "doc_id", "left_semi").unionByName(given.filter("doc_id is null"))
     top = max(docs.agg(F.max("doc_id")).first()[0] or 0, 0)
-    own = common.written(some.unionByName(given.filter("doc_id is null")).select("doc_id", "digest", (F.monotonically_increasing_id() + top + 1).alias("own")), "own")
-    few = own.count() <= minhash.FEW
+    own = tmp.result(some.select("doc_id", "digest", (F.monotonically_increasing_id() + top + 1).alias("own")), "own")
     keys = own.select(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"), "own")
     same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
-    named = _digested(docs).join(F.broadcast(keys) if few else keys.hint("merge"), same, "left").withColumn("node", F.coalesce("own", F.col("doc_id").cast("long"))).select(*docs.columns, "node")
-    told = common.written(minhash.near_duplicates(named, "node").select(F.col("doc_id").alias("own"), "component_id"), "told")
-    back = own.select("own", F.col("doc_id").alias("given"), F.lit(True).alias("odd"))
-    told = common.written(told.join(F.broadcast(back) if few else back.hint("merge"), "own", "left").withColumn("given", F.when(F.col("odd"), F.col("given")).otherwise(F.col("own"))), "given")
-    best = common.written(told.groupBy("component_id").agg(F.min(F.struct(F.col("given").isNull(), "given", "own")).alias("x"), F.count(F.lit(1)).alias("m")).select("component_id", F.col("x.own").alias("best"), "m"), "best")
-    return _without(named, common.lookup(told, best, "component_id", "m").filter("own <> best").select(F.col("own").alias("node")), "node").select(*docs.columns)
+    node = F.coalesce("own", F.col("doc_id").cast("long"))
+    return _digested(docs).join(_few(keys), same, "left").withColumn("node", node).select(*docs.columns, "node"), own
 
 
-def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them."""
     return mixing.mix(docs, *registry.MIX)
 
 
-def pack(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
     return packing.pack_windows(docs, registry.WORD_TOKENS, registry.END_ID, 4096)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", _stage(language)),
-    ("exact_dedup", _stage(exact_dedup)),
-    ("near_dedup", _stage(near_dedup)),
-    ("mix", _stage(mix)),
-    ("pack", _stage(pack)),
+    ("language", language),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix", mix),
+    ("pack", pack),
 ]
 
 #: SQL has no compression, tokenizer or packing; tests hold the stages against plain versions.
@@ -110,9 +116,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = common.scratch(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.drop_path(spark, before)
+        before = path
     return docs
