@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from robolake.functions.columns import Z95, bin_of, wilson
+from robolake.functions.columns import Z95, bin_of, hash_mod, wilson
+from robolake.functions.quantiles import percentiles
+from robolake.functions.slices import HOT, SLICE, carried, real, sliced
 
 
 def success_rate(df: DataFrame, by: tuple[str, ...], success: str, z: float = Z95) -> DataFrame:
@@ -16,8 +18,8 @@ def success_rate(df: DataFrame, by: tuple[str, ...], success: str, z: float = Z9
 
 
 def tail(df: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
-    """Interpolated median and 95th percentile."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"))
+    """Interpolated median and 95th percentile, exact; groups are cells of a report, each of any number of rows."""
+    return percentiles(df, by, value, {"p50": 0.5, "p95": 0.95}, few=True)
 
 
 def tail_approx(df: DataFrame, by: tuple[str, ...], value: str, accuracy: int = 10_000) -> DataFrame:
@@ -61,8 +63,12 @@ def rate_table(df: DataFrame, row: str, column: str, values: tuple[str, ...], su
     return df.groupBy(row).pivot(column, list(values)).agg(F.avg(F.col(success).cast("double")))
 
 
+#: Ids of predictions of equal confidence in a cell of detections().
+RUN = 1_000_000
+
+
 def detections(pred: DataFrame, truth: DataFrame, image: str, iou: float) -> DataFrame:
-    """Precision, recall and average precision of boxes (id, image, x0, y0, x1, y1; predictions also conf from 0 to 1).
+    """Precision, recall and average precision of boxes (id, a number; image, x0, y0, x1, y1; predictions also conf).
 
     A prediction goes to the truth with which it overlaps most (ties: smaller id); of a truth's predictions with that overlap the
     most confident (ties: smaller id) is right. Boxes meet within their image only.
@@ -76,14 +82,23 @@ def detections(pred: DataFrame, truth: DataFrame, image: str, iou: float) -> Dat
     right = best.withColumn("k", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("conf"), "id"))).filter("k = 1").select("id", F.lit(1).alias("hit"))
     n_truth = truth.agg(F.count(F.lit(1)).alias("n_truth"))
     ranked = pred.select("id", "conf").join(right, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    # a running count over all predictions by confidence: from bins of confidence, a bounded number, and inside each
-    binned = ranked.withColumn("bin", F.floor(F.col("conf") * 1000).cast("long"))
-    sums = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"))
-    above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("bin", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("h").over(above), F.lit(0)).alias("h0"))
-    w = Window.partitionBy("bin").orderBy(F.desc("conf"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    at = binned.join(F.broadcast(before), "bin").withColumns({"tp": F.col("h0") + F.sum("hit").over(w), "k": F.col("n0") + F.count(F.lit(1)).over(w)})
-    return at.agg(F.count(F.lit(1)).alias("n_pred"), F.sum("hit").alias("tp"), F.sum(F.when(F.col("hit") == 1, F.col("tp") / F.col("k"))).alias("s")).join(F.broadcast(n_truth)).select("n_pred", "n_truth", "tp", F.try_divide("tp", "n_pred").alias("precision"), F.try_divide("tp", "n_truth").alias("recall"), F.try_divide(F.coalesce("s", F.lit(0.0)), "n_truth").alias("ap"))
+    # A running count over all predictions by confidence: sums of cells, which lie in that order, and inside each. Of equal confidences, which
+    # may be all, the ids are cut into runs; so a cell is (confidence to 1/1000, confidence, run of ids), and bins of many confidences keep runs small.
+    bin_ = F.greatest(F.least(F.floor(F.col("conf") * 1000), F.lit(1000)), F.lit(0)).cast("long")  # so there are 1001
+    cell = [bin_.alias("bin"), F.floor(F.col("id") / RUN).alias("run")]
+    cells = ranked.select("id", "conf", "hit", *cell)
+    equal = cells.groupBy("bin").agg(F.min("conf").alias("c0"), F.max("conf").alias("c1")).filter("c0 = c1").select("bin", F.lit(True).alias("equal"))
+    cells = cells.join(F.broadcast(equal), "bin", "left").withColumn("run", F.when(F.col("equal"), F.col("run")).otherwise(F.lit(0))).drop("equal")
+    sums = cells.groupBy("bin", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"))
+    above = Window.orderBy(F.desc("bin"), "run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = {c: F.coalesce(F.sum(x).over(above), F.lit(0)) for c, x in (("n0", "n"), ("h0", "h"))}
+    before = sums.select("bin", "run", *[c.alias(n) for n, c in totals.items()])
+    w = Window.partitionBy("bin", "run").orderBy(F.desc("conf"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    at = cells.join(before, ["bin", "run"]).withColumns({"tp": F.col("h0") + F.sum("hit").over(w), "k": F.col("n0") + F.count(F.lit(1)).over(w)})
+    precision = F.sum(F.when(F.col("hit") == 1, F.col("tp") / F.col("k")))
+    told = at.agg(F.count(F.lit(1)).alias("n_pred"), F.sum("hit").alias("tp"), precision.alias("s")).join(F.broadcast(n_truth))
+    rates = [F.try_divide("tp", n).alias(c) for n, c in (("n_pred", "precision"), ("n_truth", "recall"))]
+    return told.select("n_pred", "n_truth", "tp", *rates, F.try_divide(F.coalesce("s", F.lit(0.0)), "n_truth").alias("ap"))
 
 
 def vector_errors(pred: DataFrame, truth: DataFrame, key: str, vec: str) -> DataFrame:
@@ -145,11 +160,35 @@ def top_similar(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: i
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def horizon_error(df: DataFrame, key: str, order: tuple[str, ...], value: str, horizons: tuple[int, ...]) -> DataFrame:
+def horizon_error(df: DataFrame, key: str, us: str, tie: str, value: str, horizons: tuple[int, ...], hot: int = HOT) -> DataFrame:
     """Mean absolute error of repeating the value h rows before, for each h."""
-    w = Window.partitionBy(key).orderBy(*order)
-    cols = [F.abs(F.col(value) - F.lag(value, h).over(w)).alias(f"h{h}") for h in horizons]
-    return df.select(*cols).agg(*[F.avg(f"h{h}").alias(f"h{h}") for h in horizons]).unpivot([], [f"h{h}" for h in horizons], "horizon", "error")
+    rows = carried(sliced(df.select(key, us, tie, value), (key,), us, hot), (key,), (us, tie), max(horizons))
+    w = Window.partitionBy(key, SLICE).orderBy(us, tie)
+    errors = real(rows.withColumns({f"h{h}": F.abs(F.col(value) - F.lag(value, h).over(w)) for h in horizons}))
+    means = errors.agg(*[F.avg(f"h{h}").alias(f"h{h}") for h in horizons])
+    return means.unpivot([], [f"h{h}" for h in horizons], "horizon", "error")
+
+
+def top_choice(df: DataFrame, by: str, label: str, prob: str) -> DataFrame:
+    """The likeliest label of each group (ties: the last by name) and its probability."""
+    best = F.max(F.struct(prob, label)).alias("b")
+    return df.groupBy(by).agg(best).select(by, F.col(f"b.{label}").alias("choice"), F.col(f"b.{prob}").alias("confidence"))
+
+
+def teacher_student(df: DataFrame, by: str, label: str, teacher: str, student: str, least: float) -> DataFrame:
+    """Per group the choices of both, whether they agree and whether the teacher's is confident, at least ``least``; the latter are the subset to learn from."""
+    t = top_choice(df, by, label, teacher).select(by, F.col("choice").alias("teacher"), "confidence")
+    s = top_choice(df, by, label, student).select(by, F.col("choice").alias("student"))
+    both = t.join(s, by)
+    return both.select(by, "teacher", "student", "confidence", (F.col("teacher") == F.col("student")).alias("agrees"), (F.col("confidence") >= least).alias("confident"))
+
+
+def agreement_rate(choices: DataFrame) -> DataFrame:
+    """Of teacher_student(): groups, the share that agrees, and both for the confident ones."""
+    agrees, sure = F.col("agrees"), F.col("confident")
+    n = F.count(F.lit(1))
+    rates = [F.try_divide(F.count_if(agrees), n).alias("agreement"), F.try_divide(F.count_if(agrees & sure), F.count_if(sure)).alias("confident_agreement")]
+    return choices.agg(n.alias("n"), F.count_if(sure).alias("n_confident"), *rates)
 
 
 def divergence(df: DataFrame, by: str, teacher: str, student: str) -> DataFrame:
@@ -160,17 +199,26 @@ def divergence(df: DataFrame, by: str, teacher: str, student: str) -> DataFrame:
 
 
 def distribution_gap(a: DataFrame, b: DataFrame, value: str, n: int = 10, floor: float = 1e-6) -> DataFrame:
-    """PSI over n equal bins of a's range, KS as the largest gap of the cumulated bins, and the gap of the means. Values outside are in the end bins."""
+    """PSI over n equal bins of a's range, KS as the largest gap of the cumulated bins, and the gap of the means.
+
+    Values outside are in the end bins. Without values on a side all three are null.
+    """
     lim = a.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     both = a.select(value, F.lit(0).alias("s")).unionByName(b.select(value, F.lit(1).alias("s"))).filter(F.col(value).isNotNull()).join(F.broadcast(lim))
-    bins = both.groupBy(F.greatest(F.least(bin_of(F.col(value), F.col("lo"), F.col("hi"), n), F.lit(n)), F.lit(1)).alias("bin")).agg(F.count_if(F.col("s") == 0).alias("ca"), F.count_if(F.col("s") == 1).alias("cb"), F.sum(F.when(F.col("s") == 0, F.col(value))).alias("sa"), F.sum(F.when(F.col("s") == 1, F.col(value))).alias("sb"))
+    place = F.greatest(F.least(bin_of(F.col(value), F.col("lo"), F.col("hi"), n), F.lit(n)), F.lit(1))
+    counts = [F.count_if(F.col("s") == k).alias(f"c{x}") for k, x in enumerate("ab")]
+    sums = [F.sum(F.when(F.col("s") == k, F.col(value))).alias(f"s{x}") for k, x in enumerate("ab")]
+    bins = both.groupBy(place.alias("bin")).agg(*counts, *sums)
     every = Window.partitionBy()
-    share = lambda c: F.col(c) / F.sum(c).over(every)
+    share = lambda c: F.try_divide(F.col(c), F.sum(c).over(every))
     p = bins.withColumns({"pa": share("ca"), "pb": share("cb")})
     upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("gap", F.abs(F.sum("pa").over(upto) - F.sum("pb").over(upto)))
     fa, fb = F.greatest("pa", F.lit(floor)), F.greatest("pb", F.lit(floor))
-    return p.agg(F.sum((fa - fb) * F.ln(fa / fb)).alias("psi"), F.max("gap").alias("ks"), (F.sum("sb") / F.sum("cb") - F.sum("sa") / F.sum("ca")).alias("mean_gap"))
+    both_there = F.min(F.col("pa").isNotNull() & F.col("pb").isNotNull())
+    psi = F.when(both_there, F.sum((fa - fb) * F.ln(fa / fb)))
+    means = F.try_divide(F.sum("sb"), F.sum("cb")) - F.try_divide(F.sum("sa"), F.sum("ca"))
+    return p.agg(psi.alias("psi"), F.max("gap").alias("ks"), means.alias("mean_gap"))
 
 
 def drift(df: DataFrame, by: str, x: Column, y: str, tol: float) -> DataFrame:

@@ -8,19 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from robolake.functions.columns import hash_mod, text_key
+from robolake.functions.quantiles import percentiles
+from robolake.operators import ledger, recursive
 
 
 def profile(df: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
     """A row a column: rows, nulls, distinct values, smallest and largest as text, and whether a required column has nulls.
 
-    All columns come from one aggregation; distinct counts are exact.
+    Each column is read and counted by itself: exact distinct counts of several columns in one aggregation would send every row once a column.
     """
-    aggs = []
-    for c in df.columns:
-        v = F.col(c)
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count_if(v.isNull()).alias("n_null"), F.countDistinct(v).alias("n_distinct"), F.min(v).cast("string").alias("min_value"), F.max(v).cast("string").alias("max_value"), (F.lit(c in required) & (F.count_if(v.isNull()) > 0)).alias("violated")).alias(c))
-    wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[F.col(c) for c in df.columns])).alias("p")).select("p.*")
+
+    def one(c: str) -> DataFrame:
+        v, n_null = F.col("v"), F.count_if(F.col("v").isNull())
+        counts = [F.count(F.lit(1)).alias("n_rows"), n_null.alias("n_null"), F.countDistinct(v).alias("n_distinct")]
+        ends = [F.min(v).cast("string").alias("min_value"), F.max(v).cast("string").alias("max_value")]
+        return df.select(F.col(c).alias("v")).agg(*counts, *ends).select(F.lit(c).alias("column"), "*", (F.lit(c in required) & (F.col("n_null") > 0)).alias("violated"))
+
+    return reduce(DataFrame.unionByName, [one(c) for c in df.columns])
 
 
 def accept_collection(df: DataFrame, by: str, rules: dict[str, Column], least_rate: float) -> DataFrame:
@@ -28,7 +32,8 @@ def accept_collection(df: DataFrame, by: str, rules: dict[str, Column], least_ra
     good = reduce(lambda a, b: a & b, [F.coalesce(r, F.lit(False)) for r in rules.values()])
     rate = F.count_if(good) / F.count(F.lit(1))
     counts = [F.count_if(~F.coalesce(r, F.lit(False))).alias(f"fail_{name}") for name, r in rules.items()]
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("n_pass"), *counts, rate.alias("pass_rate"), (rate >= least_rate).alias("accepted"))
+    passed = [F.count(F.lit(1)).alias("n"), F.count_if(good).alias("n_pass")]
+    return df.groupBy(by).agg(*passed, *counts, rate.alias("pass_rate"), (rate >= least_rate).alias("accepted"))
 
 
 def clean(df: DataFrame, text: str, size: Column, short: int = 50, symbols: float = 0.3, repeats: float = 0.5, z: float = 3.0) -> DataFrame:
@@ -39,7 +44,7 @@ def clean(df: DataFrame, text: str, size: Column, short: int = 50, symbols: floa
     """
     v = F.col(text)
     n = F.length(v)
-    odd = F.length(F.regexp_replace(v, r"[\p{L}\p{N}\s]", "")) / n
+    odd = F.regexp_count(v, F.lit(r"[^\p{L}\p{N}\s]")) / n
     lines = F.split(v, "\n")
     again = 1 - F.size(F.array_distinct(lines)) / F.size(lines)
     stats = df.agg(F.avg(size).alias("__m"), F.stddev_samp(size).alias("__d"))
@@ -51,10 +56,10 @@ def clean(df: DataFrame, text: str, size: Column, short: int = 50, symbols: floa
 
 
 def iqr_outliers(df: DataFrame, by: str, value: str, k: float = 1.5) -> DataFrame:
-    """Rows outside the quartiles by more than k times their distance, by group. Quartiles are a row a group and joined."""
-    q = df.groupBy(by).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
-    out = (F.col(value) < F.col("q1") - k * (F.col("q3") - F.col("q1"))) | (F.col(value) > F.col("q3") + k * (F.col("q3") - F.col("q1")))
-    return df.join(q, by).filter(out)
+    """Rows outside the quartiles by more than k times their distance, by group. Groups are sources and the like, few, each of any size."""
+    q = percentiles(df, (by,), value, {"q1": 0.25, "q3": 0.75}, few=True).select(by, "q1", "q3")
+    reach = k * (F.col("q3") - F.col("q1"))
+    return df.join(F.broadcast(q), by).filter((F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach))
 
 
 def dedup_exact(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -62,36 +67,79 @@ def dedup_exact(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return df.groupBy(text_key(F.col(text)).alias("key")).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("copies"))
 
 
+def token_sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The distinct sets of white-space tokens: rep, the smallest id that has it, its tokens and how many rows have it; empty sets have none."""
+    tokens = F.array_sort(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda t: t != "")))
+    rows = df.select(F.col(id_col).alias("id"), tokens.alias("tokens")).filter(F.size("tokens") > 0)
+    return rows.withColumn("set", F.sha2(F.array_join("tokens", " "), 256))
+
+
 def similar_pairs(df: DataFrame, id_col: str, text: str, percent: int = 80) -> DataFrame:
-    """Pairs x < y whose sets of white-space tokens have a Jaccard similarity of percent or more.
+    """Pairs x < y of texts whose sets of white-space tokens differ and have a Jaccard similarity of percent or more.
 
+    Of equal sets the smallest id stands for all, so copies aren't paired with each other; similar_classes() has them as members.
     Prefix filter: with tokens in the order of their rarity, a pair of that similarity shares one of the first n - ceil(n * t) + 1
     of both, so only those are joined; frequent tokens stand last. Candidates are then counted on the whole sets.
     """
-    tokens = df.select(F.col(id_col).alias("id"), F.array_distinct(F.filter(F.split(text, r"\s+"), lambda t: t != "")).alias("tokens"))
+    tokens = token_sets(df, id_col, text).groupBy("set").agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens"))
     rows = tokens.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     rare = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-    prefix = rows.join(rare, "t").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "n", "t")
-    a, b = prefix.select(F.col("id").alias("x"), F.col("n").alias("nx"), "t"), prefix.select(F.col("id").alias("y"), F.col("n").alias("ny"), "t")
-    pairs = a.join(b, "t").filter("x < y and least(nx, ny) * 100 >= greatest(nx, ny) * {}".format(percent)).select("x", "y").distinct()
-    both = pairs.join(tokens.select(F.col("id").alias("x"), F.col("tokens").alias("tx")), "x").join(tokens.select(F.col("id").alias("y"), F.col("tokens").alias("ty")), "y")
-    common = F.size(F.array_intersect("tx", "ty"))
+    prefix = rows.join(rare.filter("df > 1"), "t", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("k", place)
+    prefix = prefix.filter((F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("id", "n", "t")
+    side = lambda i, n: prefix.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), "t")
+    near = f"x < y and least(nx, ny) * 100 >= greatest(nx, ny) * {percent}"
+    pairs = side("x", "nx").join(side("y", "ny"), "t").filter(near).select("x", "y").distinct()
+    sets = lambda i: tokens.select(F.col("id").alias(i), F.col("tokens").alias(f"t{i}"))
+    both = pairs.join(sets("x"), "x").join(sets("y"), "y")
     union = F.size("tx") + F.size("ty") - F.col("c")
-    return both.withColumn("c", common).filter(F.col("c") * 100 >= union * percent).select("x", "y", (F.col("c") / union).alias("jaccard"))
+    both = both.withColumn("c", F.size(F.array_intersect("tx", "ty"))).filter(F.col("c") * 100 >= union * percent)
+    return both.select("x", "y", (F.col("c") / union).alias("jaccard"))
+
+
+def similar_classes(df: DataFrame, id_col: str, text: str, percent: int = 80) -> DataFrame:
+    """A row for each text with tokens: the smallest id of its set, of its cluster, and the number of texts that it is directly similar to.
+
+    Clusters are what links of similar_pairs() connect. Texts of one set are linked with each other and with all that the set is linked with.
+    """
+    sets = token_sets(df, id_col, text)
+    reps = sets.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    pairs = similar_pairs(df, id_col, text, percent).select("x", "y")
+    found = ledger.clusters(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    links = both.join(reps.select(F.col("rep").alias("y"), "copies"), "y").groupBy(F.col("x").alias("rep")).agg(F.sum("copies").alias("others"))
+    told = reps.join(links, "rep", "left").join(found.select(F.col("node").alias("rep"), "cluster"), "rep", "left")
+    told = told.select("set", "rep", F.coalesce("cluster", "rep").alias("cluster"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return sets.select(F.col("id").alias(id_col), "set").join(told, "set").select(id_col, F.col("rep").alias("class"), "cluster", "n_links")
 
 
 def balance(df: DataFrame, cls: str, id_col: str, cap: int | None = None) -> DataFrame:
-    """At most cap rows a class, by the order of a hash of the id; cap is the smallest class unless given."""
-    order = Window.partitionBy(cls).orderBy(F.md5(F.col(id_col).cast("string")), id_col)
-    if cap is None:
-        smallest = df.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("__cap"))
-        return df.withColumn("__k", F.row_number().over(order)).join(F.broadcast(smallest)).filter("__k <= __cap").drop("__k", "__cap")
-    return df.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= cap).drop("__k")
+    """At most cap rows a class, by the order of a hash of the id, then the id; cap is the smallest class unless given.
+
+    No class is sorted: counts of the hash's first digits, 4096 a class, tell up to which of them all rows are taken, and only rows
+    with the next one are ranked. Classes are few.
+    """
+    digest = F.md5(F.col(id_col).cast("string"))
+    rows = df.withColumn("__h", digest).withColumn("__b", F.substring("__h", 1, 3))
+    bins = rows.groupBy(F.col(cls).alias("__c"), F.col("__b").alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = bins.groupBy("__c").agg(F.sum("__n").alias("n"))
+    limit = sizes.agg(F.min("n").alias("__cap")) if cap is None else sizes.limit(1).select(F.lit(cap).cast("long").alias("__cap"))
+    before = F.sum("__n").over(Window.partitionBy("__c").orderBy("__d")) - F.col("__n")
+    bins = bins.withColumn("__before", before).join(F.broadcast(limit)).filter("__before < __cap")
+    taken = rows.join(F.broadcast(bins), F.col(cls).eqNullSafe(F.col("__c")) & (F.col("__b") == F.col("__d")))
+    whole = taken.filter("__before + __n <= __cap").select(*df.columns)
+    place = F.row_number().over(Window.partitionBy("__c").orderBy("__h", id_col))
+    part = taken.filter("__before + __n > __cap").withColumn("__k", place).filter("__k <= __cap - __before")
+    return whole.unionByName(part.select(*df.columns))
 
 
 #: Kind -> pattern, in the order in which they are replaced.
-PERSONAL = {"EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "IP": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "PHONE": r"\+?[0-9][0-9 ()-]{7,}[0-9]", "SECRET": r"(?:AKIA[A-Z0-9]{12,}|[0-9a-f]{32,})"}
+PERSONAL = {
+    "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "IP": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
+    "PHONE": r"\+?[0-9][0-9 ()-]{7,}[0-9]",
+    "SECRET": r"(?:AKIA[A-Z0-9]{12,}|[0-9a-f]{32,})",
+}
 
 
 def redact(df: DataFrame, text: str, rules: dict[str, str] = PERSONAL) -> DataFrame:
@@ -129,12 +177,14 @@ def leakage(train: DataFrame, held_out: DataFrame, text: str, held_text: str, id
     """Training rows that hold a whole line of the held-out texts, with how many. Lines are compared by digest of their normal form; short ones don't count."""
     line = lambda c: F.explode(F.split(c, "\n"))
     held = held_out.select(line(held_text).alias("l")).filter(F.length("l") >= 40).select(text_key(F.col("l")).alias("k")).distinct()
-    return train.select(id_col, line(text).alias("l")).filter(F.length("l") >= 40).select(id_col, text_key(F.col("l")).alias("k")).join(held, "k", "left_semi").groupBy(id_col).agg(F.countDistinct("k").alias("n_lines"))
+    lines = train.select(id_col, line(text).alias("l")).filter(F.length("l") >= 40).select(id_col, text_key(F.col("l")).alias("k"))
+    return lines.join(held, "k", "left_semi").groupBy(id_col).agg(F.countDistinct("k").alias("n_lines"))
 
 
 def harmonise(frames: list[DataFrame], mappings: list[dict[str, str]]) -> DataFrame:
     """Frames of different columns as one; mappings name the columns each has, missing ones are null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.select(*[F.expr(e).alias(c) for c, e in m.items()]) for f, m in zip(frames, mappings, strict=True)])
+    named = [f.select(*[F.expr(e).alias(c) for c, e in m.items()]) for f, m in zip(frames, mappings, strict=True)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
 def rank_weighted(df: DataFrame, key: str, weights: dict[str, float], name: str = "total") -> DataFrame:
@@ -153,7 +203,9 @@ def score(df: DataFrame, features: dict[str, tuple[Column, float]]) -> DataFrame
 def agreement(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     """Precision and recall of a boolean against a gold boolean."""
     tp = F.count_if(F.col(predicted) & F.col(gold))
-    return df.agg(F.count(F.lit(1)).alias("n"), tp.alias("tp"), F.count_if(F.col(predicted) & ~F.col(gold)).alias("fp"), F.count_if(~F.col(predicted) & F.col(gold)).alias("fn"), F.try_divide(tp, F.count_if(predicted)).alias("precision"), F.try_divide(tp, F.count_if(gold)).alias("recall"))
+    wrong = [F.count_if(F.col(predicted) & ~F.col(gold)).alias("fp"), F.count_if(~F.col(predicted) & F.col(gold)).alias("fn")]
+    rates = [F.try_divide(tp, F.count_if(c)).alias(n) for c, n in ((predicted, "precision"), (gold, "recall"))]
+    return df.agg(F.count(F.lit(1)).alias("n"), tp.alias("tp"), *wrong, *rates)
 
 
 def augment(df: DataFrame, id_col: str, value: str, n: int, spread: float, seed: int) -> DataFrame:
@@ -169,15 +221,27 @@ def new_rows(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def pack_turns(df: DataFrame, key: str, order: str, size: Column, budget: int) -> DataFrame:
-    """Ordered sequences cut into parts of at most budget by the running size before each step; a longer step has its own."""
-    w = Window.partitionBy(key).orderBy(order)
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = df.withColumn("size", size).withColumn("part", F.floor(before / budget).cast("long"))
-    return parts.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n_steps"), F.sum("size").alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "role"))), lambda s: s["role"]), ">").alias("roles"))
+    """Ordered sequences cut into parts of at most budget: a step that would pass it begins the next part; a longer step has its own.
+
+    Where a part begins depends on all steps before, so each task walks over its sorted rows once and keeps one part's size.
+    """
+
+    def step(state: tuple, n: float) -> tuple[tuple, tuple]:
+        part, full = state
+        state = (part, full + n) if full is not None and full + n <= budget else (0 if full is None else part + 1, n)
+        return state, (float(state[0]),)
+
+    sized = df.select(key, order, "role", size.alias("size"), size.alias("__n"))
+    parts = recursive.scan(sized, key, (order, "role", "size"), "__n", lambda: (0, None), step, ("part",))
+    roles = F.transform(F.sort_array(F.collect_list(F.struct(order, "role"))), lambda s: s["role"])
+    sums = [F.count(F.lit(1)).alias("n_steps"), F.sum("size").alias("size"), F.array_join(roles, ">").alias("roles")]
+    return parts.groupBy(key, F.col("part").cast("long").alias("part")).agg(*sums)
 
 
 def hard_cases(train: DataFrame, failed: DataFrame, cls: str, base: float = 1.0, step: float = 0.5) -> DataFrame:
-    """Sampling weight of each class: base, and step times its share of the failures more."""
+    """Sampling weight of each class: base, and step times its share of the failures more; without failures all are base."""
     f = failed.groupBy(cls).agg(F.count(F.lit(1)).alias("n_failed"))
-    share = F.coalesce(F.col("n_failed"), F.lit(0)) / F.sum(F.coalesce(F.col("n_failed"), F.lit(0))).over(Window.partitionBy())
-    return train.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).join(f, cls, "left").select(cls, "n", F.coalesce("n_failed", F.lit(0)).cast("long").alias("n_failed"), (base + step * F.coalesce(share, F.lit(0.0))).alias("weight"))
+    n = F.coalesce(F.col("n_failed"), F.lit(0))
+    share = F.coalesce(F.try_divide(n, F.sum(n).over(Window.partitionBy())), F.lit(0.0))
+    every = train.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).join(f, cls, "left")
+    return every.select(cls, "n", n.cast("long").alias("n_failed"), (base + step * share).alias("weight"))

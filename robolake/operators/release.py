@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from robolake.functions.columns import worst
+from robolake.functions.columns import hash_mod, worst
+from robolake.functions.slices import GHOST, HOT, SLICE, carried, sliced, upto
 
 VERDICT = ("PASS", "WATCH", "ROLLBACK")
 ACCEPT = ("PASS", "YELLOW", "FAIL")
@@ -27,13 +28,20 @@ def type_audit(df: DataFrame, expected: dict[str, str]) -> list[tuple[str, str,
     return [(c, t, have.get(c)) for c, t in expected.items() if have.get(c) != t]
 
 
-def degrade(df: DataFrame, key: str, us: str, tie: str, bad: Column, warn: int, stop: int) -> DataFrame:
-    """State after each row: by the errors in a row so far, NORMAL below warn, DEGRADED below stop, else STOPPED; a good row resets."""
-    w = Window.partitionBy(key).orderBy(us, tie).rowsBetween(Window.unboundedPreceding, 0)
-    r = df.withColumn("__bad", bad.cast("long")).withColumn("__run", F.sum(1 - F.col("__bad")).over(w))
-    run = Window.partitionBy(key, "__run").orderBy(us, tie).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("__bad").over(run)
-    return r.withColumn("errors_in_a_row", n).withColumn("state", F.when(F.col("errors_in_a_row") >= stop, "STOPPED").when(F.col("errors_in_a_row") >= warn, "DEGRADED").otherwise("NORMAL")).drop("__bad", "__run")
+def degrade(df: DataFrame, key: str, us: str, tie: str, bad: Column, warn: int, stop: int, hot: int = HOT) -> DataFrame:
+    """State after each row: by the errors in a row so far, NORMAL below warn, DEGRADED below stop, else STOPPED; a good row resets.
+
+    Errors in a row are the rows since the last good one. In a slice of a hot key without a good row yet, that one lies in an earlier slice.
+    """
+    rows = sliced(df.withColumn("__bad", bad.cast("long")), (key,), us, hot)
+    w = Window.partitionBy(key, SLICE).orderBy(us, tie)
+    rows = upto(rows, (key,), {"__rows": F.lit(1)}).withColumn("__k", F.row_number().over(w) + F.coalesce("__rows", F.lit(0)))
+    good = F.when(F.col("__bad") == 0, F.col("__k"))
+    rows = upto(rows, (key,), tops={"__g0": good})
+    last = F.greatest("__g0", F.max(good).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    n = (F.col("__k") - F.coalesce(last, F.lit(0))).cast("long")
+    state = F.when(F.col("errors_in_a_row") >= stop, "STOPPED").when(F.col("errors_in_a_row") >= warn, "DEGRADED").otherwise("NORMAL")
+    return rows.withColumn("errors_in_a_row", n).withColumn("state", state).select(*df.columns, "errors_in_a_row", "state")
 
 
 def replay_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -41,10 +49,30 @@ def replay_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("only_a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("only_b")))
 
 
-def case_stats(df: DataFrame, key: str, cause: str, us: str, tie: str, within: int) -> DataFrame:
-    """By cause: cases, share of all, and share that the same key has again within the time."""
-    again = F.lead(us).over(Window.partitionBy(key, cause).orderBy(us, tie)) - F.col(us) <= within
-    c = df.withColumn("__again", F.coalesce(again, F.lit(False))).groupBy(cause).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("__again").cast("double")).alias("recurrence"))
+def replay_keys(a: DataFrame, b: DataFrame, key: str, cols: tuple[str, ...]) -> DataFrame:
+    """For each key the rows of both runs and whether they are the same multiset, by two sums of hashes; aggregates alone, so no key is gathered."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols])
+    one = lambda df, n: df.select(key, F.lit(n).alias("run"), hash_mod(text, 1 << 31).alias("h"))
+    both = one(a, 0).unionByName(one(b, 1))
+    of = lambda n, c: F.sum(F.when(F.col("run") == n, c).otherwise(0))
+    h = F.col("h")
+    square = (h % 65537) * (h % 65537)
+    gaps = [(of(0, c) - of(1, c)).alias(n) for n, c in (("d", h), ("e", square))]
+    counts = both.groupBy(key).agg(of(0, F.lit(1)).alias("n_a"), of(1, F.lit(1)).alias("n_b"), *gaps)
+    same = (F.col("n_a") == F.col("n_b")) & (F.col("d") == 0) & (F.col("e") == 0)
+    return counts.select(key, "n_a", "n_b", same.alias("same"))
+
+
+def case_stats(df: DataFrame, key: str, cause: str, us: str, tie: str, within: int, hot: int = HOT) -> DataFrame:
+    """By cause: cases, share of all, and share that the same key has again within the time.
+
+    Whether a case comes again is asked of the later one: how long ago the one before it was.
+    """
+    keys = (key, cause)
+    rows = carried(sliced(df.select(key, cause, us, tie), keys, us, hot), keys, (us, tie), 1)
+    again = F.col(us) - F.lag(us).over(Window.partitionBy(*keys, SLICE).orderBy(us, tie)) <= within
+    c = rows.withColumn("__again", F.coalesce(again, F.lit(False))).filter(~F.col(GHOST))
+    c = c.groupBy(cause).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("__again").cast("double")).alias("recurrence"))
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
@@ -69,7 +97,8 @@ def rollback_point(df: DataFrame, bucket: str, verdict: Column) -> DataFrame:
     """The first bucket to roll back and the last good one before it. Both are aggregates: no rows are sorted."""
     r = df.select(bucket, verdict.alias("v"))
     first = r.filter(F.col("v") == VERDICT[2]).agg(F.min(bucket).alias("rollback"))
-    return r.join(F.broadcast(first)).groupBy("rollback").agg(F.max(F.when((F.col("v") == VERDICT[0]) & (F.col(bucket) < F.col("rollback")), F.col(bucket))).alias("last_good"))
+    good = F.when((F.col("v") == VERDICT[0]) & (F.col(bucket) < F.col("rollback")), F.col(bucket))
+    return r.join(F.broadcast(first)).groupBy("rollback").agg(F.max(good).alias("last_good"))
 
 
 def error_budget(df: DataFrame, us: str, step: int, failed: Column, slo: float) -> DataFrame:
@@ -85,9 +114,11 @@ def incident_review(tickets: DataFrame, df: DataFrame, key: str, us: str, value:
     width = max(before, after, 1)
     t = tickets.withColumn("__s", F.explode(F.sequence(F.floor((F.col("first_us") - before) / width), F.floor((F.col("last_us") + after) / width))))
     rows = df.select(key, us, value).withColumn("__s", F.floor(F.col(us) / width))
-    near = t.join(rows, [key, "__s"]).filter((F.col(us) >= F.col("first_us") - before) & (F.col(us) <= F.col("last_us") + after))
+    at, begin, end = F.col(us), F.col("first_us"), F.col("last_us")
+    near = t.join(rows, [key, "__s"]).filter((at >= begin - before) & (at <= end + after))
     of = lambda c: F.avg(F.when(c, F.col(value)))
-    return near.groupBy(key, "ticket").agg(of(F.col(us) < F.col("first_us")).alias("before"), of((F.col(us) >= F.col("first_us")) & (F.col(us) <= F.col("last_us"))).alias("during"), of(F.col(us) > F.col("last_us")).alias("after"))
+    means = [of(at < begin).alias("before"), of((at >= begin) & (at <= end)).alias("during"), of(at > end).alias("after")]
+    return near.groupBy(key, "ticket").agg(*means)
 
 
 def acceptance(df: DataFrame, metrics: dict[str, tuple[float, float]]) -> DataFrame:
@@ -96,24 +127,43 @@ def acceptance(df: DataFrame, metrics: dict[str, tuple[float, float]]) -> DataFr
     every = df.select("entity").distinct().join(F.broadcast(limits))
     r = every.join(df, ["entity", "metric"], "left")
     level = F.when(F.col("value") >= F.col("hi"), 0).when(F.col("value") >= F.col("lo"), 1).otherwise(2)
-    return r.groupBy("entity").agg(F.count_if(level == 0).alias("n_pass"), F.count_if(level == 1).alias("n_yellow"), F.count_if(level == 2).alias("n_fail"), worst(F.max(level), ACCEPT).alias("verdict"))
+    counts = [F.count_if(level == k).alias(n) for k, n in enumerate(("n_pass", "n_yellow", "n_fail"))]
+    return r.groupBy("entity").agg(*counts, worst(F.max(level), ACCEPT).alias("verdict"))
 
 
-def evidence(df: DataFrame, entity: str, row: tuple[str, ...], order: str) -> DataFrame:
-    """For each entity the rows behind its verdict and a digest over their digests in order.
+#: Values of the order column that one link of a chain of evidence covers.
+LINK = 10_000
 
-    Rows are digested first, so what is gathered for an entity is 32 bytes a row.
+
+def evidence(df: DataFrame, entity: str, row: tuple[str, ...], order: str, link: int = LINK) -> DataFrame:
+    """For each entity the rows behind its verdict and a chain of digests: one over the digests, in order, of the links' digests.
+
+    A link covers ``link`` values of the order column, a number that no two rows of an entity share, and digests its rows' digests in order.
+    So what is gathered at once is a link, or a digest a link of an entity.
     """
-    h = df.select(entity, order, F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in row]), 256).alias("h"))
-    return h.groupBy(entity).agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "h"))), lambda x: x["h"]), ""), 256).alias("chain"))
+    h = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row]), 256)
+    rows = df.select(entity, F.floor(F.col(order) / link).alias("__l"), F.col(order).alias("__o"), h.alias("h"))
+    joined = lambda o: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(o, "h"))), lambda x: x["h"]), ""), 256)
+    links = rows.groupBy(entity, "__l").agg(F.count(F.lit(1)).alias("n"), joined("__o").alias("h"))
+    return links.groupBy(entity).agg(F.sum("n").alias("n_rows"), joined("__l").alias("chain"))
+
+
+def source_rows(verdicts: DataFrame, df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """Each verdict joined back to the rows that it was made from."""
+    return df.select(key, *columns).join(verdicts.select(key, "verdict"), key)
 
 
 def report_md(verdicts: DataFrame, title: str) -> DataFrame:
-    """Lines of a Markdown report with a table of verdicts and room for signatures: line number and text, in one small frame."""
+    """Lines of a Markdown report with a table of verdicts and room for signatures: line number and text.
+
+    A report is for readers: its verdicts, thousands at most, are numbered in one task.
+    """
     cols = verdicts.columns
     head = [f"# {title}", "", "| " + " | ".join(cols) + " |", "|" + " --- |" * len(cols)]
     foot = ["", "## Sign-off", "", "| Role | Name | Date |", "| --- | --- | --- |", "| Test |  |  |", "| Release |  |  |"]
-    body = verdicts.select(F.row_number().over(Window.orderBy(cols[0])).cast("long").alias("k"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), F.lit(" |")).alias("text")).select((F.col("k") + len(head)).alias("line"), "text")
+    cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    place = F.row_number().over(Window.orderBy(*cols)).cast("long") + len(head)
+    body = verdicts.select(place.alias("line"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("text"))
     fixed = verdicts.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(head)] + [(1 << 40 | i, t) for i, t in enumerate(foot)], "line long, text string")
     return body.unionByName(fixed).select(F.row_number().over(Window.orderBy("line")).cast("long").alias("line"), "text")
 
@@ -130,4 +180,5 @@ def gate_board(df: DataFrame, entity: str, gates: list[tuple[str, Column]]) -> D
     for i in range(len(gates)):
         ok = ok & F.col(f"g{i}")
         n = n + ok.cast("int")
-    return passed.select(entity, n.cast("long").alias("n_gates"), F.when(n > 0, F.element_at(F.array(*[F.lit(g) for g, _ in gates]), F.greatest(n, F.lit(1)))).alias("gate"))
+    gate = F.when(n > 0, F.element_at(F.array(*[F.lit(g) for g, _ in gates]), F.greatest(n, F.lit(1))))
+    return passed.select(entity, n.cast("long").alias("n_gates"), gate.alias("gate"))

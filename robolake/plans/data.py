@@ -91,15 +91,29 @@ def c05_exact(spark, d):
     return quality.dedup_exact(load(spark, d, "documents"), "doc_id", "text")
 
 
-@query("c05_near", r"""
-WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS s FROM documents),
-     e AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM t),
-     p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM e a JOIN e b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT x, y, round(c / (nx + ny - c), 6) AS jaccard FROM p WHERE c * 100 >= (nx + ny - c) * 80""")
+_PAIRS = r"""t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) AS s FROM documents),
+     u AS (SELECT min(doc_id) AS rep, count(*) AS copies, s FROM t WHERE len(s) > 0 GROUP BY s),
+     e AS (SELECT rep, len(s) AS n, unnest(s) AS w FROM u),
+     c AS (SELECT a.rep AS x, b.rep AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM e a JOIN e b ON a.w = b.w AND a.rep < b.rep GROUP BY 1, 2),
+     p AS (SELECT x, y, round(c / (nx + ny - c), 6) AS jaccard FROM c WHERE c * 100 >= (nx + ny - c) * 80)"""
+
+
+@query("c05_near", f"WITH {_PAIRS} SELECT * FROM p")
 def c05_near(spark, d):
     return quality.similar_pairs(load(spark, d, "documents"), "doc_id", "text", 80).withColumn("jaccard", r6(F.col("jaccard")))
 
 
+@query("c05_clusters", f"""
+WITH RECURSIVE {_PAIRS}, l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+     r AS (SELECT rep AS node, rep AS other FROM u UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.other),
+     k AS (SELECT node, min(other) AS cluster FROM r GROUP BY node),
+     n AS (SELECT l.x AS rep, sum(u.copies)::BIGINT AS others FROM l JOIN u ON u.rep = l.y GROUP BY l.x)
+SELECT t.doc_id, u.rep AS class, k.cluster, (coalesce(n.others, 0) + u.copies - 1)::BIGINT AS n_links
+FROM t JOIN u USING (s) JOIN k ON k.node = u.rep LEFT JOIN n ON n.rep = u.rep""")
+def c05_clusters(spark, d):
+    return quality.similar_classes(load(spark, d, "documents"), "doc_id", "text", 80)
+
+
 @query("c05_balance", """
 WITH m AS (SELECT min(n) AS cap FROM (SELECT count(*) AS n FROM documents GROUP BY lang)),
      r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS k FROM documents)
@@ -183,8 +197,10 @@ _SCORE = r"""SELECT doc_id, 100 * (least(n_chars / 2000, 1.0) * 2.0 + (length(re
 
 
 def _scored(spark, d):
-    lines = F.split("text", "\n")
-    features = {"size": (F.least(F.col("n_chars") / 2000, F.lit(1.0)), 2.0), "letters": (F.length(F.regexp_replace("text", r"[^\p{L}]", "")) / F.length("text"), 3.0), "new_lines": (F.size(F.array_distinct(lines)) / F.size(lines), 1.0)}
+    """An empty text scores as one without letters; its lines are one."""
+    lines, text = F.split("text", "\n"), F.col("text")
+    letters = F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"\p{L}")), F.length(text)), F.when(text.isNotNull(), 0.0))
+    features = {"size": (F.least(F.col("n_chars") / 2000, F.lit(1.0)), 2.0), "letters": (letters, 3.0), "new_lines": (F.size(F.array_distinct(lines)) / F.size(lines), 1.0)}
     return quality.score(load(spark, d, "documents"), features)
 
 
@@ -219,8 +235,11 @@ def c11_incremental(spark, d):
 
 
 @query("c12_pack", """
-WITH s AS (SELECT conv_id, turn, role, length(text) AS size, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
-SELECT conv_id, (before // 1000)::BIGINT AS part, count(*) AS n_steps, sum(size)::BIGINT AS size, string_agg(role, '>' ORDER BY turn) AS roles FROM s GROUP BY conv_id, part""")
+WITH RECURSIVE s AS (SELECT conv_id, turn, role, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+     p AS (SELECT conv_id, k, 0 AS part, size AS full_ FROM s WHERE k = 1
+           UNION ALL SELECT s.conv_id, s.k, CASE WHEN p.full_ + s.size <= 1000 THEN p.part ELSE p.part + 1 END, CASE WHEN p.full_ + s.size <= 1000 THEN p.full_ + s.size ELSE s.size END
+           FROM p JOIN s ON s.conv_id = p.conv_id AND s.k = p.k + 1)
+SELECT conv_id, part::BIGINT AS part, count(*) AS n_steps, sum(size)::BIGINT AS size, string_agg(role, '>' ORDER BY turn) AS roles FROM s JOIN p USING (conv_id, k) GROUP BY conv_id, part""")
 def c12_pack(spark, d):
     return quality.pack_turns(load(spark, d, "conversations"), "conv_id", "turn", F.length("text").cast("long"), 1000)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from robolake.functions.columns import r6
+from robolake.functions.scratch import shared_folder
 from robolake.operators import release, timeline
 from robolake.sources.tables import load, readings, trials
 
@@ -50,14 +51,30 @@ def c41b_degrade(spark, d):
     return release.degrade(readings(spark, d), "entity", "us", "id", F.col("channel") == "error", 2, 3).select("entity", "id", "errors_in_a_row", "state")
 
 
-@query("c41c_replay", """
-WITH a AS (SELECT user_id, event_type, round(value, 3) AS value FROM events), b AS (SELECT user_id, event_type, round(CASE WHEN event_id % 50 = 0 THEN value + 1 ELSE value END, 3) AS value FROM events WHERE event_id % 77 <> 0)
-SELECT *, 'only_a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'only_b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
-def c41c_replay(spark, d):
+_RUNS = """a AS (SELECT user_id, event_type, round(value, 3) AS value FROM events),
+     b AS (SELECT user_id, event_type, round(CASE WHEN event_id % 50 = 0 THEN value + 1 ELSE value END, 3) AS value FROM events)"""
+
+
+def _runs(spark, d):
+    """The events as one run, and as another whose every fiftieth value is off."""
     e = load(spark, d, "events")
-    a = e.select("user_id", "event_type", F.round("value", 3).alias("value"))
-    b = e.filter("event_id % 77 <> 0").select("user_id", "event_type", F.round(F.when(F.col("event_id") % 50 == 0, F.col("value") + 1).otherwise(F.col("value")), 3).alias("value"))
-    return release.replay_diff(a, b)
+    off = F.when(F.col("event_id") % 50 == 0, F.col("value") + 1).otherwise(F.col("value"))
+    return [e.select("user_id", "event_type", F.round(v, 3).alias("value")) for v in (F.col("value"), off)]
+
+
+@query("c41c_replay", f"""
+WITH {_RUNS} SELECT *, 'only_a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+UNION ALL SELECT *, 'only_b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def c41c_replay(spark, d):
+    return release.replay_diff(*_runs(spark, d))
+
+
+@query("c41c_keys", f"""
+WITH {_RUNS}, d AS ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a)),
+     n AS (SELECT user_id, sum(x)::BIGINT AS n_a, sum(y)::BIGINT AS n_b FROM (SELECT user_id, 1 AS x, 0 AS y FROM a UNION ALL SELECT user_id, 0, 1 FROM b) GROUP BY user_id)
+SELECT user_id, n_a, n_b, user_id NOT IN (SELECT user_id FROM d) AS same FROM n""")
+def c41c_keys(spark, d):
+    return release.replay_keys(*_runs(spark, d), "user_id", ("event_type", "value"))
 
 
 TICKETS = """x AS (SELECT entity, us, id, coalesce(us - lag(us) OVER (PARTITION BY entity ORDER BY us, id) > {gap}, true)::INT AS s FROM e WHERE channel = 'error'),
@@ -151,16 +168,42 @@ def c44a_gate(spark, d):
     return release.acceptance(_metrics(spark, d), _LIMITS)
 
 
-@query("c44b_evidence", """
-WITH h AS (SELECT user_id, event_id, sha256(event_id::VARCHAR || '|' || event_type || '|' || props) AS h FROM events)
-SELECT user_id, count(*) AS n_rows, sha256(string_agg(h, '' ORDER BY event_id)) AS chain FROM h GROUP BY user_id""")
+@query("c44b_evidence", f"""
+WITH h AS (SELECT user_id, event_id, event_id // {release.LINK} AS l, sha256(event_id::VARCHAR || '|' || event_type || '|' || props) AS h FROM events),
+     k AS (SELECT user_id, l, count(*) AS n, sha256(string_agg(h, '' ORDER BY event_id)) AS h FROM h GROUP BY user_id, l)
+SELECT user_id, sum(n)::BIGINT AS n_rows, sha256(string_agg(h, '' ORDER BY l)) AS chain FROM k GROUP BY user_id""")
 def c44b_evidence(spark, d):
     return release.evidence(load(spark, d, "events"), "user_id", ("event_id", "event_type", "props"), "event_id")
 
 
-@query("c44c_report")
+@query("c44b_sources", f"WITH v AS ({SQL['c44a_gate']}) SELECT user_id AS entity, event_id, event_type, value, verdict FROM events JOIN v ON entity = user_id")
+def c44b_sources(spark, d):
+    rows = load(spark, d, "events").withColumnRenamed("user_id", "entity")
+    return release.source_rows(c44a_gate(spark, d), rows, "entity", ("event_id", "event_type", "value"))
+
+
+def _lines(texts: tuple[str, ...], first: int) -> str:
+    return " UNION ALL ".join(f"SELECT {first + i} AS part, NULL AS cell, '{t}' AS text" for i, t in enumerate(texts))
+
+
+@query("c44c_report", f"""
+WITH v AS ({SQL['c43b_canary']}),
+     l AS ({_lines(('# Acceptance report', '', '| cell | nb | nc | delta | verdict |', '| --- | --- | --- | --- | --- |'), 1)}
+           UNION ALL SELECT 5, cell, '| ' || cell || ' | ' || nb || ' | ' || nc || ' | ' || verdict || ' |' FROM v
+           UNION ALL {_lines(('', '## Sign-off', '', '| Role | Name | Date |', '| --- | --- | --- |', '| Test |  |  |', '| Release |  |  |'), 6)})
+SELECT row_number() OVER (ORDER BY part, cell) AS line, text FROM l""".replace("delta | ", "", 1).replace("| --- | --- | --- | --- | --- |", "| --- | --- | --- | --- |"))
 def c44c_report(spark, d):
-    return release.report_md(c43b_canary(spark, d), "Acceptance report")
+    return release.report_md(c43b_canary(spark, d).select("cell", "nb", "nc", "verdict"), "Acceptance report")
+
+
+@query("c44c_file", "SELECT count(*) + 11 AS n_lines, count(*) AS n_verdicts, true AS signed FROM (SELECT DISTINCT event_type FROM events)")
+def c44c_file(spark, d):
+    """The report written to a file and read back."""
+    path = shared_folder(spark, "report")
+    release.write_report(c44c_report(spark, d), path)
+    lines = spark.read.text(path)
+    verdict = F.col("value").rlike(r"\| (PASS|WATCH|ROLLBACK) \|$")
+    return lines.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(verdict).alias("n_verdicts"), (F.count_if(F.col("value") == "## Sign-off") == 1).alias("signed"))
 
 
 @query("c44d_gates", f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from robolake.functions.columns import hash_mod, r6
@@ -97,13 +98,11 @@ _T = "t AS (SELECT channel AS src, dst, count(*) AS w FROM (SELECT channel, lead
 
 @query("c17_reachable", f"""
 WITH RECURSIVE {E}, {_T}, s AS (SELECT src, dst FROM t QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 1),
-     r AS (SELECT 'click' AS node, 0 AS hops UNION SELECT s.dst, r.hops + 1 FROM r JOIN s ON s.src = r.node WHERE r.hops < 4)
+     r AS (SELECT 'click' AS node, 0 AS hops UNION SELECT s.dst, r.hops + 1 FROM r JOIN s ON s.src = r.node WHERE r.hops < 10)
 SELECT node, min(hops)::BIGINT AS hops FROM r GROUP BY node""")
 def c17_reachable(spark, d):
-    from pyspark.sql import Window
-
-    t = transitions(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))).filter("k = 1")
-    return ledger.reachable(t.select("src", "dst").cache(), "click", 4)
+    k = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
+    return ledger.reachable(transitions(spark, d).withColumn("k", k).filter("k = 1"), "click")
 
 
 @query("c17_path", f"""
@@ -111,17 +110,17 @@ WITH {E}, d AS (SELECT entity, us, id, value - lag(value) OVER (PARTITION BY ent
      s AS (SELECT entity, d, abs(d - lag(d) OVER (PARTITION BY entity ORDER BY us, id)) AS dd FROM d)
 SELECT entity, round(coalesce(sum(abs(d)), 0), 6) AS length, round(avg(dd), 6) AS roughness FROM s GROUP BY entity""")
 def c17_path(spark, d):
-    return _rounded(ledger.path_length(readings(spark, d), "entity", ("us", "id"), "value"), "length", "roughness")
+    return _rounded(ledger.path_length(readings(spark, d), "entity", "us", "id", "value"), "length", "roughness")
 
 
 @query("c18_levels", """
 WITH RECURSIVE n AS (SELECT n_nationkey AS k FROM nation), t AS (SELECT k // 2 AS src, k AS dst FROM n WHERE k > 0 UNION SELECT k // 3, k FROM n WHERE k > 0),
-     r AS (SELECT 0 AS node, 0 AS level UNION SELECT t.dst, r.level + 1 FROM r JOIN t ON t.src = r.node WHERE r.level < 10)
+     r AS (SELECT 0 AS node, 0 AS level UNION SELECT t.dst, r.level + 1 FROM r JOIN t ON t.src = r.node WHERE r.level < 30)
 SELECT node::VARCHAR AS node, max(level)::BIGINT AS level FROM r GROUP BY node""")
 def c18_levels(spark, d):
     n = load(spark, d, "nation").select(F.col("n_nationkey").alias("k")).filter("k > 0")
     edges = n.selectExpr("cast(k div 2 as string) as src", "cast(k as string) as dst").unionByName(n.selectExpr("cast(k div 3 as string) as src", "cast(k as string) as dst")).distinct()
-    return ledger.levels(edges, 10)
+    return ledger.levels(edges)
 
 
 @query("c18_early", f"""
@@ -136,10 +135,8 @@ def c18_early(spark, d):
 WITH {E}, w AS (SELECT channel, value, avg(value) OVER (PARTITION BY entity ORDER BY us, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ref FROM e)
 SELECT channel, count(*) AS n, round(sqrt(avg((value - ref) * (value - ref))), 6) AS rmse, round(max(abs(value - ref)), 6) AS max_error, round(count(*) FILTER (abs(value - ref) <= 20) / count(*), 6) AS in_band FROM w GROUP BY channel""")
 def c19_tracking(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("entity").orderBy("us", "id").rowsBetween(-4, 0)
-    t = evaluation.tracking(readings(spark, d).withColumn("ref", F.avg("value").over(w)), "channel", "ref", "value", 20.0)
+    r = timeline.trailing_mean(readings(spark, d), "entity", "us", "id", "value", 5, "ref")
+    t = evaluation.tracking(r, "channel", "ref", "value", 20.0)
     return _rounded(t, "rmse", "max_error", "in_band")
 
 
@@ -197,20 +194,46 @@ def c23_topk(spark, d):
 WITH {E}, w AS (SELECT abs(value - lag(value, 1) OVER w) AS h1, abs(value - lag(value, 2) OVER w) AS h2, abs(value - lag(value, 5) OVER w) AS h5 FROM e WINDOW w AS (PARTITION BY entity ORDER BY us, id))
 SELECT 'h1' AS horizon, round(avg(h1), 6) AS error FROM w UNION ALL SELECT 'h2', round(avg(h2), 6) FROM w UNION ALL SELECT 'h5', round(avg(h5), 6) FROM w""")
 def c23_horizon(spark, d):
-    return _rounded(evaluation.horizon_error(readings(spark, d), "entity", ("us", "id"), "value", (1, 2, 5)), "error")
+    return _rounded(evaluation.horizon_error(readings(spark, d), "entity", "us", "id", "value", (1, 2, 5)), "error")
 
 
-@query("c24_distill", """
-WITH c AS (SELECT source, lang, count(*) FILTER (doc_id % 2 = 0) AS a, count(*) FILTER (doc_id % 2 = 1) AS b FROM documents GROUP BY source, lang),
-     p AS (SELECT source, lang, (a + 1) / (sum(a) OVER (PARTITION BY source) + 4) AS p, (b + 1) / (sum(b) OVER (PARTITION BY source) + 4) AS q FROM c)
-SELECT source, round(sum(CASE WHEN p = 0 THEN 0 ELSE p * ln(p / q) END), 6) AS kl FROM p GROUP BY source""")
-def c24_distill(spark, d):
-    from pyspark.sql import Window
+_CHOICES = """c AS (SELECT source, lang, count(*) FILTER (doc_id % 2 = 0) AS a, count(*) FILTER (doc_id % 2 = 1) AS b FROM documents GROUP BY source, lang),
+     p AS (SELECT source, lang, (a + 1) / (sum(a) OVER (PARTITION BY source) + 4) AS p, (b + 1) / (sum(b) OVER (PARTITION BY source) + 4) AS q FROM c)"""
 
+
+def _choices(spark, d):
+    """How two halves of the documents share out the languages of each source: teacher p, student q."""
     s = Window.partitionBy("source")
-    c = load(spark, d, "documents").groupBy("source", "lang").agg(F.count_if(F.col("doc_id") % 2 == 0).alias("a"), F.count_if(F.col("doc_id") % 2 == 1).alias("b"))
-    p = c.select("source", ((F.col("a") + 1) / (F.sum("a").over(s) + 4)).alias("p"), ((F.col("b") + 1) / (F.sum("b").over(s) + 4)).alias("q"))
-    return _rounded(evaluation.divergence(p, "source", "p", "q"), "kl")
+    even = F.col("doc_id") % 2 == 0
+    c = load(spark, d, "documents").groupBy("source", "lang").agg(F.count_if(even).alias("a"), F.count_if(~even).alias("b"))
+    share = lambda n: (F.col(n) + 1) / (F.sum(n).over(s) + 4)
+    return c.select("source", "lang", share("a").alias("p"), share("b").alias("q"))
+
+
+@query("c24_distill", f"WITH {_CHOICES} SELECT source, round(sum(CASE WHEN p = 0 THEN 0 ELSE p * ln(p / q) END), 6) AS kl FROM p GROUP BY source")
+def c24_distill(spark, d):
+    return _rounded(evaluation.divergence(_choices(spark, d), "source", "p", "q"), "kl")
+
+
+_BOTH = f"""{_CHOICES},
+     t AS (SELECT source, arg_max(lang, (p, lang)) AS teacher, max(p) AS confidence, arg_max(lang, (q, lang)) AS student FROM p GROUP BY source),
+     b AS (SELECT *, teacher = student AS agrees, confidence >= 0.4 AS confident FROM t)"""
+
+
+def _both(spark, d):
+    return evaluation.teacher_student(_choices(spark, d), "source", "lang", "p", "q", 0.4)
+
+
+@query("c24_subset", f"WITH {_BOTH} SELECT source, teacher, student, round(confidence, 6) AS confidence, agrees FROM b WHERE confident")
+def c24_subset(spark, d):
+    return _rounded(_both(spark, d).filter("confident").drop("confident"), "confidence")
+
+
+@query("c24_agreement", f"""
+WITH {_BOTH} SELECT count(*) AS n, count(*) FILTER (confident) AS n_confident, round(count(*) FILTER (agrees) / count(*), 6) AS agreement,
+       round(count(*) FILTER (agrees AND confident) / nullif(count(*) FILTER (confident), 0), 6) AS confident_agreement FROM b""")
+def c24_agreement(spark, d):
+    return _rounded(evaluation.agreement_rate(_both(spark, d)), "agreement", "confident_agreement")
 
 
 @query("c25_simulators", """
@@ -223,13 +246,13 @@ def c25_simulators(spark, d):
 
 
 @query("c26_reconcile", """
-WITH a AS (SELECT p_partkey, p_size, p_brand FROM part WHERE p_partkey % 10 <> 0), b AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size, p_brand FROM part WHERE p_partkey % 11 <> 0)
-SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'missing_left' WHEN b.p_partkey IS NULL THEN 'missing_right' ELSE 'differs' END AS status
-FROM a FULL JOIN b ON a.p_partkey = b.p_partkey WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.p_size IS DISTINCT FROM b.p_size OR a.p_brand IS DISTINCT FROM b.p_brand""")
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'missing_left' WHEN b.k IS NULL THEN 'missing_right' ELSE 'differs' END AS status
+FROM (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier) a FULL JOIN (SELECT c_custkey AS k, c_nationkey AS n FROM customer) b ON a.k = b.k
+WHERE a.k IS NULL OR b.k IS NULL OR a.n IS DISTINCT FROM b.n""")
 def c26_reconcile(spark, d):
-    p = load(spark, d, "part").select("p_partkey", "p_size", "p_brand")
-    b = p.filter("p_partkey % 11 <> 0").withColumn("p_size", F.expr("case when p_partkey % 7 = 0 then p_size + 1 else p_size end"))
-    return ledger.reconcile(p.filter("p_partkey % 10 <> 0"), b, "p_partkey", ("p_size", "p_brand"))
+    a = load(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    b = load(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    return ledger.reconcile(a, b, "k", ("n",))
 
 
 @query("c27_generate", """
@@ -246,10 +269,8 @@ WITH {E}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY us, id
            FROM o WINDOW u AS (PARTITION BY entity ORDER BY k ROWS UNBOUNDED PRECEDING))
 SELECT entity, id, round(smoothed, 6) AS smoothed, best, k - max(CASE WHEN better THEN k END) OVER (PARTITION BY entity ORDER BY k ROWS UNBOUNDED PRECEDING) AS plateau FROM s""".replace("                  value > max(value) OVER (PARTITION BY entity ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE AS x,\n", ""))
 def c29_monitor(spark, d):
-    from pyspark.sql import Window
-
-    r = readings(spark, d).withColumn("order", F.row_number().over(Window.partitionBy("entity").orderBy("us", "id")))
-    return _rounded(timeline.smooth(r, "entity", "order", "value", 5), "smoothed").select("entity", "id", "smoothed", "best", "plateau")
+    r = timeline.smooth(readings(spark, d), "entity", "us", "id", "value", 5)
+    return _rounded(r, "smoothed").select("entity", "id", "smoothed", "best", "plateau")
 
 
 @query("c31_funnel", f"""
@@ -279,10 +300,8 @@ def c33_drift(spark, d):
 WITH {E}, w AS (SELECT entity, id, value, max(value) OVER w - min(value) OVER w AS spread, stddev_samp(value) OVER w AS sd, avg(value) OVER w AS m FROM e WINDOW w AS (PARTITION BY entity ORDER BY us, id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
 SELECT entity, id, round(spread, 6) AS spread, round(sd, 6) AS sd, coalesce(abs(value - m) > 2.5::DOUBLE * sd, false) AS spike FROM w""")
 def c34_ripple(spark, d):
-    from pyspark.sql import Window
-
-    r = readings(spark, d).withColumn("order", F.row_number().over(Window.partitionBy("entity").orderBy("us", "id")))
-    return _rounded(timeline.ripple(r, "entity", "order", "value", 10, 2.5), "spread", "sd").select("entity", "id", "spread", "sd", "spike")
+    r = timeline.ripple(readings(spark, d), "entity", "us", "id", "value", 10, 2.5)
+    return _rounded(r, "spread", "sd").select("entity", "id", "spread", "sd", "spike")
 
 
 @query("c35_jitter", f"""
@@ -311,7 +330,7 @@ def c36_calibrate(spark, d):
 WITH {E}, d AS (SELECT entity, us - lag(us) OVER (PARTITION BY entity ORDER BY us, id) AS d FROM e WHERE channel = 'error')
 SELECT entity, count(*) AS n_failures, round(avg(d) / 3600000000, 6) AS mtbf_hours FROM d GROUP BY entity""")
 def c36_mtbf(spark, d):
-    return _rounded(timeline.between_failures(readings(spark, d).filter("channel = 'error'"), "entity", "us", "id"), "mtbf_hours")
+    return _rounded(timeline.between_failures(readings(spark, d).filter("channel = 'error'"), "entity", "us"), "mtbf_hours")
 
 
 @query("c37_deadline", f"""

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from robolake.functions.columns import micros
+from robolake.functions.scratch import shared_folder
+from robolake.sources.tables import load
 from robolake.streaming import jobs
 
 from .release import DEGRADE
@@ -33,17 +32,8 @@ def _micros(df, *cols):
     return df.withColumns({c: micros(c) for c in cols})
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="robolake-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def _drained(spark, df, mode="append"):
-    at = _folder(spark)
+    at = shared_folder(spark, "stream")
     return jobs.drain(df, f"{at}/out", f"{at}/checkpoint", mode)
 
 
@@ -77,9 +67,28 @@ def s4_interval_join(spark, d):
     return _drained(spark, jobs.interval_join(e.filter("event_type = 'view'"), jobs.events(spark, d).filter("event_type = 'purchase'"), "1 hour", "6 HOURS"))
 
 
-@query("s5_once", "SELECT DISTINCT user_id, event_type FROM events")
+#: Files that s5_once takes one after the other; a day of a user lies in several of them.
+FILES = 8
+
+
+@query("s5_once", "SELECT DISTINCT user_id, event_type, (epoch_us(ts) // 86400000000) * 86400000000 AS day FROM events")
 def s5_once(spark, d):
-    return _drained(spark, jobs.once(jobs.events(spark, d), "1 hour", ("user_id", "event_type")).select("user_id", "event_type"))
+    """A kind of event once a user and day, over as many micro-batches as files; rows of a day come within the watermark, a day."""
+    at = shared_folder(spark, "files")
+    jobs.in_files(load(spark, d, "events"), at, FILES)
+    e = jobs.from_files(spark, at).withColumn("day", F.date_trunc("day", "ts"))
+    return _micros(_drained(spark, jobs.once(e, "1 day", ("user_id", "event_type", "day")).select("user_id", "event_type", "day")), "day")
+
+
+@query("c11_ingest", """
+SELECT event_type, count(*) AS n_read, count(*) FILTER (value >= 10) AS n_good, count(*) FILTER (NOT coalesce(value >= 10, false)) AS n_rejected, 1::BIGINT AS n_batches
+FROM events GROUP BY event_type""")
+def c11_ingest(spark, d):
+    """The incremental pipeline: a second run finds nothing new, so each row stands once, in the good table or in quarantine."""
+    at = shared_folder(spark, "ingest")
+    for _ in range(2):
+        jobs.ingest(jobs.events(spark, d), f"{at}/good", f"{at}/rejected", f"{at}/checkpoint", "value >= 10")
+    return jobs.ingested(spark, f"{at}/good", f"{at}/rejected", "event_type")
 
 
 @query("s6_degrade", f"WITH {DEGRADE} SELECT entity AS user_id, id AS event_id, CASE WHEN n >= 3 THEN 'STOPPED' WHEN n >= 2 THEN 'DEGRADED' ELSE 'NORMAL' END AS state FROM n")

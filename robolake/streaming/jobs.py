@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +17,40 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def in_files(rows: DataFrame, folder: str, n: int) -> None:
+    """Rows of events as n files in the order of time, each of an equal span; a stream then takes one after the other."""
+    ends = rows.agg(F.min("ts"), F.max("ts")).first()
+    if ends[0] is None:
+        rows.coalesce(1).write.parquet(folder)
+        return
+    width = (ends[1] - ends[0]) / n
+    for k in range(n):
+        here = F.col("ts") >= F.lit(ends[0] + k * width).cast("timestamp_ntz")
+        if k + 1 < n:
+            here = here & (F.col("ts") < F.lit(ends[0] + (k + 1) * width).cast("timestamp_ntz"))
+        rows.filter(here).coalesce(1).write.mode("append").parquet(folder)
+
+
+def from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a folder as a stream, one file a micro-batch."""
+    read = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    return read.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def tumbling(df: DataFrame, late: str, width: str) -> DataFrame:
-    return df.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select(F.col("window.start").alias("start"), "event_type", "n", "mean")
+    counts = df.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    return counts.select(F.col("window.start").alias("start"), "event_type", "n", "mean")
 
 
 def sliding(df: DataFrame, late: str, width: str, step: str) -> DataFrame:
-    return df.withWatermark("ts", late).groupBy(F.window("ts", width, step)).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "n")
+    counts = df.withWatermark("ts", late).groupBy(F.window("ts", width, step)).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("window.start").alias("start"), "n")
 
 
 def sessions(df: DataFrame, late: str, gap: str) -> DataFrame:
     """The session's start comes from the whole grouped column: grouping by a part of it wouldn't merge sessions."""
-    return df.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    counts = df.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def interval_join(left: DataFrame, right: DataFrame, late: str, within: str) -> DataFrame:
@@ -44,17 +68,20 @@ STATE = "user_id long, event_id long, state string"
 
 
 def degrade(df: DataFrame, warn: int, stop: int) -> DataFrame:
-    """State of a user after each event by its errors in a row; rows of a micro-batch are put in order, batches are taken as they come."""
+    """State of a user after each event by its errors in a row; rows of a micro-batch are put in order, batches are taken as they come.
+
+    A user's rows of one micro-batch stand in memory together; maxFilesPerTrigger bounds them.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for kind in rows["event_type"]:
-            n = n + 1 if kind == "error" else 0
-            out.append("STOPPED" if n >= stop else "DEGRADED" if n >= warn else "NORMAL")
-        state.update((n,))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "state": out})
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
+        place = np.arange(1, len(rows) + 1)
+        last = np.maximum.accumulate(np.where(rows["event_type"].to_numpy() == "error", 0, place))
+        run = np.where(last > 0, place - last, place + n)
+        state.update((int(run[-1]),))
+        told = np.where(run >= stop, "STOPPED", np.where(run >= warn, "DEGRADED", "NORMAL"))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "state": told})
 
     return df.groupBy("user_id").applyInPandasWithState(step, STATE, "n int", "append", "NoTimeout")
 
@@ -71,8 +98,16 @@ def ingest(source: DataFrame, good: str, rejected: str, checkpoint: str, rule: s
 
     def split(batch: DataFrame, number: int) -> None:
         kept = F.coalesce(F.expr(rule), F.lit(False))
-        batch.filter(kept).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{good}/batch={number}")
-        batch.filter(~kept).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        batch.filter(kept).write.mode("overwrite").parquet(f"{good}/batch={number}")
+        batch.filter(~kept).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
 
     q = source.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def ingested(spark: SparkSession, good: str, rejected: str, by: str) -> DataFrame:
+    """Rows that ingest() has read, kept and put into quarantine so far, and from how many batches, by a column."""
+    one = lambda path, kept: spark.read.parquet(path).select(by, "batch", F.lit(kept).alias("kept"))
+    rows = one(good, True).unionByName(one(rejected, False))
+    counts = [F.count_if("kept").alias("n_good"), F.count_if(~F.col("kept")).alias("n_rejected"), F.countDistinct("batch").alias("n_batches")]
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_read"), *counts)

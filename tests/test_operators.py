@@ -79,10 +79,20 @@ def test_similar_pairs_brute_force(spark):
 
     rnd = random.Random(1)
     docs = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(9)))) for i in range(60)] + [(99, None)]
-    got = set(vals(quality.similar_pairs(spark.createDataFrame(docs, "id long, text string"), "id", "text", 60), "x", "y"))
-    sets = {i: set(t.split()) for i, t in docs if t is not None}
-    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])}
-    assert got == want
+    df = spark.createDataFrame(docs, "id long, text string")
+    got = set(vals(quality.similar_pairs(df, "id", "text", 60), "x", "y"))
+    sets = {i: frozenset(t.split()) for i, t in docs if t}
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])}
+    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    assert got == {(a, b) for a, b in near if first[a] == a and first[b] == b and sets[a] != sets[b]}
+    # every link is there by classes, clusters and numbers of links
+    cluster = dict(first)
+    for _ in sets:
+        for a, b in near:
+            cluster[a] = cluster[b] = min(cluster[a], cluster[b])
+    want = {(i, first[i], cluster[i], sum(i in p for p in near)) for i in sets}
+    assert set(vals(quality.similar_classes(df, "id", "text", 60), "id", "class", "cluster", "n_links")) == want
+    assert quality.similar_classes(df.limit(0), "id", "text").count() == 0
 
 
 def test_redaction_leaves_nothing(spark):
@@ -143,6 +153,100 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
+def test_hot_keys_are_sliced(spark):
+    """Windows over keys cut into many slices give what they give over whole keys."""
+    import random
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["hot", "hot", "hot", "a", None]), rnd.randrange(4000), i, float(rnd.randrange(50)), rnd.choice("eeo")) for i in range(700)]
+    df = spark.createDataFrame(rows, "entity string, us long, id long, value double, kind string").repartition(3)
+    bad = F.col("kind") == "e"
+    forms = [
+        lambda h: timeline.gaps(df, "entity", "us", "id", 20, h),
+        lambda h: timeline.jitter(df, "entity", "us", "id", h),
+        lambda h: timeline.tickets(df, "entity", "us", "id", 12, h),
+        lambda h: timeline.stage_shares(df, "entity", "kind", "us", "id", ("e", "o"), h),
+        lambda h: timeline.smooth(df, "entity", "us", "id", "value", 5, h),
+        lambda h: timeline.ripple(df, "entity", "us", "id", "value", 7, 1.5, h),
+        lambda h: timeline.trailing_mean(df, "entity", "us", "id", "value", 4, "m", h),
+        lambda h: timeline.deadline_miss(df, "entity", "us", "id", 9, h),
+        lambda h: timeline.predict_linear(df, "entity", "us", "id", "value", h),
+        lambda h: ledger.path_length(df, "entity", "us", "id", "value", h),
+        lambda h: evaluation.horizon_error(df, "entity", "us", "id", "value", (1, 3), h),
+        lambda h: release.degrade(df, "entity", "us", "id", bad, 2, 3, h),
+        lambda h: release.case_stats(df, "entity", "kind", "us", "id", 15, h),
+    ]
+    text = lambda f: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in f.collect())
+    for n, form in enumerate(forms):
+        assert text(form(25)) == text(form(10**9)), n
+
+
+def test_slices_bound_a_window(spark):
+    from robolake.functions.slices import sliced
+
+    df = spark.range(3000).selectExpr("if(id % 2 = 0, 'hot', cast(id as string)) as k", "id as us")
+    n = sliced(df, ("k",), "us", 100).groupBy("k", "__slice").count().agg(F.max("count")).first()[0]
+    assert n <= 101
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_percentiles_are_exact(spark, accuracy):
+    import random
+
+    from robolake.functions.quantiles import percentiles
+
+    rnd = random.Random(3)
+    rows = [("big", rnd.gauss(0, 1)) for _ in range(2000)] + [("same", 7.0)] * 500 + [("few", float(i)) for i in range(6)] + [("none", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.95).alias("p"))
+    text = lambda f: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in f.select("g", "n", "q1", "p").collect())
+    for few in (False, True):
+        assert text(percentiles(df, ("g",), "v", {"q1": 0.25, "p": 0.95}, few, accuracy)) == text(want)
+    assert percentiles(df.filter("g = 'few'"), (), "v", {"m": 0.5}).first().m == 2.5
+
+
+def test_levels_and_reach_beyond_any_bound(spark):
+    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(15)], "src string, dst string")
+    assert ledger.levels(chain).agg(F.max("level")).first()[0] == 15
+    assert ledger.reachable(chain, "0").count() == 16 and ledger.reachable(chain, "0", 10).count() == 11
+    for edges in ([("a", "b"), ("b", "a")], [("s", "a"), ("a", "b"), ("b", "a")]):
+        with pytest.raises(ValueError, match="cycle"):
+            ledger.levels(spark.createDataFrame(edges, "src string, dst string"))
+
+
+def test_empty_and_failing_inputs(spark, sf):
+    docs = spark.createDataFrame([(1, "x"), (2, "y")], "id long, cls string")
+    assert vals(quality.hard_cases(docs, docs.limit(0), "cls"), "cls", "n_failed", "weight") == [("x", 0, 1.0), ("y", 0, 1.0)]
+    v = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    for a, b in ((v, v.limit(0)), (v.limit(0), v), (v.limit(0), v.limit(0))):
+        assert evaluation.distribution_gap(a, b, "v").first()["mean_gap"] is None
+    turns = spark.createDataFrame([(1, t, "u", n) for t, n in enumerate((900, 900, 100, 5000, 10))], "conv long, turn long, role string, n long")
+    got = vals(quality.pack_turns(turns, "conv", "turn", F.col("n"), 1000), "part", "n_steps", "size")
+    assert got == [(0, 1, 900), (1, 2, 1000), (2, 1, 5000), (3, 1, 10)]
+    few = spark.createDataFrame([(i, "c") for i in range(10)], "id long, cls string")
+    assert quality.balance(few, "cls", "id", 4).count() == 4 and quality.balance(few.limit(0), "cls", "id").count() == 0
+
+
+def test_score_of_empty_text(spark, tmp_path):
+    from robolake.plans import data
+
+    rows = [(1, "", "en", "s", 0), (2, None, "en", "s", None), (3, "abc\nabc", "en", "s", 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert data.c09_score(spark, str(tmp_path)).count() == 3 and data.c09_gate(spark, str(tmp_path)).first()["n"] == 2
+
+
+def test_detections_of_one_confidence(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "RUN", 10)
+    box = lambda n, conf: spark.range(n).selectExpr("id", "id % 5 as image", "0.0 + id as x0", "0.0D as y0", "2.0 + id as x1", "2.0D as y1", f"{conf} as conf")
+    truth = box(60, "0.0D").filter("id % 2 = 0").drop("conf")
+    for conf in ("0.5D", "cast(id % 7 as double) - 3"):
+        monkeypatch.setattr(evaluation, "RUN", 10)
+        small = evaluation.detections(box(60, conf), truth, "image", 0.5).first()
+        monkeypatch.setattr(evaluation, "RUN", 10**9)
+        assert small == evaluation.detections(box(60, conf), truth, "image", 0.5).first() and small.tp == 30
+
+
 def test_report_file(spark, tmp_path):
     df = spark.createDataFrame([("a", "PASS"), ("b", "FAIL")], "entity string, verdict string")
     release.write_report(release.report_md(df, "T"), str(tmp_path / "r"))
