@@ -61,6 +61,21 @@ def test_exact_later_batches(spark, index):
     assert index.ingest(second.limit(0)).count() == 0
 
 
+def test_exact_batch_again(spark, index):
+    """A batch that is taken again under its name, as after a loss, gets the same answer, whatever part of it the index has already."""
+    earlier = spark.createDataFrame([(50, "a"), (51, "b")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a"), (2, "c"), (3, "c"), (4, "d"), (None, "e")], "doc_id long, text string")
+    rows = lambda df: sorted((str(tuple(r)) for r in df.collect()))
+    index.ingest(earlier, "first")
+    index.ingest(docs.filter("doc_id = 4 or doc_id = 1"), "second")  # the part that was appended before the loss
+    told = rows(index.ingest(docs, "second"))
+    assert told == rows(index.ingest(docs, "second"))
+    assert {(r.doc_id, r.keep_id, r.kept) for r in index.ingest(docs, "second").collect()} == {(1, 50, False), (2, 2, True), (3, 2, False), (4, 4, True), (None, None, True)}
+    assert index.table().count() == 5 and not any(r.kept for r in index.ingest(docs, "third").collect())
+    index.drop()
+    assert index.name not in {t.name for t in spark.catalog.listTables()}
+
+
 def test_exact_repeated_and_null_ids(spark, index):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "z")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.ingest(docs).collect()), key=str)
@@ -75,6 +90,67 @@ def test_lookup_hot_and_cold(spark):
         assert got.count() == 3000 and got.filter("k = 'hot'").select("count").distinct().first()[0] == 1000
 
 
+@pytest.mark.parametrize("few", [0, components.FEW])
+def test_near_vectors_with_stars(spark, few, monkeypatch):
+    """Links, cells and components by shuffles, as for large inputs, and by broadcast."""
+    monkeypatch.setattr(components, "FEW", few)
+    monkeypatch.setattr(components.components, "__defaults__", (few,))
+    monkeypatch.setattr(multiindex, "FEW", few)
+    rng = np.random.default_rng(4)
+    v = [(c + 0.05 * rng.standard_normal(8)).tolist() for c in rng.standard_normal((5, 8)) for _ in range(8)]
+    got = multiindex.near_vectors(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")).collect()
+    want = near_vectors_brute(v)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
+def near_vectors_brute(v):
+    """Number of links and component of each vector; vectors of different lengths aren't linked."""
+    linked = []
+    for width in {len(x) for x in v if x}:
+        at = [i for i, x in enumerate(v) if x and len(x) == width and all(y is not None and np.isfinite(y) for y in x) and any(x)]
+        x = np.array([v[i] for i in at], float).reshape(len(at), width)
+        n = np.linalg.norm(x, axis=1)
+        a, b = np.nonzero(np.tril((x @ x.T) / (n[:, None] * n) >= 0.95, -1))
+        linked += [(at[i], at[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    count = dict.fromkeys(range(len(v)), 0)
+    for a, b in linked:
+        count[a] += 1
+        count[b] += 1
+    component = brute_components(range(len(v)), linked)
+    return {i: (count[i], component[i]) for i in count}
+
+
+def test_near_vectors_of_other_lengths(spark):
+    """Each length is a space of its own; doubles are taken as they are."""
+    rng = np.random.default_rng(5)
+    v = [[3.0, 4.0], [6.0, 8.0], [1.0, 0.0], [1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [1e-300, 2e-300, 3e-300], [5.0], [2.0], [-2.0], [], None]
+    v += [(c + 0.02 * rng.standard_normal(12)).tolist() for c in rng.standard_normal((4, 12)) for _ in range(5)]
+    v += [[float("inf")] * 2, [None, 1.0]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multiindex.near_vectors(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")).collect()}
+    want = near_vectors_brute([x if x is None or max(map(abs, (y for y in x if y is not None)), default=1) > 1e-200 else [y * 1e300 for y in x] for x in v])
+    assert {i: want[i] for i in want if i != 5} == {i: got[i] for i in got if i != 5}
+
+
+def test_near_vectors_recall(spark, monkeypatch):
+    """Pairs planted just at the threshold among many other vectors, with codebooks of many cells."""
+    monkeypatch.setattr(multiindex, "IN_CELL", 20)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    off = rng.standard_normal(x.shape)
+    off -= (off * x).sum(1)[:, None] * x
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    cos = rng.uniform(0.951, 0.955, (len(x), 1))
+    v = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * off])
+    v = np.concatenate([v, rng.standard_normal((2000, 32))])
+    rows = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r.n_links for r in multiindex.near_vectors(rows).collect()}
+    n = np.linalg.norm(v, axis=1)
+    wanted = ((v @ v.T) / (n[:, None] * n) >= 0.95).sum(1) - 1
+    assert all(got[i] <= wanted[i] for i in got) and wanted.sum() >= 3000
+    assert sum(got.values()) >= 0.99 * wanted.sum()
+
+
 @pytest.mark.parametrize("few", [0, components.FEW])
 def test_components(spark, few):
     rnd = random.Random(few)
@@ -158,6 +234,34 @@ def test_shared_keys_of_a_key_over_many_tasks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
 
 
+def test_near_family_compares_few_pairs(spark):
+    """2,000 sets around the threshold: groups of blocks are bounded, and the prefix filter leaves out sets that share no rare shingle."""
+    pa = pytest.importorskip("pyarrow")
+    rng = np.random.default_rng(9)
+    sets, base = [], rng.integers(1, 2**62, 120)
+    for i in range(400):
+        s = np.concatenate([base[: rng.integers(100, 120)], rng.integers(1, 2**62, rng.integers(1, 30))]) if i % 2 else rng.integers(1, 2**62, 100)
+        sets.append(np.unique(s))
+    n = len(sets)
+    asks = np.arange(n) % 4 == 0
+    ids = np.concatenate([np.flatnonzero(asks), np.arange(n)])
+    t = pa.table({"asks": [True] * int(asks.sum()) + [False] * n, "id": ids, "c": ids, "shingles": [sets[i] for i in ids]})
+    got = minhash._meet(75)(t)
+    linked = [(i, j) for i in np.flatnonzero(asks).tolist() for j in range(n) if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+    assert len(linked) > 50
+    want, have = brute_components(range(n), linked), brute_components(range(n), list(zip(got["u"].to_pylist(), got["v"].to_pylist(), strict=True)))
+    assert want == have
+
+
+@pytest.mark.parametrize("few", [0, minhash.FEW])
+def test_near_duplicates_without_broadcast(spark, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(components.components, "__defaults__", (few,))
+    docs = [(i, " ".join(f"w{(i // 3) * 100 + k}" for k in range(40 + i % 3))) for i in range(24)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == near_brute(docs)[1] == {i: i // 3 * 3 for i in range(24)}
+
+
 def test_near_duplicate_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "x")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()), key=str)

@@ -53,6 +53,13 @@ def test_secrets_owner_specific_is_added(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_tell_null_owner_from_empty(spark):
+    value = "Ab1" + "Cd2Ef3" * 5
+    docs = spark.createDataFrame([(1, f"x {value}", None), (2, f"y {value}", "")], "doc_id long, text string, source string")
+    assert {(r.n_owners, r.n_repos, r.n_added) for r in secrets.scan(docs).collect()} == {(2, 2, 0)}
+    assert {(r.n_owners, r.n_added) for r in secrets.scan(docs.filter("doc_id = 1")).collect()} == {(1, 1)}
+
+
 def test_secrets_in_many_repositories_of_one_owner_are_examples(spark):
     copied, live = "Ab1" + "Cd2Ef3" * 5, "Gh4" + "Ij5Kl6" * 5
     rows = [(i, f"x {copied} token={'k' * 12}", "hot") for i in range(secrets.REPOS)]
@@ -99,6 +106,48 @@ def test_mixing(spark):
     assert mixing.draw(docs.limit(0), (1.0,), 1.5, 2.0).count() == 0
 
 
+def test_mixing_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "a b", f"s{i % 2}") for i in range(40)], "doc_id long, text string, source string")
+    odd = docs.selectExpr("*", "1 as __copies", "2 as __id", "3 as id", "4 as copies", "5 as row", "6 as `a.b`", "7 as key", "8 as target")
+    got = mixing.mix(odd, (1.0, 3.0), 1.5, 2.0)
+    assert got.columns == odd.columns and got.select(*[f"`{c}`" for c in odd.columns]).distinct().count() == got.select("doc_id").distinct().count()
+    assert got.count() == sum(r.copies for r in mixing.draw(docs, (1.0, 3.0), 1.5, 2.0).collect())
+
+
+def test_mixing_in_many_cells(spark, monkeypatch):
+    """Where a source has more parts, and where sums pass a whole number many times, words taken still come near the target."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", 3)
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 40 as int)) as text", "if(id % 4 = 0, 'a', 'b') as source")
+    by: dict = {}
+    for r in mixing.draw(docs, (1.0, 2.0), 1.5, 2.0).collect():
+        by.setdefault((r.source, r.target), []).append(r.size * r.copies)
+        assert 0 <= r.copies <= 2
+    assert len(by) == 2 and all(sum(taken) == pytest.approx(target, rel=0.01) for (_, target), taken in by.items())
+
+
+def test_language_against_plain_loop(spark, sf):
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    learned = langid.fit(docs.filter(langid.training(F.col("doc_id"))))
+    got = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in langid.identify(docs, learned).collect()}
+    make = {n: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=3, write_content_size=False, write_checksum=False) for n, d in learned.items()}
+    for r in docs.collect():
+        letters = re.sub(r"[\W\d_]+", " ", r.text.lower()) if r.text else ""
+        raw = letters.encode()
+        size = {n: sum(len(c.compress(raw[a : a + 512])) for a in range(0, len(raw), 512)) for n, c in make.items()}
+        best, second = sorted(size.items(), key=lambda x: (x[1], x[0]))[:2]
+        want = (best[0], 1 - best[1] / second[1]) if letters.strip() else ("und", 0.0)
+        assert got[r.doc_id][0] == want[0] and got[r.doc_id][1] == pytest.approx(want[1]) and got[r.doc_id][2] == (want[1] < 0.002)
+
+
+def test_language_learns_any_number_of_labels(spark):
+    """Three hundred labels share the room; none is left out, and what is gathered stays bounded."""
+    docs = spark.range(3000).selectExpr("concat('wort', translate(cast(id as string), '0123456789', 'abcdefghij'), ' und mehr text') as text", "concat('l', id % 300) as lang")
+    learned = langid.fit(docs, total=30_000)
+    assert len(learned) == 300 and all(20 <= len(d) <= 110 for d in learned.values())
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     learned = langid.fit(docs.filter(langid.training(F.col("doc_id"))))

@@ -39,6 +39,38 @@ def test_word_tokens_equal_library(encode):
     assert ends[-1] == ends[-2]
 
 
+def test_other_tokenizers_see_whole_texts(spark):
+    """A file that isn't a word tokenizer is told when it is opened: its texts go to the library whole."""
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(other)
+    assert wordcache.by_chunks(WORDS) and not wordcache.by_chunks(other)
+    with pytest.raises(ValueError):
+        wordcache.WordTokens(other)
+    texts = [*ODD, "two  spaces\n\nlines\tand Capitals"]
+    rows = [*enumerate(texts), (99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: crc([*t.encode(x or "", add_special_tokens=False).ids, 7]) for i, x in rows}
+    assert {r.doc_id: r.ids_crc32 for r in pfor.read_shards(pfor.write_shards(docs, other, 7)).collect()} == want
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack_windows(docs, other, 7, 4096).collect() if r.length == r.doc_tokens} == want
+
+
+def test_shards_of_one_id_are_spread(spark):
+    """Rows that share an id, or have none, are dealt over several parts and still stand in order."""
+    docs = spark.range(400).selectExpr("if(id < 300, 5L, null) as doc_id", "concat('text ', lpad(cast(id * 7 % 400 as string), 4, '0')) as text").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = pfor.write_shards(docs, WORDS, 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert shards.select("part").distinct().count() > 1
+    rows = sorted(pfor.read_shards(shards).collect(), key=lambda r: r.start)
+    t = Tokenizer.from_file(WORDS)
+    texts = [r.text for r in docs.orderBy("doc_id", "text").collect()]
+    assert [r.ids_crc32 for r in rows] == [crc([*t.encode(x, add_special_tokens=False).ids, 2]) for x in texts]
+    assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows[:-1]]]).tolist()
+
+
 def test_long_text_in_pieces(encode, monkeypatch):
     monkeypatch.setattr(wordcache, "PIECE", 100)
     text = "some words, and others. " * 50
