@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data, evaluation, release, robots, streams
+from . import data, evaluation, release, robots, streams, surface
 
-_parts = (data, evaluation, robots, release, streams)
+_parts = (data, evaluation, robots, release, streams, surface)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for p in _parts for k, f in p.QUERIES.items()}
 SQL: dict[str, str] = {k: s for p in _parts for k, s in p.SQL.items()}
