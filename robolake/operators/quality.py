@@ -140,16 +140,26 @@ PERSONAL = {
     "PHONE": r"\+?[0-9][0-9 ()-]{7,}[0-9]",
     "SECRET": r"(?:AKIA[A-Z0-9]{12,}|[0-9a-f]{32,})",
 }
+#: What every match of a rule holds; texts without it aren't gone over.
+SIGNS = {"EMAIL": "@"}
+
+
+def _if_signed(kind: str, text: str, found: Column, none: Column) -> Column:
+    return F.when(F.contains(F.col(text), F.lit(SIGNS[kind])), found).otherwise(none) if kind in SIGNS else found
 
 
 def redact(df: DataFrame, text: str, rules: dict[str, str] = PERSONAL) -> DataFrame:
     """text with each match of each rule in turn replaced by the rule's name in angle brackets."""
-    return df.withColumn(text, reduce(lambda c, r: F.regexp_replace(c, r[1], f"<{r[0]}>"), rules.items(), F.col(text)))
+    for kind, pattern in rules.items():
+        df = df.withColumn(text, _if_signed(kind, text, F.regexp_replace(text, pattern, f"<{kind}>"), F.col(text)))
+    return df
 
 
 def redaction_report(df: DataFrame, text: str, by: str, rules: dict[str, str] = PERSONAL) -> DataFrame:
     """Matches of each rule in the unchanged texts, by group and kind."""
-    counts = df.groupBy(by).agg(*[F.sum(F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0))).alias(kind) for kind, p in rules.items()])
+    none = F.lit(0)
+    found = {kind: _if_signed(kind, text, F.coalesce(F.regexp_count(text, F.lit(p)), none), none) for kind, p in rules.items()}
+    counts = df.groupBy(by).agg(*[F.sum(c).alias(kind) for kind, c in found.items()])
     return counts.unpivot(by, list(rules), "kind", "n")
 
 
