@@ -19,15 +19,16 @@ def _either(word: str) -> str:
 
 
 KEYWORD = "(?:" + "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key"))) + ")"
-#: kind -> (pattern, group of the value (0: the whole match), least length of that group, what a text with a match has). A maximal run of
+#: kind -> (pattern, group of the value (0: the whole match), least length of that group, what a text with a match has, written to fail
+#: at the first character: every text is gone over for it). A maximal run of
 #: 32 or more is the leftmost match of "32 or more" too, and of AKIAs in a run the first has the longest rest; so these lengths stand in the patterns.
 BASE = {
-    "assign": (KEYWORD + r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 8, KEYWORD + r"[\"']?\x20*[:=]"),
+    "assign": (KEYWORD + r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 8, "(?=[pPsStTaA])" + KEYWORD + r"[\"']?\x20*[:=]"),
     "access": ("AKIA[A-Z0-9]{12,}", 0, 16, "AKIA[A-Z0-9]{12}"),
     "hex": ("[0-9a-f]{32,}", 0, 32, "[0-9a-f]{32}"),
 }
 #: Runs as long as a key; candidates have a digit, a small and a capital letter.
-WIDE = ("[A-Za-z0-9+/_-]{24,}", 0, 24, "[A-Za-z0-9+/_-]{24}")
+WIDE = ("[A-Za-z0-9+/_-]{24,}", 0, 24, "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}")
 KINDS = ("assign", "access", "hex", "live")
 #: Owners from which on a value counts as a copied example.
 OWNERS = 2
