@@ -17,7 +17,8 @@ def percentiles(
 
     First pass: each group's count and, by a mergeable sketch, the values a little below and above each percentile. Second pass: values
     between these are counted, each distinct one once, with how many are below; so a group of any size sends about 8 / accuracy of its
-    rows, and of equal values one. ``few`` tells that the groups are cells of a report, hours and the like: their bounds are broadcast then.
+    rows, and of equal values one, and its size goes along. So the input is read twice. ``few`` tells that the groups are cells of a
+    report, hours and the like: their bounds are broadcast then.
     """
     keys = [f"__k{i}" for i in range(len(by))]
     v = (F.col(value) if isinstance(value, str) else value).cast("double").alias("v")
@@ -25,21 +26,19 @@ def percentiles(
     eps = 4 / accuracy
     ends = [F.array(*[F.lit(float(min(1.0, max(0.0, s + d)))) for d in (-eps, eps)]) for s in shares.values()]
     near = [F.percentile_approx("v", e, accuracy).alias(f"e{i}") for i, e in enumerate(ends)]
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("__m"), *near)
-
-    def joined(left: DataFrame, right: DataFrame, *columns: str | Column, how: str = "inner") -> DataFrame:
-        right = right.select(*[F.col(k).alias(f"g{k}") for k in keys], *columns)
-        right = F.broadcast(right) if few or not by else right
-        return left.join(right, [F.col(k).eqNullSafe(F.col(f"g{k}")) for k in keys] or F.lit(True), how)
-
-    held = joined(rows.filter("v is not null"), groups, F.col("__m").alias("size"), *[f"e{i}" for i in range(len(shares))])
-    zone = F.explode(F.array_compact(F.array(*[_zone(i, F.col("size") <= accuracy) for i in range(len(shares))]))).alias("z")
-    told = held.select(*keys, zone).groupBy(*keys, "z.q", "z.v").agg(F.count(F.lit(1)).alias("c"))
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("size"), *near)
+    groups = groups.select(*[F.col(k).alias(f"g{k}") for k in keys], "n", "size", *[f"e{i}" for i in range(len(shares))])
+    held = rows.join(F.broadcast(groups) if few or not by else groups, [F.col(k).eqNullSafe(F.col(f"g{k}")) for k in keys] or F.lit(True))
+    zones = F.array_compact(F.array(*[_zone(i, F.col("size") <= accuracy) for i in range(len(shares))]))
+    none = F.array(F.struct(F.lit(-1).alias("q"), F.col("v")))  # so that a group without values has a row
+    zone = F.explode(F.when(F.col("v").isNull(), none).otherwise(zones)).alias("z")
+    sizes = [F.max("n").alias("n"), F.max("size").alias("size")]
+    told = held.select(*keys, "n", "size", zone).groupBy(*keys, "z.q", "z.v").agg(F.count(F.lit(1)).alias("c"), *sizes)
     order = Window.partitionBy(*keys, "q").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    told = told.withColumn("end", F.sum("c").over(order)).filter("v is not null")  # the group's values number end - c to end - 1
-    at = F.element_at(F.array(*[F.lit(float(s)) for s in shares.values()]), F.col("q") + 1) * (F.col("__m") - 1)
-    placed = joined(told, groups, "__m").withColumns({"lo": F.floor(at), "hi": F.ceil(at), "w": at - F.floor(at)})
-    picked = joined(groups, placed.groupBy(*keys).agg(*[_between(i).alias(name) for i, name in enumerate(shares)]), *shares, how="left")
+    at = F.get(F.array(*[F.lit(float(s)) for s in shares.values()]), F.col("q")) * (F.col("size") - 1)
+    ranked = [F.sum("c").over(order).alias("end"), F.floor(at).alias("lo"), F.ceil(at).alias("hi"), (at - F.floor(at)).alias("w")]
+    placed = told.select("*", *ranked)  # the group's values number end - c to end - 1
+    picked = placed.groupBy(*keys).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[_between(i).alias(name) for i, name in enumerate(shares)])
     return picked.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "n", *shares)
 
 
