@@ -22,7 +22,9 @@ def profile(df: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
         v, n_null = F.col("v"), F.count_if(F.col("v").isNull())
         counts = [F.count(F.lit(1)).alias("n_rows"), n_null.alias("n_null"), F.countDistinct(v).alias("n_distinct")]
         ends = [F.min(v).cast("string").alias("min_value"), F.max(v).cast("string").alias("max_value")]
-        return df.select(F.col(c).alias("v")).agg(*counts, *ends).select(F.lit(c).alias("column"), "*", (F.lit(c in required) & (F.col("n_null") > 0)).alias("violated"))
+        return df.select(F.col(c).alias("v")).agg(*counts, *ends).select(
+            F.lit(c).alias("column"), "*", (F.lit(c in required) & (F.col("n_null") > 0)).alias("violated")
+        )
 
     return reduce(DataFrame.unionByName, [one(c) for c in df.columns])
 
@@ -79,17 +81,19 @@ def similar_pairs(df: DataFrame, id_col: str, text: str, percent: int = 80) -> D
 
     Of equal sets the smallest id stands for all, so copies aren't paired with each other; similar_classes() has them as members.
     Prefix filter: with tokens in the order of their rarity, a pair of that similarity shares one of the first n - ceil(n * t) + 1
-    of both, so only those are joined; frequent tokens stand last. Candidates are then counted on the whole sets.
+    of both, so only those are joined; frequent tokens stand last. The first token that a pair shares says how many more it can share
+    at most: what stands behind it in the shorter rest; pairs that can't reach percent are none. Candidates are then counted on the whole sets.
     """
     tokens = token_sets(df, id_col, text).groupBy("set").agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens"))
     rows = tokens.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     rare = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
     prefix = rows.join(rare.filter("df > 1"), "t", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("k", place)
-    prefix = prefix.filter((F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("id", "n", "t")
-    side = lambda i, n: prefix.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), "t")
+    prefix = prefix.filter((F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("id", "n", "t", "k")
+    side = lambda i: prefix.select("t", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("k").alias(f"k{i}"))
     near = f"x < y and least(nx, ny) * 100 >= greatest(nx, ny) * {percent}"
-    pairs = side("x", "nx").join(side("y", "ny"), "t").filter(near).select("x", "y").distinct()
+    enough = f"(least(nx - kx, ny - ky) + 1) * {100 + percent} >= (nx + ny) * {percent}"
+    pairs = side("x").join(side("y"), "t").filter(f"{near} and {enough}").select("x", "y").distinct()
     sets = lambda i: tokens.select(F.col("id").alias(i), F.col("tokens").alias(f"t{i}"))
     both = pairs.join(sets("x"), "x").join(sets("y"), "y")
     union = F.size("tx") + F.size("ty") - F.col("c")
@@ -109,7 +113,9 @@ def similar_classes(df: DataFrame, id_col: str, text: str, percent: int = 80) ->
     both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
     links = both.join(reps.select(F.col("rep").alias("y"), "copies"), "y").groupBy(F.col("x").alias("rep")).agg(F.sum("copies").alias("others"))
     told = reps.join(links, "rep", "left").join(found.select(F.col("node").alias("rep"), "cluster"), "rep", "left")
-    told = told.select("set", "rep", F.coalesce("cluster", "rep").alias("cluster"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    told = told.select(
+        "set", "rep", F.coalesce("cluster", "rep").alias("cluster"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    )
     return sets.select(F.col("id").alias(id_col), "set").join(told, "set").select(id_col, F.col("rep").alias("class"), "cluster", "n_links")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,7 +34,10 @@ def test_bins(spark):
 
 def test_asof_strict_tolerance_and_ties(spark):
     left = spark.createDataFrame([("a", 1, 100), ("a", 2, 10), ("b", 3, 50), (None, 4, 100)], "entity string, id long, us long")
-    right = spark.createDataFrame([("a", 100, 9.0, 1), ("a", 90, 1.0, 2), ("a", 90, 2.0, 3), ("a", 0, 5.0, 4), ("c", 1, 1.0, 5)], "entity string, us long, value double, id long")
+    right = spark.createDataFrame(
+        [("a", 100, 9.0, 1), ("a", 90, 1.0, 2), ("a", 90, 2.0, 3), ("a", 0, 5.0, 4), ("c", 1, 1.0, 5)],
+        "entity string, us long, value double, id long"
+    )
     got = {r.id: r.match_value for r in timeline.align_asof(left, right, "entity", "us", 10, "value", "id").collect()}
     assert got == {1: 2.0, 2: 5.0, 3: None, 4: None}
 
@@ -43,7 +48,12 @@ def test_asof_against_brute_force(spark):
     rnd = random.Random(5)
     ls = [(rnd.choice("ab"), i, rnd.randrange(300)) for i in range(120)]
     rs = [(rnd.choice("ab"), rnd.randrange(300), float(i), i) for i in range(150)]
-    got = {r.id: r.match_id for r in timeline.align_asof(spark.createDataFrame(ls, "entity string, id long, us long"), spark.createDataFrame(rs, "entity string, us long, value double, id long"), "entity", "us", 17, "value", "id").collect()}
+    got = {
+        r.id: r.match_id for r in timeline.align_asof(
+            spark.createDataFrame(ls, "entity string, id long, us long"),
+            spark.createDataFrame(rs, "entity string, us long, value double, id long"), "entity", "us", 17, "value", "id"
+        ).collect()
+    }
     for e, i, us in ls:
         near = [(r[1], r[3]) for r in rs if r[0] == e and r[1] < us and us - r[1] <= 17]
         assert got[i] == (max(near)[1] if near else None)
@@ -51,7 +61,9 @@ def test_asof_against_brute_force(spark):
 
 def test_tickets_gap_at_limit_stays(spark):
     df = spark.createDataFrame([("a", 0, 1), ("a", 30, 2), ("a", 61, 3), ("b", 5, 4)], "entity string, us long, id long")
-    assert vals(timeline.tickets(df, "entity", "us", "id", 30), "entity", "first_us", "last_us", "n_events") == [("a", 0, 30, 2), ("a", 61, 61, 1), ("b", 5, 5, 1)]
+    assert vals(
+        timeline.tickets(df, "entity", "us", "id", 30), "entity", "first_us", "last_us", "n_events"
+    ) == [("a", 0, 30, 2), ("a", 61, 61, 1), ("b", 5, 5, 1)]
 
 
 def test_clean_reasons(spark):
@@ -115,8 +127,13 @@ def test_score_flags_null(spark):
 
 
 def test_regression_missing(spark):
-    df = spark.createDataFrame([("x", "base", True), ("y", "cand", False)] + [("z", v, v == "base") for v in ("base", "cand") for _ in range(50)], "cell string, version string, ok boolean")
-    assert dict(vals(evaluation.regression(df, "cell", "version", "ok", "base", "cand"), "cell", "status")) == {"x": "MISSING", "y": "MISSING", "z": "REGRESSED"}
+    df = spark.createDataFrame(
+        [("x", "base", True), ("y", "cand", False)] + [("z", v, v == "base") for v in ("base", "cand") for _ in range(50)],
+        "cell string, version string, ok boolean"
+    )
+    assert dict(
+        vals(evaluation.regression(df, "cell", "version", "ok", "base", "cand"), "cell", "status")
+    ) == {"x": "MISSING", "y": "MISSING", "z": "REGRESSED"}
 
 
 def test_divergence_edges(spark):
@@ -126,9 +143,13 @@ def test_divergence_edges(spark):
 
 
 def test_canary_levels(spark):
-    rows = [("few", "base", True)] + [("same", v, i % 2 == 0) for v in ("base", "cand") for i in range(40)] + [("worse", v, v == "cand") for v in ("base", "cand") for _ in range(40)]
+    rows = [("few", "base", True)] + [("same", v, i % 2 == 0) for v in ("base", "cand") for i in range(40)] + [
+        ("worse", v, v == "cand") for v in ("base", "cand") for _ in range(40)
+    ]
     df = spark.createDataFrame(rows, "cell string, version string, bad boolean")
-    assert dict(vals(release.canary(df, "cell", "version", "base", "cand", F.col("bad"), 0.0, 0.1, 30), "cell", "verdict")) == {"few": "WATCH", "same": "PASS", "worse": "ROLLBACK"}
+    assert dict(
+        vals(release.canary(df, "cell", "version", "base", "cand", F.col("bad"), 0.0, 0.1, 30), "cell", "verdict")
+    ) == {"few": "WATCH", "same": "PASS", "worse": "ROLLBACK"}
 
 
 def test_acceptance_missing_fails(spark):
@@ -138,7 +159,9 @@ def test_acceptance_missing_fails(spark):
 
 def test_degrade_resets(spark):
     df = spark.createDataFrame([("a", i, i, k) for i, k in enumerate("eegee e")], "entity string, us long, id long, kind string")
-    assert [r.state for r in release.degrade(df, "entity", "us", "id", F.col("kind") == "e", 2, 3).orderBy("id").collect()] == ["NORMAL", "DEGRADED", "NORMAL", "NORMAL", "DEGRADED", "NORMAL", "NORMAL"]
+    assert [
+        r.state for r in release.degrade(df, "entity", "us", "id", F.col("kind") == "e", 2, 3).orderBy("id").collect()
+    ] == ["NORMAL", "DEGRADED", "NORMAL", "NORMAL", "DEGRADED", "NORMAL", "NORMAL"]
 
 
 def test_reconcile_nulls(spark):
@@ -149,7 +172,11 @@ def test_reconcile_nulls(spark):
 
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "entity string, us long, id long, value double, ok boolean, version string")
-    for df in (timeline.tickets(e, "entity", "us", "id", 5), timeline.gaps(e, "entity", "us", "id", 5), evaluation.success_rate(e, ("entity",), "ok"), release.degrade(e, "entity", "us", "id", F.col("ok"), 1, 2), timeline.resample(e, "entity", "us", "value", "id", 5), quality.split(e, "id")):
+    for df in (
+        timeline.tickets(e, "entity", "us", "id", 5), timeline.gaps(e, "entity", "us", "id", 5),
+        evaluation.success_rate(e, ("entity",), "ok"), release.degrade(e, "entity", "us", "id", F.col("ok"), 1, 2),
+        timeline.resample(e, "entity", "us", "value", "id", 5), quality.split(e, "id")
+    ):
         assert df.count() == 0
 
 
@@ -196,7 +223,9 @@ def test_percentiles_are_exact(spark, accuracy):
     from robolake.functions.quantiles import percentiles
 
     rnd = random.Random(3)
-    rows = [("big", rnd.gauss(0, 1)) for _ in range(2000)] + [("same", 7.0)] * 500 + [("few", float(i)) for i in range(6)] + [("none", None), (None, 1.0), (None, 2.0)]
+    rows = [
+        ("big", rnd.gauss(0, 1)) for _ in range(2000)
+    ] + [("same", 7.0)] * 500 + [("few", float(i)) for i in range(6)] + [("none", None), (None, 1.0), (None, 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     want = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.95).alias("p"))
     text = lambda f: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in f.select("g", "n", "q1", "p").collect())
@@ -231,7 +260,9 @@ def test_score_of_empty_text(spark, tmp_path):
     from robolake.plans import data
 
     rows = [(1, "", "en", "s", 0), (2, None, "en", "s", None), (3, "abc\nabc", "en", "s", 7)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert data.c09_score(spark, str(tmp_path)).count() == 3 and data.c09_gate(spark, str(tmp_path)).first()["n"] == 2
 
@@ -265,7 +296,9 @@ def test_ingest_takes_files_once(spark, sf, tmp_path):
 
 def test_filter_missing_and_single(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), ("b", 1, 7.0)], "k string, t long, v double")
-    assert vals(recursive.kalman(df, "k", ("t",), "v", 1.0, 4.0), "k", "t", "estimate", "variance") == [("a", 1, 2.0, 4.0), ("a", 2, 2.0, 5.0), ("b", 1, 7.0, 4.0)]
+    assert vals(
+        recursive.kalman(df, "k", ("t",), "v", 1.0, 4.0), "k", "t", "estimate", "variance"
+    ) == [("a", 1, 2.0, 4.0), ("a", 2, 2.0, 5.0), ("b", 1, 7.0, 4.0)]
     assert recursive.control_loop(df.limit(0), "k", ("t",), "v", 1.0, 0.1, 0.2).count() == 0
 
 
@@ -284,3 +317,17 @@ def test_more_queries_than_one_block(spark, sf):
     rows = lambda most: sorted(tuple(r) for r in evaluation.top_similar(v, q, "vec_id", "embedding", 5, most).collect())
     one = rows(10_000)
     assert len(one) == 5 * q.count() and rows(q.count()) == rows(q.count() - 1) == rows(7) == one
+
+
+def test_similar_pairs_are_all_pairs(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrst"
+    base = [[rng.choice(letters) for _ in range(rng.randint(1, 14))] for _ in range(40)]
+    texts = [[rng.choice(letters) if rng.random() < 0.1 else x for x in rng.choice(base)] for _ in range(300)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    sets = {}
+    for i, t in enumerate(texts):
+        sets.setdefault(frozenset(t), i)
+    for percent in (60, 80):
+        want = {(i, j) for s, i in sets.items() for t, j in sets.items() if i < j and len(s & t) * 100 >= len(s | t) * percent}
+        assert {(r.x, r.y) for r in quality.similar_pairs(df, "id", "text", percent).collect()} == want
