@@ -24,7 +24,10 @@ def tail(df: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
 
 def tail_approx(df: DataFrame, by: tuple[str, ...], value: str, accuracy: int = 10_000) -> DataFrame:
     """The same from mergeable sketches, for groups too large to sort."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, 0.5, accuracy).alias("p50"), F.percentile_approx(value, 0.95, accuracy).alias("p95"))
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, 0.5, accuracy).alias("p50"),
+        F.percentile_approx(value, 0.95, accuracy).alias("p95")
+    )
 
 
 def regression(df: DataFrame, cell: str, version: str, success: str, base: str, cand: str, z: float = Z95) -> DataFrame:
@@ -43,7 +46,9 @@ def regression(df: DataFrame, cell: str, version: str, success: str, base: str,
 
 def generalisation(df: DataFrame, dims: tuple[str, str], success: str, seen: Column) -> DataFrame:
     """Rate of every combination and total of two dimensions minus the rate of the seen rows; grouping tells totals from null data."""
-    cells = df.cube(*dims).agg(F.grouping_id().cast("long").alias("grouping"), F.count(F.lit(1)).alias("n"), F.avg(F.col(success).cast("double")).alias("p"))
+    cells = df.cube(*dims).agg(
+        F.grouping_id().cast("long").alias("grouping"), F.count(F.lit(1)).alias("n"), F.avg(F.col(success).cast("double")).alias("p")
+    )
     ref = df.filter(seen).agg(F.avg(F.col(success).cast("double")).alias("ref"))
     return cells.join(F.broadcast(ref)).select(*dims, "grouping", "n", "p", (F.col("p") - F.col("ref")).alias("degradation"))
 
@@ -56,7 +61,9 @@ def stability(df: DataFrame, cell: str, repeat: str, success: str) -> DataFrame:
 
 def eval_matrix(df: DataFrame, dims: tuple[str, ...], success: str) -> DataFrame:
     """Rate of every combination of dimensions with all totals."""
-    return df.cube(*dims).agg(F.grouping_id().cast("long").alias("grouping"), F.count(F.lit(1)).alias("n"), F.avg(F.col(success).cast("double")).alias("p"))
+    return df.cube(*dims).agg(
+        F.grouping_id().cast("long").alias("grouping"), F.count(F.lit(1)).alias("n"), F.avg(F.col(success).cast("double")).alias("p")
+    )
 
 
 def rate_table(df: DataFrame, row: str, column: str, values: tuple[str, ...], success: str) -> DataFrame:
@@ -79,7 +86,9 @@ def detections(pred: DataFrame, truth: DataFrame, image: str, iou: float) -> Dat
     area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
     met = pred.join(t, image).withColumn("o", inter / (area("") + area("t") - inter)).filter(F.col("o") >= iou)
     best = met.groupBy("id", "conf").agg(F.max_by("tid", F.struct("o", -F.col("tid"))).alias("tid"))
-    right = best.withColumn("k", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("conf"), "id"))).filter("k = 1").select("id", F.lit(1).alias("hit"))
+    right = best.withColumn(
+        "k", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("conf"), "id"))
+    ).filter("k = 1").select("id", F.lit(1).alias("hit"))
     n_truth = truth.agg(F.count(F.lit(1)).alias("n_truth"))
     ranked = pred.select("id", "conf").join(right, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     # A running count over all predictions by confidence: sums of cells, which lie in that order, and inside each. Of equal confidences, which
@@ -108,7 +117,10 @@ def vector_errors(pred: DataFrame, truth: DataFrame, key: str, vec: str) -> Data
     d = F.sqrt(F.aggregate(F.zip_with("p", "t", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     norm = F.sqrt(dot("t", "t"))
     cos = F.try_divide(dot("p", "t"), F.sqrt(dot("p", "p")) * norm)
-    return p.join(t, key).select(key, d.alias("error"), F.try_divide(d, norm).alias("relative"), F.degrees(F.acos(F.greatest(F.least(cos, F.lit(1.0)), F.lit(-1.0)))).alias("angle"))
+    return p.join(t, key).select(
+        key, d.alias("error"), F.try_divide(d, norm).alias("relative"),
+        F.degrees(F.acos(F.greatest(F.least(cos, F.lit(1.0)), F.lit(-1.0)))).alias("angle")
+    )
 
 
 def fuse(df: DataFrame, key: str, value: str, variance: str) -> DataFrame:
@@ -120,14 +132,20 @@ def fuse(df: DataFrame, key: str, value: str, variance: str) -> DataFrame:
 def tracking(df: DataFrame, by: str, reference: str, actual: str, band: float) -> DataFrame:
     """RMSE, largest error and share within the band."""
     e = F.col(actual) - F.col(reference)
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.max(F.abs(e)).alias("max_error"), (F.count_if(F.abs(e) <= band) / F.count(F.lit(1))).alias("in_band"))
+    return df.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.max(F.abs(e)).alias("max_error"),
+        (F.count_if(F.abs(e) <= band) / F.count(F.lit(1))).alias("in_band")
+    )
 
 
 def joint_limits(df: DataFrame, key: str, vec: str, lo: float, hi: float) -> DataFrame:
     """Per row how many elements are outside the limits, the largest excess and the norm."""
     v = F.transform(vec, lambda x: x.cast("double"))
     excess = F.transform(v, lambda x: F.greatest(x - hi, lo - x, F.lit(0.0)))
-    return df.select(key, F.size(F.filter(excess, lambda x: x > 0)).cast("long").alias("n_violations"), F.array_max(excess).alias("max_excess"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+    return df.select(
+        key, F.size(F.filter(excess, lambda x: x > 0)).cast("long").alias("n_violations"), F.array_max(excess).alias("max_excess"),
+        F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)).alias("norm")
+    )
 
 
 def tune(df: DataFrame, cells: tuple[str, ...], loss: str) -> DataFrame:
@@ -139,7 +157,10 @@ def discretise(df: DataFrame, by: str, value: str, lo: float, hi: float, n: int)
     """Values as n tokens and back to the middle of their bin: tokens used, mean and largest error, by group."""
     token = F.greatest(F.least(bin_of(F.col(value), lo, hi, n), F.lit(n)), F.lit(1))
     back = lo + (token - 0.5) * ((hi - lo) / n)
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(token).alias("n_tokens"), F.avg(F.abs(F.col(value) - back)).alias("mean_error"), F.max(F.abs(F.col(value) - back)).alias("max_error"))
+    return df.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(token).alias("n_tokens"), F.avg(F.abs(F.col(value) - back)).alias("mean_error"),
+        F.max(F.abs(F.col(value) - back)).alias("max_error")
+    )
 
 
 def top_similar(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, most: int = 10_000) -> DataFrame:
@@ -155,7 +176,9 @@ def top_similar(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: i
     b = vectors.select(F.col(key).alias("neighbour"), unit(F.col(vec)).alias("v")).withColumn("nv", norm(F.col("v")))
     dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     q = F.broadcast(q) if n <= most else q.repartition(-(-n // most), "query").hint("shuffle_replicate_nl")
-    pairs = b.join(q, F.col("query") != F.col("neighbour")).select("query", "neighbour", F.round(F.try_divide(dot, F.col("nq") * F.col("nv")), 6).alias("cosine"))
+    pairs = b.join(q, F.col("query") != F.col("neighbour")).select(
+        "query", "neighbour", F.round(F.try_divide(dot, F.col("nq") * F.col("nv")), 6).alias("cosine")
+    )
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
@@ -180,14 +203,20 @@ def teacher_student(df: DataFrame, by: str, label: str, teacher: str, student: s
     t = top_choice(df, by, label, teacher).select(by, F.col("choice").alias("teacher"), "confidence")
     s = top_choice(df, by, label, student).select(by, F.col("choice").alias("student"))
     both = t.join(s, by)
-    return both.select(by, "teacher", "student", "confidence", (F.col("teacher") == F.col("student")).alias("agrees"), (F.col("confidence") >= least).alias("confident"))
+    return both.select(
+        by, "teacher", "student", "confidence", (F.col("teacher") == F.col("student")).alias("agrees"),
+        (F.col("confidence") >= least).alias("confident")
+    )
 
 
 def agreement_rate(choices: DataFrame) -> DataFrame:
     """Of teacher_student(): groups, the share that agrees, and both for the confident ones."""
     agrees, sure = F.col("agrees"), F.col("confident")
     n = F.count(F.lit(1))
-    rates = [F.try_divide(F.count_if(agrees), n).alias("agreement"), F.try_divide(F.count_if(agrees & sure), F.count_if(sure)).alias("confident_agreement")]
+    rates = [
+        F.try_divide(F.count_if(agrees), n).alias("agreement"),
+        F.try_divide(F.count_if(agrees & sure), F.count_if(sure)).alias("confident_agreement")
+    ]
     return choices.agg(n.alias("n"), F.count_if(sure).alias("n_confident"), *rates)
 
 
@@ -223,14 +252,22 @@ def distribution_gap(a: DataFrame, b: DataFrame, value: str, n: int = 10, floor:
 
 def drift(df: DataFrame, by: str, x: Column, y: str, tol: float) -> DataFrame:
     """Slope and fit of a line through each group, and whether the slope is within the tolerance."""
-    r = df.withColumn("__x", x).groupBy(by).agg(F.regr_slope(y, "__x").alias("slope"), F.regr_r2(y, "__x").alias("r2"), F.corr(y, "__x").alias("corr"))
+    r = df.withColumn("__x", x).groupBy(by).agg(
+        F.regr_slope(y, "__x").alias("slope"), F.regr_r2(y, "__x").alias("r2"), F.corr(y, "__x").alias("corr")
+    )
     return r.withColumn("ok", F.abs("slope") <= tol)
 
 
 def fit_linear(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """Least-squares scale and offset of each group, and the root of the mean squared residual."""
-    r = df.groupBy(by).agg(F.regr_slope(y, x).alias("scale"), F.regr_intercept(y, x).alias("offset"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.regr_count(y, x).alias("n"))
-    return r.select(by, "n", "scale", "offset", F.sqrt(F.greatest(F.col("syy") - F.col("scale") * F.col("sxy"), F.lit(0.0)) / F.col("n")).alias("residual"))
+    r = df.groupBy(by).agg(
+        F.regr_slope(y, x).alias("scale"), F.regr_intercept(y, x).alias("offset"), F.regr_syy(y, x).alias("syy"),
+        F.regr_sxy(y, x).alias("sxy"), F.regr_count(y, x).alias("n")
+    )
+    return r.select(
+        by, "n", "scale", "offset",
+        F.sqrt(F.greatest(F.col("syy") - F.col("scale") * F.col("sxy"), F.lit(0.0)) / F.col("n")).alias("residual")
+    )
 
 
 def quantise(df: DataFrame, key: str, vec: str, bits: int) -> DataFrame:
@@ -240,4 +277,7 @@ def quantise(df: DataFrame, key: str, vec: str, bits: int) -> DataFrame:
     s = df.select(key, v.alias("v")).withColumn("scale", F.array_max(F.transform("v", F.abs)) / top)
     code = F.transform("v", lambda x: F.floor(F.try_divide(x, F.col("scale")) + 0.5))
     err = F.zip_with("v", code, lambda x, c: F.abs(x - F.coalesce(c * F.col("scale"), F.lit(0.0))))
-    return s.withColumn("e", err).select(key, "scale", F.array_max("e").alias("max_error"), (F.aggregate("e", F.lit(0.0), lambda a, x: a + x) / F.size("e")).alias("mean_error"))
+    return s.withColumn("e", err).select(
+        key, "scale", F.array_max("e").alias("max_error"),
+        (F.aggregate("e", F.lit(0.0), lambda a, x: a + x) / F.size("e")).alias("mean_error")
+    )

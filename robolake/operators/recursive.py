@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def scan(df: DataFrame, key: str, order: tuple[str, ...], value: str, start: Callable[[], tuple], step: Callable[[tuple, float], tuple[tuple, tuple]], outputs: tuple[str, ...]) -> DataFrame:
+def scan(
+    df: DataFrame, key: str, order: tuple[str, ...], value: str, start: Callable[[], tuple],
+    step: Callable[[tuple, float], tuple[tuple, tuple]], outputs: tuple[str, ...]
+) -> DataFrame:
     """key, order and outputs for each row: step(state, value) gives the next state and the row's outputs; a null value comes as NaN."""
     cols = [key, *order]
     schema = df.select(*cols, *[F.lit(0.0).alias(o) for o in outputs]).schema

@@ -78,7 +78,9 @@ def case_stats(df: DataFrame, key: str, cause: str, us: str, tie: str, within: i
 
 def health(df: DataFrame, us: str, step: int, bad: Column, n: int, margin: float) -> DataFrame:
     """Bad rate of each bucket, its mean over the n buckets before, and an alert if it is above that by more than margin."""
-    b = df.groupBy((F.floor(F.col(us) / step) * step).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(bad.cast("double")).alias("rate"))
+    b = df.groupBy((F.floor(F.col(us) / step) * step).cast("long").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(bad.cast("double")).alias("rate")
+    )
     base = F.avg("rate").over(Window.orderBy("bucket").rowsBetween(-n, -1))
     return b.withColumn("baseline", base).withColumn("alert", F.coalesce(F.round(F.col("rate") - F.col("baseline") - margin, 9) > 0, F.lit(False)))
 
@@ -103,7 +105,9 @@ def rollback_point(df: DataFrame, bucket: str, verdict: Column) -> DataFrame:
 
 def error_budget(df: DataFrame, us: str, step: int, failed: Column, slo: float) -> DataFrame:
     """Failures of each bucket, spent so far, share of the whole budget (1 - slo) * n, and whether it is used up."""
-    b = df.groupBy((F.floor(F.col(us) / step) * step).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("failures"))
+    b = df.groupBy((F.floor(F.col(us) / step) * step).cast("long").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("failures")
+    )
     spent = F.sum("failures").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     whole = (1 - slo) * F.sum("n").over(Window.partitionBy())
     return b.withColumns({"spent": spent, "burn": F.try_divide(spent, whole)}).withColumn("exhausted", F.col("burn") > 1)
@@ -164,7 +168,9 @@ def report_md(verdicts: DataFrame, title: str) -> DataFrame:
     cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
     place = F.row_number().over(Window.orderBy(*cols)).cast("long") + len(head)
     body = verdicts.select(place.alias("line"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("text"))
-    fixed = verdicts.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(head)] + [(1 << 40 | i, t) for i, t in enumerate(foot)], "line long, text string")
+    fixed = verdicts.sparkSession.createDataFrame(
+        [(i + 1, t) for i, t in enumerate(head)] + [(1 << 40 | i, t) for i, t in enumerate(foot)], "line long, text string"
+    )
     return body.unionByName(fixed).select(F.row_number().over(Window.orderBy("line")).cast("long").alias("line"), "text")
 
 

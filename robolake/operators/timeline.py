@@ -24,7 +24,10 @@ def align_asof(left: DataFrame, right: DataFrame, key: str, us: str, tol: int, v
     slice_of = F.floor(F.col(us) / max(1, tol))
     lefts = left.withColumn("__side", F.lit(0)).withColumn("__us", F.col(us)).withColumn("__slice", slice_of)
     pair = F.struct(F.col(us).alias("us"), F.col(tie).alias("id"), F.col(value).alias("value"))
-    rights = right.select(key, F.lit(1).alias("__side"), F.col(us).alias("__us"), pair.alias("__r"), F.explode(F.array(slice_of, slice_of + 1)).alias("__slice"))
+    rights = right.select(
+        key, F.lit(1).alias("__side"), F.col(us).alias("__us"), pair.alias("__r"),
+        F.explode(F.array(slice_of, slice_of + 1)).alias("__slice")
+    )
     rows = lefts.unionByName(rights, allowMissingColumns=True)
     w = Window.partitionBy(key, "__slice").orderBy("__us", "__side", F.col("__r.id")).rowsBetween(Window.unboundedPreceding, -1)
     found = rows.withColumn("__f", F.last("__r", ignorenulls=True).over(w)).filter("__side = 0")
@@ -148,7 +151,10 @@ def funnel(df: DataFrame, key: str, stage: str, us: str, stages: tuple[str, ...]
         reached.append(F.count_if(ok))
     counts = first.agg(F.array(*reached).alias("n"))
     rows = counts.select(F.posexplode(F.arrays_zip(F.array(*[F.lit(s) for s in stages]).alias("stage"), F.col("n"))).alias("k", "r"), "n")
-    return rows.select((F.col("k") + 1).cast("long").alias("step"), "r.stage", "r.n", F.when(F.col("k") > 0, F.try_divide(F.col("r.n"), F.get(F.col("n"), F.col("k") - 1))).alias("from_before"))
+    return rows.select(
+        (F.col("k") + 1).cast("long").alias("step"), "r.stage", "r.n",
+        F.when(F.col("k") > 0, F.try_divide(F.col("r.n"), F.get(F.col("n"), F.col("k") - 1))).alias("from_before")
+    )
 
 
 def between_failures(df: DataFrame, key: str, us: str) -> DataFrame:
@@ -195,7 +201,10 @@ def step_response(df: DataFrame, key: str, us: str, tie: str, value: str, band:
 
     The last value of a key is an aggregate; rows are dealt by key and SALTS by hash to meet it, and summed up again in two steps.
     """
-    ends = df.groupBy(key).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(us, tie)).alias("__last"), F.max(value).alias("__top"), F.min(us).alias("__begin"))
+    ends = df.groupBy(key).agg(
+        F.max_by(F.struct(F.col(value).alias("v")), F.struct(us, tie)).alias("__last"), F.max(value).alias("__top"),
+        F.min(us).alias("__begin")
+    )
     named = ends.select(F.col(key).alias("__key"), F.col("__last.v").alias("final"), "__top", "__begin")
     salted = named.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = df.select(key, us, value, F.pmod(F.xxhash64(us, tie), F.lit(SALTS)).cast("int").alias("__s"))

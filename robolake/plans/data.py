@@ -75,7 +75,9 @@ SELECT coalesce(CASE WHEN text IS NULL THEN 'null' WHEN trim(text) = '' THEN 'em
 FROM d, s GROUP BY 1""")
 def c04_clean(spark, d):
     c = quality.clean(load(spark, d, "documents"), "text", F.col("n_chars"))
-    return c.groupBy(F.coalesce("reason", F.lit("clean")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    return c.groupBy(F.coalesce("reason", F.lit("clean")).alias("reason")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")
+    )
 
 
 @query("c04_outliers", """
@@ -134,7 +136,13 @@ def c06_redact(spark, d):
     return r.select("doc_id", F.md5("text").alias("redacted"), F.length("text").cast("long").alias("n_chars"))
 
 
-@query("c06_report", "\nUNION ALL\n".join(f"SELECT source, '{k}' AS kind, sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS n FROM documents GROUP BY source" for k, p in quality.PERSONAL.items()))
+@query(
+    "c06_report",
+    "\nUNION ALL\n".join(
+        f"SELECT source, '{k}' AS kind, sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS n FROM documents GROUP BY source" for k,
+        p in quality.PERSONAL.items()
+    )
+)
 def c06_report(spark, d):
     return quality.redaction_report(load(spark, d, "documents"), "text", "source")
 
@@ -174,7 +182,13 @@ def c07_leak(spark, d):
 SELECT kind, count(*) AS n, count(lang) AS n_lang, sum(length(body))::BIGINT AS n_chars FROM (
   SELECT 'doc' AS kind, doc_id AS id, text AS body, lang FROM documents UNION ALL SELECT 'page', page_id, html, NULL FROM pages UNION ALL SELECT 'item', item_id, text, NULL FROM benchmark) GROUP BY kind""")
 def c08_harmonise(spark, d):
-    one = quality.harmonise([load(spark, d, t) for t in ("documents", "pages", "benchmark")], [{"kind": "'doc'", "id": "doc_id", "body": "text", "lang": "lang"}, {"kind": "'page'", "id": "page_id", "body": "html"}, {"kind": "'item'", "id": "item_id", "body": "text"}])
+    one = quality.harmonise(
+        [load(spark, d, t) for t in ("documents", "pages", "benchmark")],
+        [
+            {"kind": "'doc'", "id": "doc_id", "body": "text", "lang": "lang"}, {"kind": "'page'", "id": "page_id", "body": "html"},
+            {"kind": "'item'", "id": "item_id", "body": "text"}
+        ]
+    )
     return one.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("lang").alias("n_lang"), F.sum(F.length("body")).alias("n_chars"))
 
 
@@ -183,7 +197,10 @@ WITH s AS (SELECT source, count(*) / 100.0::DOUBLE AS size, count(DISTINCT lang)
      t AS (SELECT source, round((size * 1.0::DOUBLE + variety * 2.0::DOUBLE + usable * 3.0::DOUBLE) / 6.0::DOUBLE, 6) AS total FROM s)
 SELECT source, total, dense_rank() OVER (ORDER BY total DESC) AS rank FROM t""")
 def c08_rank_sources(spark, d):
-    s = load(spark, d, "documents").groupBy("source").agg((F.count(F.lit(1)) / 100.0).alias("size"), (F.countDistinct("lang") / 4.0).alias("variety"), F.avg((F.col("n_chars") >= 200).cast("int")).alias("usable"))
+    s = load(spark, d, "documents").groupBy("source").agg(
+        (F.count(F.lit(1)) / 100.0).alias("size"), (F.countDistinct("lang") / 4.0).alias("variety"),
+        F.avg((F.col("n_chars") >= 200).cast("int")).alias("usable")
+    )
     return quality.rank_weighted(s, "source", {"size": 1.0, "variety": 2.0, "usable": 3.0})
 
 
@@ -199,15 +216,22 @@ _SCORE = r"""SELECT doc_id, 100 * (least(n_chars / 2000, 1.0) * 2.0 + (length(re
 def _scored(spark, d):
     """An empty text scores as one without letters; its lines are one."""
     lines, text = F.split("text", "\n"), F.col("text")
-    letters = F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"\p{L}")), F.length(text)), F.when(text.isNotNull(), 0.0))
-    features = {"size": (F.least(F.col("n_chars") / 2000, F.lit(1.0)), 2.0), "letters": (letters, 3.0), "new_lines": (F.size(F.array_distinct(lines)) / F.size(lines), 1.0)}
+    only = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    letters = F.coalesce(F.try_divide(only, F.length(text)), F.when(text.isNotNull(), 0.0))
+    features = {
+        "size": (F.least(F.col("n_chars") / 2000, F.lit(1.0)), 2.0), "letters": (letters, 3.0),
+        "new_lines": (F.size(F.array_distinct(lines)) / F.size(lines), 1.0)
+    }
     return quality.score(load(spark, d, "documents"), features)
 
 
 @query("c09_score", f"SELECT doc_id, round(score, 6) AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' ELSE 'C' END AS grade FROM ({_SCORE})")
 def c09_score(spark, d):
     s = _scored(spark, d)
-    return s.select("doc_id", r6(F.col("score")).alias("score"), F.when(F.col("score") >= 90, "A").when(F.col("score") >= 75, "B").otherwise("C").alias("grade"))
+    return s.select(
+        "doc_id", r6(F.col("score")).alias("score"),
+        F.when(F.col("score") >= 90, "A").when(F.col("score") >= 75, "B").otherwise("C").alias("grade")
+    )
 
 
 @query("c09_gate", f"""
@@ -215,7 +239,9 @@ WITH j AS (SELECT score >= 75 AS passed, quality = 1 AS gold FROM ({_SCORE}) JOI
 SELECT count(*) AS n, count(*) FILTER (passed AND gold) AS tp, count(*) FILTER (passed AND NOT gold) AS fp, count(*) FILTER (NOT passed AND gold) AS fn,
        round(count(*) FILTER (passed AND gold) / count(*) FILTER (passed), 6) AS precision, round(count(*) FILTER (passed AND gold) / count(*) FILTER (gold), 6) AS recall FROM j""")
 def c09_gate(spark, d):
-    j = _scored(spark, d).join(load(spark, d, "labels"), "doc_id").select((F.col("score") >= 75).alias("passed"), (F.col("quality") == 1).alias("gold"))
+    j = _scored(spark, d).join(load(spark, d, "labels"), "doc_id").select(
+        (F.col("score") >= 75).alias("passed"), (F.col("quality") == 1).alias("gold")
+    )
     return quality.agreement(j, "passed", "gold").withColumns({"precision": r6(F.col("precision")), "recall": r6(F.col("recall"))})
 
 

@@ -62,14 +62,18 @@ WITH {TRIALS}, r AS (SELECT avg(success::INT) AS ref FROM t WHERE cell IN ('clic
 SELECT cell, version, grouping(cell, version)::BIGINT AS grouping, count(*) AS n, round(avg(success::INT), 6) AS p, round(avg(success::INT) - any_value(ref), 6) AS degradation
 FROM t, r GROUP BY CUBE (cell, version)""")
 def e4_generalisation(spark, d):
-    g = evaluation.generalisation(trials(spark, d), ("cell", "version"), "success", F.col("cell").isin("click", "view") & (F.col("version") == "base"))
+    g = evaluation.generalisation(
+        trials(spark, d), ("cell", "version"), "success", F.col("cell").isin("click", "view") & (F.col("version") == "base")
+    )
     return g.withColumns({c: r6(F.col(c)) for c in ("p", "degradation")})
 
 
 @query("e4_matrix", f"""
 WITH {TRIALS} SELECT cell, round(avg(success::INT) FILTER (version = 'base'), 6) AS base, round(avg(success::INT) FILTER (version = 'cand'), 6) AS cand FROM t GROUP BY cell""")
 def e4_matrix(spark, d):
-    return evaluation.rate_table(trials(spark, d), "cell", "version", ("base", "cand"), "success").withColumns({c: r6(F.col(c)) for c in ("base", "cand")})
+    return evaluation.rate_table(
+        trials(spark, d), "cell", "version", ("base", "cand"), "success"
+    ).withColumns({c: r6(F.col(c)) for c in ("base", "cand")})
 
 
 @query("e5_stability", f"""

@@ -38,7 +38,10 @@ UNION ALL SELECT 'order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT
 UNION ALL SELECT 'part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 2)""")
 def c41a_contract(spark, d):
     rules = {"discount": F.col("l_discount").between(0, 0.08), "flag": F.col("l_returnflag").isin("A", "N")}
-    refs = {"order": ("l_orderkey", load(spark, d, "orders"), "o_orderkey"), "part": ("l_partkey", load(spark, d, "part").filter("p_size > 2"), "p_partkey")}
+    refs = {
+        "order": ("l_orderkey", load(spark, d, "orders"), "o_orderkey"),
+        "part": ("l_partkey", load(spark, d, "part").filter("p_size > 2"), "p_partkey")
+    }
     return release.contract_audit(load(spark, d, "lineitem"), rules, refs)
 
 
@@ -48,7 +51,9 @@ DEGRADE = f"""{E}, r AS (SELECT *, (channel = 'error')::INT AS bad, sum(1 - (cha
 
 @query("c41b_degrade", f"WITH {DEGRADE} SELECT entity, id, n AS errors_in_a_row, CASE WHEN n >= 3 THEN 'STOPPED' WHEN n >= 2 THEN 'DEGRADED' ELSE 'NORMAL' END AS state FROM n")
 def c41b_degrade(spark, d):
-    return release.degrade(readings(spark, d), "entity", "us", "id", F.col("channel") == "error", 2, 3).select("entity", "id", "errors_in_a_row", "state")
+    return release.degrade(
+        readings(spark, d), "entity", "us", "id", F.col("channel") == "error", 2, 3
+    ).select("entity", "id", "errors_in_a_row", "state")
 
 
 _RUNS = """a AS (SELECT user_id, event_type, round(value, 3) AS value FROM events),
@@ -94,7 +99,10 @@ def c42a_session(spark, d):
 @query("c42b_triage", """
 SELECT coalesce(CASE WHEN value IS NULL THEN 'no_reading' END, CASE WHEN value > 95 THEN 'overload' END, CASE WHEN event_type = 'error' THEN 'software' END, CASE WHEN value < 5 THEN 'sensor' END, 'healthy') AS layer, count(*) AS n FROM events GROUP BY 1""")
 def c42b_triage(spark, d):
-    rules = [("no_reading", F.col("value").isNull()), ("overload", F.col("value") > 95), ("software", F.col("channel") == "error"), ("sensor", F.col("value") < 5)]
+    rules = [
+        ("no_reading", F.col("value").isNull()), ("overload", F.col("value") > 95), ("software", F.col("channel") == "error"),
+        ("sensor", F.col("value") < 5)
+    ]
     return readings(spark, d).groupBy(timeline.first_match(rules, "healthy").alias("layer")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -103,7 +111,9 @@ WITH {E}, c AS (SELECT entity, id, us, CASE WHEN value > 75 THEN 'power' WHEN va
      a AS (SELECT cause, coalesce(lead(us) OVER (PARTITION BY entity, cause ORDER BY us, id) - us <= {7 * DAY}, false)::INT AS again FROM c)
 SELECT cause, count(*) AS n, round(avg(again), 6) AS recurrence, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM a GROUP BY cause""")
 def c42c_cases(spark, d):
-    c = readings(spark, d).filter("channel = 'error'").withColumn("cause", F.when(F.col("value") > 75, "power").when(F.col("value") > 25, "motion").otherwise("network"))
+    c = readings(spark, d).filter("channel = 'error'").withColumn(
+        "cause", F.when(F.col("value") > 75, "power").when(F.col("value") > 25, "motion").otherwise("network")
+    )
     return _rounded(release.case_stats(c, "entity", "cause", "us", "id", 7 * DAY), "recurrence", "share")
 
 
@@ -128,7 +138,9 @@ WITH {E}, b AS (SELECT (us // {DAY}) * {DAY} AS bucket, round(avg((channel = 'er
      v AS (SELECT bucket, CASE WHEN rate <= 0.2 THEN 'PASS' WHEN rate <= 0.22 THEN 'WATCH' ELSE 'ROLLBACK' END AS v FROM b), f AS (SELECT min(bucket) FILTER (v = 'ROLLBACK') AS rollback FROM v)
 SELECT rollback, max(bucket) FILTER (v = 'PASS' AND bucket < rollback) AS last_good FROM v, f GROUP BY rollback""")
 def c43c_rollback(spark, d):
-    b = readings(spark, d).groupBy((F.floor(F.col("us") / DAY) * DAY).cast("long").alias("bucket")).agg(F.round(F.avg((F.col("channel") == "error").cast("double")), 9).alias("rate"))
+    b = readings(spark, d).groupBy((F.floor(F.col("us") / DAY) * DAY).cast("long").alias("bucket")).agg(
+        F.round(F.avg((F.col("channel") == "error").cast("double")), 9).alias("rate")
+    )
     return release.rollback_point(b, "bucket", F.when(F.col("rate") <= 0.2, "PASS").when(F.col("rate") <= 0.22, "WATCH").otherwise("ROLLBACK"))
 
 
@@ -145,14 +157,20 @@ WITH {E}, {TICKETS.format(gap=24 * H)}
 SELECT k.entity, k.ticket, round(avg(e.value) FILTER (e.us < first_us), 6) AS before, round(avg(e.value) FILTER (e.us BETWEEN first_us AND last_us), 6) AS during, round(avg(e.value) FILTER (e.us > last_us), 6) AS after
 FROM k JOIN e ON e.entity = k.entity AND e.us BETWEEN first_us - {12 * H} AND last_us + {12 * H} GROUP BY k.entity, k.ticket""")
 def c43e_review(spark, d):
-    return _rounded(release.incident_review(_tickets(spark, d, 24 * H), readings(spark, d), "entity", "us", "value", 12 * H, 12 * H), "before", "during", "after")
+    return _rounded(
+        release.incident_review(_tickets(spark, d, 24 * H), readings(spark, d), "entity", "us", "value", 12 * H, 12 * H), "before",
+        "during", "after"
+    )
 
 
 _LIMITS = {"success": (0.45, 0.52), "volume": (20.0, 30.0), "uptime": (0.75, 0.8)}
 
 
 def _metrics(spark, d):
-    m = trials(spark, d).groupBy("entity").agg(F.round(F.avg(F.col("success").cast("double")), 9).alias("success"), F.count(F.lit(1)).cast("double").alias("volume"), F.round(F.avg((F.col("cell") != "error").cast("double")), 9).alias("uptime"))
+    m = trials(spark, d).groupBy("entity").agg(
+        F.round(F.avg(F.col("success").cast("double")), 9).alias("success"), F.count(F.lit(1)).cast("double").alias("volume"),
+        F.round(F.avg((F.col("cell") != "error").cast("double")), 9).alias("uptime")
+    )
     return m.unpivot("entity", list(_LIMITS), "metric", "value")
 
 
@@ -176,7 +194,10 @@ def c44b_evidence(spark, d):
     return release.evidence(load(spark, d, "events"), "user_id", ("event_id", "event_type", "props"), "event_id")
 
 
-@query("c44b_sources", f"WITH v AS ({SQL['c44a_gate']}) SELECT user_id AS entity, event_id, event_type, value, verdict FROM events JOIN v ON entity = user_id")
+@query(
+    "c44b_sources",
+    f"WITH v AS ({SQL['c44a_gate']}) SELECT user_id AS entity, event_id, event_type, value, verdict FROM events JOIN v ON entity = user_id"
+)
 def c44b_sources(spark, d):
     rows = load(spark, d, "events").withColumnRenamed("user_id", "entity")
     return release.source_rows(c44a_gate(spark, d), rows, "entity", ("event_id", "event_type", "value"))
@@ -211,5 +232,8 @@ WITH {E}, g AS (SELECT entity, count(*) >= 10 AS g0, count(*) FILTER (channel =
      n AS (SELECT entity, (CASE WHEN NOT g0 THEN 0 WHEN NOT g1 THEN 1 WHEN NOT g2 THEN 2 WHEN NOT g3 THEN 3 WHEN NOT g4 THEN 4 ELSE 5 END)::BIGINT AS n_gates FROM g)
 SELECT entity, n_gates, CASE WHEN n_gates > 0 THEN 'G' || (n_gates - 1) END AS gate FROM n""")
 def c44d_gates(spark, d):
-    gates = [("G0", F.count(F.lit(1)) >= 10), ("G1", F.count_if(F.col("channel") == "signup") > 0), ("G2", F.avg("value") > 45), ("G3", F.avg((F.col("channel") == "error").cast("double")) < 0.21), ("G4", F.max("value") > 95)]
+    gates = [
+        ("G0", F.count(F.lit(1)) >= 10), ("G1", F.count_if(F.col("channel") == "signup") > 0), ("G2", F.avg("value") > 45),
+        ("G3", F.avg((F.col("channel") == "error").cast("double")) < 0.21), ("G4", F.max("value") > 95)
+    ]
     return release.gate_board(readings(spark, d), "entity", gates)

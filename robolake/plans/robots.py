@@ -35,7 +35,10 @@ def _boxes(spark, d, which):
     i = F.col("event_id")
     e = load(spark, d, "events").filter(F.col("event_type") == which)
     dbl = lambda c: c.cast("double")
-    return e.select(i.alias("id"), (i % 97).alias("image"), dbl(i % 7).alias("x0"), dbl(i % 5).alias("y0"), dbl(i % 7 + 4 + i % 3).alias("x1"), dbl(i % 5 + 4 + i % 2).alias("y1"), (hash_mod(i, 1000) / 1000).alias("conf"))
+    return e.select(
+        i.alias("id"), (i % 97).alias("image"), dbl(i % 7).alias("x0"), dbl(i % 5).alias("y0"), dbl(i % 7 + 4 + i % 3).alias("x1"),
+        dbl(i % 5 + 4 + i % 2).alias("y1"), (hash_mod(i, 1000) / 1000).alias("conf")
+    )
 
 
 @query("c13_detection", f"""
@@ -119,7 +122,9 @@ WITH RECURSIVE n AS (SELECT n_nationkey AS k FROM nation), t AS (SELECT k // 2 A
 SELECT node::VARCHAR AS node, max(level)::BIGINT AS level FROM r GROUP BY node""")
 def c18_levels(spark, d):
     n = load(spark, d, "nation").select(F.col("n_nationkey").alias("k")).filter("k > 0")
-    edges = n.selectExpr("cast(k div 2 as string) as src", "cast(k as string) as dst").unionByName(n.selectExpr("cast(k div 3 as string) as src", "cast(k as string) as dst")).distinct()
+    edges = n.selectExpr("cast(k div 2 as string) as src", "cast(k as string) as dst").unionByName(
+        n.selectExpr("cast(k div 3 as string) as src", "cast(k as string) as dst")
+    ).distinct()
     return ledger.levels(edges)
 
 
@@ -169,7 +174,13 @@ WITH g AS (SELECT p_size AS gain, l_discount AS damping, abs(l_quantity - 25) AS
 SELECT gain, damping, round(avg(loss), 6) AS loss FROM g GROUP BY gain, damping ORDER BY round(avg(loss), 9), gain, damping LIMIT 1""")
 def c21_tune(spark, d):
     j = load(spark, d, "lineitem").join(load(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return _rounded(evaluation.tune(j.select(F.col("p_size").alias("gain"), F.col("l_discount").alias("damping"), F.abs(F.col("l_quantity") - 25).alias("loss")), ("gain", "damping"), "loss"), "loss")
+    return _rounded(
+        evaluation.tune(
+            j.select(F.col("p_size").alias("gain"), F.col("l_discount").alias("damping"), F.abs(F.col("l_quantity") - 25).alias("loss")),
+            ("gain", "damping"), "loss"
+        ),
+        "loss"
+    )
 
 
 @query("c22_tokens", f"""
@@ -241,7 +252,10 @@ WITH s AS (SELECT p_brand AS option, avg(p_size) AS size, avg(p_retailprice) / 1
      t AS (SELECT option, round((size * 0.5::DOUBLE + price * 0.3::DOUBLE + variety * 0.2::DOUBLE) / 1.0::DOUBLE, 6) AS total FROM s)
 SELECT option, total, dense_rank() OVER (ORDER BY total DESC) AS rank FROM t""")
 def c25_simulators(spark, d):
-    s = load(spark, d, "part").groupBy(F.col("p_brand").alias("option")).agg(F.avg("p_size").alias("size"), (F.avg("p_retailprice") / 100).alias("price"), F.countDistinct("p_type").cast("double").alias("variety"))
+    s = load(spark, d, "part").groupBy(F.col("p_brand").alias("option")).agg(
+        F.avg("p_size").alias("size"), (F.avg("p_retailprice") / 100).alias("price"),
+        F.countDistinct("p_type").cast("double").alias("variety")
+    )
     return quality.rank_weighted(s, "option", {"size": 0.5, "price": 0.3, "variety": 0.2})
 
 

@@ -64,7 +64,10 @@ SELECT a.user_id, a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN even
 WHERE a.event_type = 'view' AND b.event_type = 'purchase'""")
 def s4_interval_join(spark, d):
     e = jobs.events(spark, d)
-    return _drained(spark, jobs.interval_join(e.filter("event_type = 'view'"), jobs.events(spark, d).filter("event_type = 'purchase'"), "1 hour", "6 HOURS"))
+    return _drained(
+        spark,
+        jobs.interval_join(e.filter("event_type = 'view'"), jobs.events(spark, d).filter("event_type = 'purchase'"), "1 hour", "6 HOURS")
+    )
 
 
 #: Files that s5_once takes one after the other; a day of a user lies in several of them.

@@ -58,7 +58,9 @@ def snk_memory(spark, d):
 
     name = shared_folder(spark, "m").rsplit("/", 1)[1].replace("-", "_")
     counts = jobs.events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_folder(spark, "memory")).trigger(availableNow=True).start()
+    q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option(
+        "checkpointLocation", shared_folder(spark, "memory")
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
@@ -130,7 +132,10 @@ SELECT p_partkey, levenshtein(p_brand, 'Brand#13') AS distance, regexp_replace(r
 def fn_strings(spark, d):
     p = load(spark, d, "part")
     distance = F.levenshtein("p_brand", F.lit("Brand#13")).cast("long").alias("distance")
-    return p.select("p_partkey", distance, F.mask("p_brand").alias("masked"), F.concat_ws("/", "p_brand", "p_type").alias("path"), F.split("p_type", " ")[0].alias("word"))
+    return p.select(
+        "p_partkey", distance, F.mask("p_brand").alias("masked"), F.concat_ws("/", "p_brand", "p_type").alias("path"),
+        F.split("p_type", " ")[0].alias("word")
+    )
 
 
 @query("fn_dates", """

@@ -23,20 +23,30 @@ def read_rows(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFram
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("entity"), F.col("event_type").alias("channel"), micros("ts").alias("us"), "value", F.col("event_id").alias("id"))
+    return e.select(
+        F.col("user_id").alias("entity"), F.col("event_type").alias("channel"), micros("ts").alias("us"), "value",
+        F.col("event_id").alias("id")
+    )
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """version, cell, repeat, success and latency of each run; runs from CANDIDATE_FROM on are the candidate's."""
     e = load(spark, sf_dir, "events")
     version = F.when(F.col("ts") < F.lit(CANDIDATE_FROM).cast("timestamp_ntz"), "base").otherwise("cand")
-    return e.select(version.alias("version"), F.col("event_type").alias("cell"), (F.col("user_id") % 3).alias("repeat"), (F.col("value") > 50).alias("success"), F.col("value").alias("latency"), micros("ts").alias("us"), F.col("user_id").alias("entity"), F.col("event_id").alias("id"))
+    return e.select(
+        version.alias("version"), F.col("event_type").alias("cell"), (F.col("user_id") % 3).alias("repeat"),
+        (F.col("value") > 50).alias("success"), F.col("value").alias("latency"), micros("ts").alias("us"), F.col("user_id").alias("entity"),
+        F.col("event_id").alias("id")
+    )
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost lines: category, item, quantity, cost."""
     line, part = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part")
-    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("category"), F.col("p_type").alias("kind"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("cost"))
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("p_brand").alias("category"), F.col("p_type").alias("kind"), F.col("l_partkey").alias("item"),
+        F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("cost")
+    )
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:

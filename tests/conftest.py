@@ -16,7 +16,9 @@ def spark(tmp_path_factory):
     base = tmp_path_factory.mktemp("spark")
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(base / "warehouse")).config("spark.checkpoint.dir", f"file://{base}/shared").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config(
+            "spark.sql.warehouse.dir", str(base / "warehouse")
+        ).config("spark.checkpoint.dir", f"file://{base}/shared").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("OFF")
     yield s

@@ -31,7 +31,9 @@ def test_once(spark, sf, batch):
 
 
 def test_state_machine_equals_batch(spark, sf):
-    assert rows(registry.QUERIES["s6_degrade"](spark, sf), "event_id", "state") == rows(registry.QUERIES["c41b_degrade"](spark, sf).withColumnRenamed("id", "event_id"), "event_id", "state")
+    assert rows(registry.QUERIES["s6_degrade"](spark, sf), "event_id", "state") == rows(
+        registry.QUERIES["c41b_degrade"](spark, sf).withColumnRenamed("id", "event_id"), "event_id", "state"
+    )
 
 
 def test_state_goes_on_between_runs(spark, sf, tmp_path):
