@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from robolake.functions.columns import hash_mod, text_key
 from robolake.functions.quantiles import percentiles
+from robolake.functions.scratch import Rounds
 from robolake.operators import ledger, recursive
 
 
@@ -104,19 +105,21 @@ def similar_pairs(df: DataFrame, id_col: str, text: str, percent: int = 80) -> D
 def similar_classes(df: DataFrame, id_col: str, text: str, percent: int = 80) -> DataFrame:
     """A row for each text with tokens: the smallest id of its set, of its cluster, and the number of texts that it is directly similar to.
 
-    Clusters are what links of similar_pairs() connect. Texts of one set are linked with each other and with all that the set is linked with.
+    Clusters are what links of similar_pairs() connect. Texts of one set are linked with each other and with all that the set is linked
+    with. Sets and pairs are found once and written; so is the result.
     """
-    sets = token_sets(df, id_col, text)
-    reps = sets.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    pairs = similar_pairs(df, id_col, text, percent).select("x", "y")
-    found = ledger.clusters(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    links = both.join(reps.select(F.col("rep").alias("y"), "copies"), "y").groupBy(F.col("x").alias("rep")).agg(F.sum("copies").alias("others"))
-    told = reps.join(links, "rep", "left").join(found.select(F.col("node").alias("rep"), "cluster"), "rep", "left")
-    told = told.select(
-        "set", "rep", F.coalesce("cluster", "rep").alias("cluster"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    return sets.select(F.col("id").alias(id_col), "set").join(told, "set").select(id_col, F.col("rep").alias("class"), "cluster", "n_links")
+    with Rounds(df.sparkSession) as rounds:
+        sets = rounds.written(token_sets(df, id_col, text).select("id", "set"))
+        pairs = rounds.written(similar_pairs(df, id_col, text, percent).select("x", "y"))
+        reps = sets.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        found = ledger.clusters(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")))
+        both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        links = both.join(reps.select(F.col("rep").alias("y"), "copies"), "y").groupBy(F.col("x").alias("rep")).agg(F.sum("copies").alias("others"))
+        told = reps.join(links, "rep", "left").join(found.select(F.col("node").alias("rep"), "cluster"), "rep", "left")
+        others = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
+        told = told.select("set", "rep", F.coalesce("cluster", "rep").alias("cluster"), others.alias("n_links"))
+        every = sets.select(F.col("id").alias(id_col), "set").join(told, "set")
+        return rounds.result(every.select(id_col, F.col("rep").alias("class"), "cluster", "n_links"))
 
 
 def balance(df: DataFrame, cls: str, id_col: str, cap: int | None = None) -> DataFrame:
