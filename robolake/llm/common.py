@@ -96,6 +96,12 @@ class Scratch:
         self.paths.append(path)
         return table_at(df, path)
 
+    def drop_older(self) -> None:
+        """Drop all tables but the one written last, which no longer needs them."""
+        for path in self.paths[:-1]:
+            drop_path(self.spark, path)
+        del self.paths[:-1]
+
     def result(self, df: DataFrame, tag: str) -> DataFrame:
         return table_at(df, scratch(self.spark, tag))
 
