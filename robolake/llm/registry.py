@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, exact, langid, minhash, mixing, multiindex, packing, pfor, secrets, viterbi
+from . import centroids, chat, exact, langid, minhash, mixing, multiindex, packing, periods, pfor, secrets, viterbi
 from .common import scratch, table
 
 WORD_TOKENS = public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +82,10 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.inertias(*centroids.k_means(table(spark, sf_dir, "embeddings")))
 
 
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.find_runs(periods.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_exact_dedup": op2_exact_dedup,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_vectors": op9_near_vectors,
     "op10_chat": op10_chat,
     "op11_clusters": op11_clusters,
+    "op13_periods": op13_periods,
 }
 
 SQL: dict[str, str] = {"op2_exact_dedup": exact.SQL, "op3_secrets": secrets.SQL, "op5_mix": mixing.SQL, "op10_chat": chat.sql(SAID, -7), "op11_clusters": centroids.sql()}
