@@ -224,8 +224,8 @@ def planted(docs: DataFrame) -> DataFrame:
 def digests(told: DataFrame) -> DataFrame:
     """Of find_runs(): the number of runs, the run of the greatest exponent (ties: smallest start, then period), and digests of all runs and of what is left."""
     best = F.expr(
-        "array_sort(runs, (x, y) -> case when x.length * y.period <> y.length * x.period then sign(y.length * x.period - x.length * y.period)"
-        " when x.start <> y.start then sign(x.start - y.start) else sign(x.period - y.period) end)[0]"
+        "array_sort(runs, (x, y) -> int(case when x.length * y.period <> y.length * x.period then sign(y.length * x.period - x.length * y.period)"
+        " when x.start <> y.start then sign(x.start - y.start) else sign(x.period - y.period) end))[0]"
     )
     best = F.when(F.size("runs") > 0, best)
     lines = F.array_join(F.expr("transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n'))"), "")
