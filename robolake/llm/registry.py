@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, exact, langid, minhash, mixing, multiindex, packing, periods, pfor, secrets, viterbi
+from . import article, centroids, chat, exact, langid, minhash, mixing, multiindex, packing, periods, pfor, secrets, viterbi
 from .common import scratch, table
 
 WORD_TOKENS = public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +83,16 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.inertias(*centroids.k_means(table(spark, sf_dir, "embeddings")))
 
 
+@cache
+def _article_model():
+    """Learned once a process: the labelled pages come from a seed, so every process learns the same."""
+    return article.fit(article.labelled_pages(SparkSession.active()))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), _article_model())
+
+
 def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.find_runs(periods.planted(table(spark, sf_dir, "documents"))))
 
@@ -98,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_vectors": op9_near_vectors,
     "op10_chat": op10_chat,
     "op11_clusters": op11_clusters,
+    "op12_main_text": op12_main_text,
     "op13_periods": op13_periods,
 }
 
