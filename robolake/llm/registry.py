@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import cache
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import article, centroids, chat, exact, langid, minhash, mixing, multiindex, packing, periods, pfor, secrets, viterbi
-from .common import scratch, table
+from .common import table
 
 WORD_TOKENS = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
@@ -22,15 +21,8 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_shards(pfor.write_shards(table(spark, sf_dir, "documents"), WORD_TOKENS, END_ID))
 
 
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex[:12]}", scratch(spark, "op2-index"), _partitions(spark))
-    told = index.ingest(table(spark, sf_dir, "documents"))
-    index.drop()
-    return told
+    return exact.dedup(table(spark, sf_dir, "documents"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,58 @@ def test_exact_batch_again(spark, index):
     assert index.name not in {t.name for t in spark.catalog.listTables()}
 
 
+def test_exact_index_keeps_its_buckets(spark, index):
+    """Opened again under another name and shuffle setting, as a later application does, it keeps nothing twice."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    assert index.ingest(docs, "one").filter("kept").count() == 300
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = exact.DigestIndex(spark, index.name + "_again", index.path)
+        assert again.buckets == 3 and again.ingest(docs, "two").filter("kept").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for other in (dict(name=index.name + "_x", path=index.path, buckets=5), dict(name=index.name, path=index.path + "_new", buckets=5)):
+        with pytest.raises(ValueError, match="buckets"):
+            exact.DigestIndex(spark, **other)
+    docs.write.parquet(index.path + "_other")
+    with pytest.raises(ValueError, match="no index"):
+        exact.DigestIndex(spark, index.name + "_y", index.path + "_other")
+
+
+def test_exact_anti_join_meets_a_filled_index(spark, index):
+    """Bucketed side: sorted and not shuffled."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id long, text string")
+    index.ingest(docs, "one")
+    groups = exact.digests(docs.filter("doc_id > 50")).groupBy("digest").agg({"doc_id": "min"})
+    new = index.new_digests(groups, "two")
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert new.count() == 0 and "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_exact_counts_over_batches(spark, index):
+    first = exact.digests(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string"))
+    second = exact.digests(spark.createDataFrame([(4, "a"), (5, "c"), (None, "c"), (None, "d")], "doc_id long, text string"))
+    for _ in range(2):  # taken again, nothing is counted twice
+        index.add(first, "first")
+        index.add(second, "second")
+    with Scratch(spark) as tmp:
+        got = index.judge(tmp.written(first.unionByName(second), "t")).collect()
+    rows = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str)
+    assert rows == sorted([(1, 1, 3, True), (2, 1, 3, False), (3, 3, 1, True), (4, 1, 3, False), (5, 5, 2, True), (None, 5, 2, False), (None, None, 1, True)], key=str)
+
+
+@pytest.mark.parametrize("rows", [EDGE, [], [(None, "a"), (None, "a"), (None, None)], [(7, "a")], [(1, "a"), (1, "a"), (1, "b"), (9, "b "), (None, "b\t")]])
+def test_exact_in_two_batches(spark, rows):
+    docs = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, keep_id int, digest string")
+    groups: dict = {}
+    for i, t in rows:
+        groups.setdefault(spaced(t), []).append(i)
+    least = {t: min((i for i in g if i is not None), default=None) for t, g in groups.items()}
+    want = [(i, least[spaced(t)], len(groups[spaced(t)]), i == least[spaced(t)]) for i, t in rows]
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.dedup(docs).collect()), key=str) == sorted(want, key=str)
+
+
 def test_exact_repeated_and_null_ids(spark, index):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "z")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.ingest(docs).collect()), key=str)
