@@ -4,8 +4,9 @@ Each task packs the documents that it reads, in their order; nothing is shuffled
 tokens than a window fills whole windows first. What remains, of s tokens, goes where the sum over all levels h of
 N(h) ** 2 becomes smallest, N(h) being the number of windows filled to level h, 0 < h < window, which one array of
 counts tracks: into a window at level h with h + s <= window, or into a new one. Ties take the fullest window.
-When a task has read its rows, the windows still open are closed by cutting: the emptiest are poured into the
-fullest, so that a task leaves one window with padding at most.
+Where more than OPEN windows are open, and when a task has read its rows, windows are closed by cutting: the emptiest
+are poured into the fullest. So a task keeps a bounded number of windows in memory, whatever the lengths of its documents, and leaves one
+with padding at most.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .wordcache import grouped, opened
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids of a task begin at its number times this.
 TASK_IDS = 1 << 33
+#: Most windows that a task holds open.
+OPEN = 256
 
 
 class Piece:
@@ -40,8 +43,8 @@ class Piece:
 class SumOfSquares:
     """Online packer. add() and close() give full windows, the last one perhaps not, as lists of pieces."""
 
-    def __init__(self, window: int):
-        self.window = window
+    def __init__(self, window: int, most: int = OPEN):
+        self.window, self.most, self.n_open = window, most, 0
         self.count = np.zeros(window + 1, np.int64)  # the level array; [0] and [window] stay 0
         self.open: dict[int, list[list[Piece]]] = {}
 
@@ -67,37 +70,48 @@ class SumOfSquares:
         h = self.level(s)
         into = []
         if h:
-            into = self.open[h].pop()
-            self.count[h] -= 1
+            into = self.take(h)
         rest.ids = rest.ids.copy()  # lets go of the batch
         into.append(rest)
         if h + s == self.window:
             yield into
         else:
-            self.count[h + s] += 1
-            self.open.setdefault(h + s, []).append(into)
+            self.put(h + s, into)
+        while self.n_open > self.most:
+            yield self.poured()
+
+    def take(self, h: int) -> list[Piece]:
+        self.count[h] -= 1
+        self.n_open -= 1
+        return self.open[h].pop()
+
+    def put(self, h: int, pieces: list[Piece]) -> None:
+        self.count[h] += 1
+        self.n_open += 1
+        self.open.setdefault(h, []).append(pieces)
+
+    def poured(self) -> list[Piece]:
+        """The fullest open window, filled up from the emptiest ones as far as they reach."""
+        levels = np.flatnonzero(self.count)
+        h = int(levels[-1])
+        out = self.take(h)
+        while h < self.window and self.n_open:
+            g = int(np.argmax(self.count > 0))
+            src = self.take(g)
+            p = src.pop()
+            if len(p.ids) > self.window - h:
+                p, rest = p.cut(self.window - h)
+                src.append(rest)
+            out.append(p)
+            h += len(p.ids)
+            if src:
+                self.put(g - len(p.ids), src)
+        return out
 
     def close(self) -> Iterator[list[Piece]]:
         """All open windows, poured together by cutting; one at most isn't full."""
-        left = [(h, w) for h in sorted(self.open, reverse=True) for w in self.open[h]]
-        self.open, self.count[:] = {}, 0
-        lo, hi = 0, len(left) - 1
-        while lo <= hi:
-            h, w = left[lo]
-            while h < self.window and hi > lo:
-                g, src = left[hi]
-                p = src.pop()
-                if len(p.ids) > self.window - h:
-                    p, rest = p.cut(self.window - h)
-                    src.append(rest)
-                w.append(p)
-                h += len(p.ids)
-                g -= len(p.ids)
-                left[hi] = (g, src)
-                if not src:
-                    hi -= 1
-            yield w
-            lo += 1
+        while self.n_open:
+            yield self.poured()
 
 
 def pack_windows(
@@ -107,8 +121,8 @@ def pack_windows(
 
     Null and empty texts are packed as their end_id alone; repeated rows are packed each; a null id stays null;
     other columns aren't read; no rows give no pieces. sequence_id is the task's number times TASK_IDS plus a count,
-    so a task that is run again gives the same rows. A task keeps its open windows in memory, at most one
-    level array and some hundred windows however many rows it reads.
+    so a task that is run again gives the same rows. A task keeps one level array and at most OPEN open windows in memory, beside the
+    batch that it reads.
     """
     bounded_batches(docs.sparkSession)
 

@@ -162,6 +162,27 @@ def test_language(spark, sf):
     assert langid.fit(docs.limit(0)) == {} and langid.identify(odd.limit(0), learned).count() == 0
 
 
+def test_language_learns_from_all_over_a_text(spark):
+    """A header in another language that all texts share, longer than what is taken of a text, doesn't become that language's dictionary."""
+    words = {"de": "und nicht haus wasser strasse gehen schon immer baum fluss berg kleid", "fr": "et pas maison eau rue aller toujours arbre fleuve montagne robe chat"}
+    rnd = random.Random(8)
+    said = lambda lang, n: " ".join(rnd.choice(words[lang].split()) for _ in range(n))
+    header = said("fr", 500)  # some 2,700 characters
+    rows = [(f"{header} {said('de', 4000)}", "de") for _ in range(60)] + [(said("fr", 4000), "fr") for _ in range(60)]
+    learned = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    tell = langid.Compressors(learned).best
+    assert all(tell(said(lang, 60).encode())[0] == lang for lang in words for _ in range(50))
+
+
+@pytest.mark.parametrize("n", [1, 7, 15, 16, 100, 799])
+def test_spread_pieces(spark, n):
+    text = "".join(chr(0x4E00 + i) for i in range(800))
+    got = spark.createDataFrame([(text,), ("ab",), ("",), (None,)], "t string").select(langid.spread(F.col("t"), n).alias("x")).collect()
+    assert len(got[0].x) <= n and got[3].x is None and got[2].x == "" and got[1].x == "ab"[:n]
+    if n >= 16:
+        assert got[0].x[0] == text[0] and got[0].x[-1] == text[-1] and len(got[0].x) > n - 8
+
+
 def test_language_learns_labels_of_one_text(spark):
     docs = spark.createDataFrame([("ein kleines haus am see", "de"), *[(f"a small house {'x' * i}", "en") for i in range(6)]], "text string, lang string")
     assert sorted(langid.fit(docs)) == ["de", "en"]

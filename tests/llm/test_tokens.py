@@ -155,6 +155,35 @@ def test_close_leaves_one_open_window():
     assert sum(sum(len(x.ids) for x in w) < 50 for w in out) <= 1
 
 
+@pytest.mark.parametrize("sizes", [(2500, 2501), (2049, 4095), (1, 4095), (1, 200), (3000, 9000)])
+def test_open_windows_are_bounded(sizes):
+    """Remainders above half a window never fit one another; still few windows stay open, no id is lost, and padding stays at one window."""
+    p, rnd, seen, short, most = packing.SumOfSquares(4096), random.Random(6), {}, 0, 0
+    want = {i: rnd.randint(*sizes) for i in range(6_000)}
+
+    def take(windows):
+        nonlocal short, most
+        for w in windows:
+            n = sum(len(x.ids) for x in w)
+            assert 0 < n <= 4096
+            short += n < 4096
+            for x in w:
+                seen.setdefault(x.doc, []).append((x.start, len(x.ids)))
+        most = max(most, p.n_open)
+        assert p.n_open == sum(map(len, p.open.values())) == p.count.sum() <= packing.OPEN
+
+    for i, n in want.items():
+        take(p.add(i, np.arange(n, dtype=np.uint32)))
+    take(p.close())
+    assert short <= 1 and most > 1
+    for i, pieces in seen.items():
+        at = 0
+        for start, n in sorted(pieces):
+            assert start == at
+            at += n
+        assert at == want[i]
+
+
 def test_counts_equal_library(spark):
     pieces = viterbi.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     t = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
