@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from robolake.functions.columns import hash_mod, worst
+from robolake.functions.columns import worst
 from robolake.functions.slices import GHOST, HOT, SLICE, carried, sliced, upto
 
 VERDICT = ("PASS", "WATCH", "ROLLBACK")
@@ -50,17 +50,15 @@ def replay_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def replay_keys(a: DataFrame, b: DataFrame, key: str, cols: tuple[str, ...]) -> DataFrame:
-    """For each key the rows of both runs and whether they are the same multiset, by two sums of hashes; aggregates alone, so no key is gathered."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols])
-    one = lambda df, n: df.select(key, F.lit(n).alias("run"), hash_mod(text, 1 << 31).alias("h"))
-    both = one(a, 0).unionByName(one(b, 1))
-    of = lambda n, c: F.sum(F.when(F.col("run") == n, c).otherwise(0))
-    h = F.col("h")
-    square = (h % 65537) * (h % 65537)
-    gaps = [(of(0, c) - of(1, c)).alias(n) for n, c in (("d", h), ("e", square))]
-    counts = both.groupBy(key).agg(of(0, F.lit(1)).alias("n_a"), of(1, F.lit(1)).alias("n_b"), *gaps)
-    same = (F.col("n_a") == F.col("n_b")) & (F.col("d") == 0) & (F.col("e") == 0)
-    return counts.select(key, "n_a", "n_b", same.alias("same"))
+    """For each key the rows of both runs and whether they are the same multiset, null equal to null.
+
+    Equal rows of a key are counted up by one run and down by the other; the runs are the same if no count is left. Aggregates alone, so no key is gathered.
+    """
+    one = lambda df, n: df.select(F.col(key).alias("k"), F.struct(*cols).alias("row"), F.lit(n).alias("run"))
+    n_a, n_b = F.count_if(F.col("run") == 1).alias("n_a"), F.count_if(F.col("run") == -1).alias("n_b")
+    counts = one(a, 1).unionByName(one(b, -1)).groupBy("k", "row").agg(n_a, n_b)
+    same = F.bool_and(F.col("n_a") == F.col("n_b")).alias("same")
+    return counts.groupBy(F.col("k").alias(key)).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), same)
 
 
 def case_stats(df: DataFrame, key: str, cause: str, us: str, tie: str, within: int, hot: int = HOT) -> DataFrame:
@@ -139,13 +137,19 @@ def acceptance(df: DataFrame, metrics: dict[str, tuple[float, float]]) -> DataFr
 LINK = 10_000
 
 
+def framed(text: Column) -> Column:
+    """A text with its length before it, null as a sign of its own: joined, such fields tell where each begins."""
+    return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def evidence(df: DataFrame, entity: str, row: tuple[str, ...], order: str, link: int = LINK) -> DataFrame:
     """For each entity the rows behind its verdict and a chain of digests: one over the digests, in order, of the links' digests.
 
-    A link covers ``link`` values of the order column, a number that no two rows of an entity share, and digests its rows' digests in order.
+    Fields are joined with their lengths, so different rows have different texts; row should name all columns that the verdict comes from. A link covers
+    ``link`` values of the order column, a number that no two rows of an entity share, and digests its rows' digests in order.
     So what is gathered at once is a link, or a digest a link of an entity.
     """
-    h = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row]), 256)
+    h = F.sha2(F.concat(*[framed(F.col(c).cast("string")) for c in row]), 256)
     rows = df.select(entity, F.floor(F.col(order) / link).alias("__l"), F.col(order).alias("__o"), h.alias("h"))
     joined = lambda o: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(o, "h"))), lambda x: x["h"]), ""), 256)
     links = rows.groupBy(entity, "__l").agg(F.count(F.lit(1)).alias("n"), joined("__o").alias("h"))

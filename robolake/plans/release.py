@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from robolake.functions.columns import r6
+from robolake.functions.columns import micros, r6
 from robolake.functions.scratch import shared_folder
 from robolake.operators import release, timeline
 from robolake.sources.tables import load, readings, trials
@@ -186,12 +186,16 @@ def c44a_gate(spark, d):
     return release.acceptance(_metrics(spark, d), _LIMITS)
 
 
+_ROW = ("event_id", "us", "event_type", "value", "props")
+_FRAMED = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in _ROW)
+
+
 @query("c44b_evidence", f"""
-WITH h AS (SELECT user_id, event_id, event_id // {release.LINK} AS l, sha256(event_id::VARCHAR || '|' || event_type || '|' || props) AS h FROM events),
+WITH h AS (SELECT user_id, event_id, event_id // {release.LINK} AS l, sha256({_FRAMED}) AS h FROM (SELECT *, epoch_us(ts) AS us FROM events)),
      k AS (SELECT user_id, l, count(*) AS n, sha256(string_agg(h, '' ORDER BY event_id)) AS h FROM h GROUP BY user_id, l)
 SELECT user_id, sum(n)::BIGINT AS n_rows, sha256(string_agg(h, '' ORDER BY l)) AS chain FROM k GROUP BY user_id""")
 def c44b_evidence(spark, d):
-    return release.evidence(load(spark, d, "events"), "user_id", ("event_id", "event_type", "props"), "event_id")
+    return release.evidence(load(spark, d, "events").withColumn("us", micros("ts")), "user_id", _ROW, "event_id")
 
 
 @query(
