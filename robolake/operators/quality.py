@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from robolake.functions.columns import hash_mod, text_key
 from robolake.functions.quantiles import percentiles
-from robolake.functions.scratch import Rounds
-from robolake.operators import ledger, recursive
+from robolake.operators import recursive
 
 
 def profile(df: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
@@ -70,58 +69,6 @@ def dedup_exact(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return df.groupBy(text_key(F.col(text)).alias("key")).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("copies"))
 
 
-def token_sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """The distinct sets of white-space tokens: rep, the smallest id that has it, its tokens and how many rows have it; empty sets have none."""
-    tokens = F.array_sort(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda t: t != "")))
-    rows = df.select(F.col(id_col).alias("id"), tokens.alias("tokens")).filter(F.size("tokens") > 0)
-    return rows.withColumn("set", F.sha2(F.array_join("tokens", " "), 256))
-
-
-def similar_pairs(df: DataFrame, id_col: str, text: str, percent: int = 80) -> DataFrame:
-    """Pairs x < y of texts whose sets of white-space tokens differ and have a Jaccard similarity of percent or more.
-
-    Of equal sets the smallest id stands for all, so copies aren't paired with each other; similar_classes() has them as members.
-    Prefix filter: with tokens in the order of their rarity, a pair of that similarity shares one of the first n - ceil(n * t) + 1
-    of both, so only those are joined; frequent tokens stand last. The first token that a pair shares says how many more it can share
-    at most: what stands behind it in the shorter rest; pairs that can't reach percent are none. Candidates are then counted on the whole sets.
-    """
-    tokens = token_sets(df, id_col, text).groupBy("set").agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens"))
-    rows = tokens.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    rare = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-    prefix = rows.join(rare.filter("df > 1"), "t", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("k", place)
-    prefix = prefix.filter((F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("id", "n", "t", "k")
-    side = lambda i: prefix.select("t", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("k").alias(f"k{i}"))
-    near = f"x < y and least(nx, ny) * 100 >= greatest(nx, ny) * {percent}"
-    enough = f"(least(nx - kx, ny - ky) + 1) * {100 + percent} >= (nx + ny) * {percent}"
-    pairs = side("x").join(side("y"), "t").filter(f"{near} and {enough}").select("x", "y").distinct()
-    sets = lambda i: tokens.select(F.col("id").alias(i), F.col("tokens").alias(f"t{i}"))
-    both = pairs.join(sets("x"), "x").join(sets("y"), "y")
-    union = F.size("tx") + F.size("ty") - F.col("c")
-    both = both.withColumn("c", F.size(F.array_intersect("tx", "ty"))).filter(F.col("c") * 100 >= union * percent)
-    return both.select("x", "y", (F.col("c") / union).alias("jaccard"))
-
-
-def similar_classes(df: DataFrame, id_col: str, text: str, percent: int = 80) -> DataFrame:
-    """A row for each text with tokens: the smallest id of its set, of its cluster, and the number of texts that it is directly similar to.
-
-    Clusters are what links of similar_pairs() connect. Texts of one set are linked with each other and with all that the set is linked
-    with. Sets and pairs are found once and written; so is the result.
-    """
-    with Rounds(df.sparkSession) as rounds:
-        sets = rounds.written(token_sets(df, id_col, text).select("id", "set"))
-        pairs = rounds.written(similar_pairs(df, id_col, text, percent).select("x", "y"))
-        reps = sets.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-        found = ledger.clusters(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")))
-        both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        links = both.join(reps.select(F.col("rep").alias("y"), "copies"), "y").groupBy(F.col("x").alias("rep")).agg(F.sum("copies").alias("others"))
-        told = reps.join(links, "rep", "left").join(found.select(F.col("node").alias("rep"), "cluster"), "rep", "left")
-        others = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
-        told = told.select("set", "rep", F.coalesce("cluster", "rep").alias("cluster"), others.alias("n_links"))
-        every = sets.select(F.col("id").alias(id_col), "set").join(told, "set")
-        return rounds.result(every.select(id_col, F.col("rep").alias("class"), "cluster", "n_links"))
-
-
 def balance(df: DataFrame, cls: str, id_col: str, cap: int | None = None) -> DataFrame:
     """At most cap rows a class, by the order of a hash of the id, then the id; cap is the smallest class unless given.
 

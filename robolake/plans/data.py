@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from robolake.functions.columns import r6
-from robolake.operators import quality, timeline
+from robolake.operators import quality, similar, timeline
 from robolake.sources.tables import load, readings
 
 H = timeline.SECOND * 3600
@@ -97,12 +97,14 @@ _PAIRS = r"""t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_spl
      u AS (SELECT min(doc_id) AS rep, count(*) AS copies, s FROM t WHERE len(s) > 0 GROUP BY s),
      e AS (SELECT rep, len(s) AS n, unnest(s) AS w FROM u),
      c AS (SELECT a.rep AS x, b.rep AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM e a JOIN e b ON a.w = b.w AND a.rep < b.rep GROUP BY 1, 2),
-     p AS (SELECT x, y, round(c / (nx + ny - c), 6) AS jaccard FROM c WHERE c * 100 >= (nx + ny - c) * 80)"""
+     p AS (SELECT x, y FROM c WHERE c * 100 >= (nx + ny - c) * 80)"""
 
 
-@query("c05_near", f"WITH {_PAIRS} SELECT * FROM p")
+@query("c05_near", f"""
+WITH {_PAIRS}, l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p)
+SELECT x AS doc_id, count(*) AS n_similar, least(x, min(y)) AS smallest FROM l GROUP BY x""")
 def c05_near(spark, d):
-    return quality.similar_pairs(load(spark, d, "documents"), "doc_id", "text", 80).withColumn("jaccard", r6(F.col("jaccard")))
+    return similar.similar_representatives(load(spark, d, "documents"), "doc_id", "text", 80)
 
 
 @query("c05_clusters", f"""
@@ -113,7 +115,7 @@ WITH RECURSIVE {_PAIRS}, l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
 SELECT t.doc_id, u.rep AS class, k.cluster, (coalesce(n.others, 0) + u.copies - 1)::BIGINT AS n_links
 FROM t JOIN u USING (s) JOIN k ON k.node = u.rep LEFT JOIN n ON n.rep = u.rep""")
 def c05_clusters(spark, d):
-    return quality.similar_classes(load(spark, d, "documents"), "doc_id", "text", 80)
+    return similar.similar_classes(load(spark, d, "documents"), "doc_id", "text", 80)
 
 
 @query("c05_balance", """

@@ -86,27 +86,6 @@ def test_dedup_and_balance(spark):
     assert quality.balance(b, "cls", "id", 1).count() == 2
 
 
-def test_similar_pairs_brute_force(spark):
-    import random
-
-    rnd = random.Random(1)
-    docs = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(9)))) for i in range(60)] + [(99, None)]
-    df = spark.createDataFrame(docs, "id long, text string")
-    got = set(vals(quality.similar_pairs(df, "id", "text", 60), "x", "y"))
-    sets = {i: frozenset(t.split()) for i, t in docs if t}
-    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])}
-    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
-    assert got == {(a, b) for a, b in near if first[a] == a and first[b] == b and sets[a] != sets[b]}
-    # every link is there by classes, clusters and numbers of links
-    cluster = dict(first)
-    for _ in sets:
-        for a, b in near:
-            cluster[a] = cluster[b] = min(cluster[a], cluster[b])
-    want = {(i, first[i], cluster[i], sum(i in p for p in near)) for i in sets}
-    assert set(vals(quality.similar_classes(df, "id", "text", 60), "id", "class", "cluster", "n_links")) == want
-    assert quality.similar_classes(df.limit(0), "id", "text").count() == 0
-
-
 def test_redaction_leaves_nothing(spark):
     df = spark.createDataFrame([(1, "me@x.org 10.0.0.1 +49 30 1234567 " + "a" * 32), (2, None)], "id long, text string")
     red = quality.redact(df, "text").filter("id = 1").first()["text"]
@@ -317,17 +296,3 @@ def test_more_queries_than_one_block(spark, sf):
     rows = lambda most: sorted(tuple(r) for r in evaluation.top_similar(v, q, "vec_id", "embedding", 5, most).collect())
     one = rows(10_000)
     assert len(one) == 5 * q.count() and rows(q.count()) == rows(q.count() - 1) == rows(7) == one
-
-
-def test_similar_pairs_are_all_pairs(spark):
-    rng = random.Random(5)
-    letters = "abcdefghijklmnopqrst"
-    base = [[rng.choice(letters) for _ in range(rng.randint(1, 14))] for _ in range(40)]
-    texts = [[rng.choice(letters) if rng.random() < 0.1 else x for x in rng.choice(base)] for _ in range(300)]
-    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
-    sets = {}
-    for i, t in enumerate(texts):
-        sets.setdefault(frozenset(t), i)
-    for percent in (60, 80):
-        want = {(i, j) for s, i in sets.items() for t, j in sets.items() if i < j and len(s & t) * 100 >= len(s | t) * percent}
-        assert {(r.x, r.y) for r in quality.similar_pairs(df, "id", "text", percent).collect()} == want
