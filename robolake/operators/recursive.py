@@ -1,7 +1,4 @@
-"""Operators whose next row needs the result of the last: filters and control loops.
-
-Rows are dealt by key and sorted; each task walks over its rows once and keeps the state of one key, so a key may have any number of rows.
-"""
+"""Operators whose next row needs the result of the last: filters and control loops as prefix products of maps, and a walk over rows for other steps."""
 
 from __future__ import annotations
 
@@ -11,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from robolake.functions.scans import SLICE, Scan, affine, fractional, plane
+from robolake.functions.scratch import Rounds
+
 
 def scan(
     df: DataFrame, key: str, order: tuple[str, ...], value: str, start: Callable[[], tuple],
@@ -37,34 +37,42 @@ def scan(
 def kalman(df: DataFrame, key: str, order: tuple[str, ...], value: str, process: float, noise: float) -> DataFrame:
     """Scalar filter of a level that moves by variance ``process`` a step and is read with variance ``noise``: estimate and variance after each row.
 
-    The first reading is the first estimate. A missing reading leaves the estimate and adds to its variance.
+    The first reading is the first estimate; before it the estimate is null and the variance 0. A missing reading leaves the estimate and adds to its variance.
+    The variance is a linear-fractional map of the last one, from an infinite one at first; with it known, the estimate is an affine map of the last
+    one. Both are prefix products, so a key may have any number of rows. The result is written.
     """
-
-    def step(state, z):
-        x, p = state
-        if x is None:
-            state = (None, 0.0) if z != z else (z, noise)
-        else:
-            p += process
-            if z == z:
-                g = p / (p + noise)
-                x, p = x + g * (z - x), (1 - g) * p
-            state = (x, p)
-        return state, (float("nan") if state[0] is None else state[0], state[1])
-
-    return scan(df, key, order, value, lambda: (None, 0.0), step, ("estimate", "variance"))
+    q, r = float(process), float(noise)
+    entries = lambda *v: F.struct(*[F.lit(x).alias(n) for n, x in zip("abcd", v, strict=True)])
+    with Rounds(df.sparkSession) as rounds:
+        z = F.col(value).cast("double")
+        scan = Scan(df.select(key, *order, F.when(~F.isnan(z), z).alias("__z")), key, order, rounds)
+        read = F.col("__z").isNotNull()
+        rows = scan.rows.withColumn("__p", F.when(read, entries(r, r * q, 1.0, q + r)).otherwise(entries(1.0, q, 0.0, 1.0)))
+        rows = scan.prefix(rows, "__p", fractional)  # applied to infinity, 1 / 0: the variance is a / c
+        of = lambda m: F.when(F.col(m).isNotNull(), F.struct(f"{m}.a", f"{m}.c"))
+        none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("c"))
+        before = F.coalesce(F.lag(of("__p")).over(scan.window), of("__p_before"), none)
+        rows = rows.withColumn("__last", before)
+        u, v = F.col("__last.a"), F.col("__last.c")
+        keep = F.try_divide(r * v, u + (q + r) * v)
+        step = F.struct(keep.alias("a"), (F.try_divide(u + q * v, u + (q + r) * v) * F.col("__z")).alias("b"))
+        rows = rows.withColumn("__x", F.when(read, step).otherwise(F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))))
+        rows = scan.prefix(rows.select(key, *order, SLICE, "__x", F.try_divide("__p.a", "__p.c").alias("__v")), "__x", affine)
+        estimate = F.when(F.col("__v").isNotNull(), F.col("__x.b"))
+        return rounds.result(rows.select(key, *order, estimate.alias("estimate"), F.coalesce("__v", F.lit(0.0)).alias("variance")))
 
 
 def control_loop(df: DataFrame, key: str, order: tuple[str, ...], value: str, kp: float, ki: float, lag: float) -> DataFrame:
-    """A plant of first order under proportional-integral control that follows the value: output and error of each step; a missing value repeats none and holds."""
-
-    def step(state, ref):
-        y, total = state
-        if ref != ref:
-            return state, (y, float("nan"))
-        e = ref - y
-        total += e
-        y += lag * (kp * e + ki * total - y)
-        return (y, total), (y, ref - y)
+    """A plant of first order under proportional-integral control that follows the value: output and error of each step; a missing value holds the output and has no error.
 
-    return scan(df, key, order, value, lambda: (0.0, 0.0), step, ("output", "error"))
+    A step is an affine map of the output and the sum of errors, so rows are prefix products and a key may have any number of them. The result is written.
+    """
+    own = (1 - lag * (kp + ki + 1), lag * ki, -1.0, 1.0)
+    with Rounds(df.sparkSession) as rounds:
+        z = F.col(value).cast("double")
+        scan = Scan(df.select(key, *order, F.when(~F.isnan(z), z).alias("__z")), key, order, rounds)
+        ref = F.col("__z")
+        step = F.struct(*[F.lit(x).alias(n) for n, x in zip("abcd", own, strict=True)], (lag * (kp + ki) * ref).alias("e"), ref.alias("f"))
+        hold = F.struct(*[F.lit(x).alias(n) for n, x in zip("abcdef", (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), strict=True)])
+        rows = scan.prefix(scan.rows.withColumn("__m", F.when(ref.isNotNull(), step).otherwise(hold)), "__m", plane)
+        return rounds.result(rows.select(key, *order, F.col("__m.e").alias("output"), (ref - F.col("__m.e")).alias("error")))
