@@ -10,25 +10,44 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 
 
+#: Most large groups whose bounds are broadcast.
+MOST = 10_000
+
+
 def percentiles(
-    df: DataFrame, by: tuple[str, ...], value: str | Column, shares: dict[str, float], few: bool = False, accuracy: int = ACCURACY
+    df: DataFrame, by: tuple[str, ...], value: str | Column, shares: dict[str, float], most: int = MOST, accuracy: int = ACCURACY, whole: int | None = None
 ) -> DataFrame:
     """by, n (rows, null values too) and for each name the percentile at its share, null without values; equals F.percentile.
 
-    First pass: each group's count and, by a mergeable sketch, the values a little below and above each percentile. Second pass: values
-    between these are counted, each distinct one once, with how many are below; so a group of any size sends about 8 / accuracy of its
-    rows, and of equal values one, and its size goes along. So the input is read twice. ``few`` tells that the groups are cells of a
-    report, hours and the like: their bounds are broadcast then.
+    Groups of up to ``whole`` rows, five times the accuracy unless given, are left to F.percentile, which keeps a group's values in a buffer; a count tells whether there
+    are larger ones. For these, a first pass finds by a mergeable sketch the values a little below and above each percentile, and a second counts the
+    values between these, each distinct one once, with how many are below; so a group of any size sends about 8 / accuracy of its rows, and of
+    equal values one, and its size goes along. Up to ``most`` large groups are broadcast, more are joined.
     """
     keys = [f"__k{i}" for i in range(len(by))]
     v = (F.col(value) if isinstance(value, str) else value).cast("double").alias("v")
     rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], v)
+    named = [F.col(k).alias(c) for c, k in zip(by, keys, strict=True)]
+    big = rows.groupBy(*keys).agg(F.count("v").alias("n")).filter(F.col("n") > (5 * accuracy if whole is None else whole))
+    n_big = big.limit(most + 1).count()
+    plain = lambda r: r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.percentile("v", s).alias(name) for name, s in shares.items()]).select(*named, "n", *shares)
+    if not n_big:
+        return plain(rows)
+    few = n_big <= most
+    large = big.select(*[F.col(k).alias(f"b{k}") for k in keys])
+    large = F.broadcast(large) if few or not by else large
+    same = [F.col(k).eqNullSafe(F.col(f"b{k}")) for k in keys] or F.lit(True)
+    sketched = _sketched(rows.join(large, same, "left_semi"), keys, shares, few or not by, accuracy).select(*named, "n", *shares)
+    return sketched.unionByName(plain(rows.join(large, same, "left_anti"))) if by else sketched
+
+
+def _sketched(rows: DataFrame, keys: list[str], shares: dict[str, float], few: bool, accuracy: int) -> DataFrame:
     eps = 4 / accuracy
     ends = [F.array(*[F.lit(float(min(1.0, max(0.0, s + d)))) for d in (-eps, eps)]) for s in shares.values()]
     near = [F.percentile_approx("v", e, accuracy).alias(f"e{i}") for i, e in enumerate(ends)]
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("size"), *near)
     groups = groups.select(*[F.col(k).alias(f"g{k}") for k in keys], "n", "size", *[f"e{i}" for i in range(len(shares))])
-    held = rows.join(F.broadcast(groups) if few or not by else groups, [F.col(k).eqNullSafe(F.col(f"g{k}")) for k in keys] or F.lit(True))
+    held = rows.join(F.broadcast(groups) if few else groups, [F.col(k).eqNullSafe(F.col(f"g{k}")) for k in keys] or F.lit(True))
     zones = F.array_compact(F.array(*[_zone(i, F.col("size") <= accuracy) for i in range(len(shares))]))
     none = F.array(F.struct(F.lit(-1).alias("q"), F.col("v")))  # so that a group without values has a row
     zone = F.explode(F.when(F.col("v").isNull(), none).otherwise(zones)).alias("z")
@@ -38,8 +57,7 @@ def percentiles(
     at = F.get(F.array(*[F.lit(float(s)) for s in shares.values()]), F.col("q")) * (F.col("size") - 1)
     ranked = [F.sum("c").over(order).alias("end"), F.floor(at).alias("lo"), F.ceil(at).alias("hi"), (at - F.floor(at)).alias("w")]
     placed = told.select("*", *ranked)  # the group's values number end - c to end - 1
-    picked = placed.groupBy(*keys).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[_between(i).alias(name) for i, name in enumerate(shares)])
-    return picked.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "n", *shares)
+    return placed.groupBy(*keys).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[_between(i).alias(name) for i, name in enumerate(shares)])
 
 
 def _zone(i: int, whole: Column) -> Column:

@@ -8,18 +8,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: dict[str, str] = {}
+_roots: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder name below spark.checkpoint.dir; where that is unset, as in tests, on this machine, but only in local mode."""
+    """A new folder name below spark.checkpoint.dir; where that is unset, as in tests, on this machine, but only in local mode.
+
+    All folders of an application lie in one, which goes when the application ends.
+    """
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or _local.get(sc.applicationId)
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="robolake-core-")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    root = _roots.get(sc.applicationId)
+    if not root:
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="robolake-core-")
+        root = _roots[sc.applicationId] = f"{base.rstrip('/')}/robolake-core-{sc.applicationId}"
+        atexit.register(_drop_quietly, spark, root)
+    return f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -57,5 +64,4 @@ class Rounds:
     def result(self, df: DataFrame) -> DataFrame:
         path = shared_folder(self.spark, "result")
         df.write.parquet(path)
-        atexit.register(_drop_quietly, self.spark, path)
         return self.spark.read.schema(df.schema).parquet(path)

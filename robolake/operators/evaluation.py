@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from robolake.functions.columns import Z95, bin_of, hash_mod, wilson
 from robolake.functions.quantiles import percentiles
+from robolake.functions.scratch import Rounds
 from robolake.functions.slices import HOT, SLICE, carried, real, sliced
 
 
@@ -19,7 +22,7 @@ def success_rate(df: DataFrame, by: tuple[str, ...], success: str, z: float = Z9
 
 def tail(df: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
     """Interpolated median and 95th percentile, exact; groups are cells of a report, each of any number of rows."""
-    return percentiles(df, by, value, {"p50": 0.5, "p95": 0.95}, few=True)
+    return percentiles(df, by, value, {"p50": 0.5, "p95": 0.95})
 
 
 def tail_approx(df: DataFrame, by: tuple[str, ...], value: str, accuracy: int = 10_000) -> DataFrame:
@@ -74,21 +77,67 @@ def rate_table(df: DataFrame, row: str, column: str, values: tuple[str, ...], su
 RUN = 1_000_000
 
 
-def detections(pred: DataFrame, truth: DataFrame, image: str, iou: float) -> DataFrame:
-    """Precision, recall and average precision of boxes (id, a number; image, x0, y0, x1, y1; predictions also conf).
+def _boxes(df: DataFrame, image: str) -> DataFrame:
+    """Boxes with an area, and the level of their longer side: the power of two that holds it."""
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    return df.filter("x1 > x0 and y1 > y0").withColumn("__level", F.ceil(F.log2(side)).cast("long"))
+
+
+def _touched(df: DataFrame, level: Column) -> DataFrame:
+    """A row for each cell of the grid of a level, 2 ** level wide, that a box touches."""
+    place = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("__grid")))
+    rows = df.withColumn("__grid", level)
+    rows = rows.withColumn("__cx", F.explode(F.sequence(place("x0"), place("x1"))))
+    return rows.withColumn("__cy", F.explode(F.sequence(place("y0"), place("y1"))))
+
 
-    A prediction goes to the truth with which it overlaps most (ties: smaller id); of a truth's predictions with that overlap the
-    most confident (ties: smaller id) is right. Boxes meet within their image only.
+def overlaps(pred: DataFrame, truth: DataFrame, image: str, iou: float) -> DataFrame:
+    """id, conf, tid and o: the pairs of a prediction and a true box of its image whose intersection over union is iou or more.
+
+    Boxes meet in cells of a grid. Sides of such a pair differ by a factor of 1 / iou at most, so each prediction lies on the grid of its own level,
+    where it touches four cells at most, and each true box on those of the levels that near; so boxes of any size and images of any number of boxes
+    bring about as many pairs together as lie near each other. A pair is taken in the one cell that holds the lower corner of its intersection.
     """
-    t = truth.select(image, F.col("id").alias("tid"), *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
-    side = lambda a, b: F.greatest(F.least(f"{a}1", f"t{a}1") - F.greatest(f"{b}0", f"t{b}0"), F.lit(0.0))
-    inter = side("x", "x") * side("y", "y")
+    if not 0 < iou <= 1:
+        raise ValueError("iou lies above 0 and is 1 at most")
+    near = math.ceil(-math.log2(iou))
+    t = _boxes(truth.select(image, "id", "x0", "y0", "x1", "y1"), image)
+    t = _touched(t, F.explode(F.sequence(F.col("__level") - near, F.col("__level") + near)))
+    t = t.select(image, "__grid", "__cx", "__cy", F.col("id").alias("tid"), *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
+    p = _touched(_boxes(pred.select(image, "id", "conf", "x0", "y0", "x1", "y1"), image), F.col("__level"))
+    met = p.join(t, [image, "__grid", "__cx", "__cy"])
+    corner = lambda c: F.floor(F.greatest(f"{c}0", f"t{c}0") / F.pow(F.lit(2.0), F.col("__grid")))
+    met = met.filter((corner("x") == F.col("__cx")) & (corner("y") == F.col("__cy")))
+    side = lambda a: F.greatest(F.least(f"{a}1", f"t{a}1") - F.greatest(f"{a}0", f"t{a}0"), F.lit(0.0))
+    inter = side("x") * side("y")
     area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
-    met = pred.join(t, image).withColumn("o", inter / (area("") + area("t") - inter)).filter(F.col("o") >= iou)
-    best = met.groupBy("id", "conf").agg(F.max_by("tid", F.struct("o", -F.col("tid"))).alias("tid"))
-    right = best.withColumn(
-        "k", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("conf"), "id"))
-    ).filter("k = 1").select("id", F.lit(1).alias("hit"))
+    return met.withColumn("o", inter / (area("") + area("t") - inter)).filter(F.col("o") >= iou).select("id", "conf", "tid", "o")
+
+
+def matched(pairs: DataFrame) -> DataFrame:
+    """Of overlaps() the one-to-one matching (id, tid) that taking predictions by confidence (ties: smaller id) gives, each the free true box with which it
+    overlaps most (ties: smaller id).
+
+    By rounds, not one by one: each prediction asks for the best box that hasn't turned it down, each box keeps the most confident one that asks, and
+    the rounds end when none is turned down. That is the same matching, as all boxes rank predictions alike.
+    """
+    with Rounds(pairs.sparkSession) as rounds:
+        left = rounds.written(pairs)
+        while True:
+            ask = left.groupBy("id", "conf").agg(F.max_by("tid", F.struct("o", -F.col("tid"))).alias("tid"))
+            kept = ask.groupBy("tid").agg(F.min_by("id", F.struct(-F.col("conf"), "id")).alias("id"))
+            no = rounds.written(ask.join(kept, ["id", "tid"], "left_anti").select("id", "tid"))
+            if no.isEmpty():
+                return rounds.result(kept.select("id", "tid"))
+            left = rounds.written(left.join(no, ["id", "tid"], "left_anti"))
+
+
+def detections(pred: DataFrame, truth: DataFrame, image: str, iou: float) -> DataFrame:
+    """Precision, recall and average precision of boxes (id, a number; image, x0, y0, x1, y1; predictions also conf), matched one to one by confidence.
+
+    Boxes meet within their image only; those without an area, or with a null, match nothing.
+    """
+    right = matched(overlaps(pred, truth, image, iou)).select("id", F.lit(1).alias("hit"))
     n_truth = truth.agg(F.count(F.lit(1)).alias("n_truth"))
     ranked = pred.select("id", "conf").join(right, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     # A running count over all predictions by confidence: sums of cells, which lie in that order, and inside each. Of equal confidences, which
@@ -123,6 +172,14 @@ def vector_errors(pred: DataFrame, truth: DataFrame, key: str, vec: str) -> Data
     )
 
 
+def pose_summary(pred: DataFrame, truth: DataFrame, key: str, vec: str, by: str) -> DataFrame:
+    """Of the vectors of a group (``by`` is a column of pred): how many, the root of the mean squared error of an element, the mean distance and the largest angle."""
+    p = pred.select(by, key, F.size(vec).alias("__d"))
+    e = vector_errors(pred, truth, key, vec).join(p, key)
+    rmse = F.sqrt(F.try_divide(F.sum(F.col("error") * F.col("error")), F.sum("__d")))
+    return e.groupBy(by).agg(F.count(F.lit(1)).alias("n"), rmse.alias("rmse"), F.avg("error").alias("mean_error"), F.max("angle").alias("max_angle"))
+
+
 def fuse(df: DataFrame, key: str, value: str, variance: str) -> DataFrame:
     """Inverse-variance weighted mean and its variance; rows without a positive variance don't count."""
     w = F.when(F.col(variance) > 0, 1 / F.col(variance))

@@ -58,10 +58,11 @@ def clean(df: DataFrame, text: str, size: Column, short: int = 50, symbols: floa
 
 
 def iqr_outliers(df: DataFrame, by: str, value: str, k: float = 1.5) -> DataFrame:
-    """Rows outside the quartiles by more than k times their distance, by group. Groups are sources and the like, few, each of any size."""
-    q = percentiles(df, (by,), value, {"q1": 0.25, "q3": 0.75}, few=True).select(by, "q1", "q3")
-    reach = k * (F.col("q3") - F.col("q1"))
-    return df.join(F.broadcast(q), by).filter((F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach))
+    """Rows outside the quartiles by more than k times their distance, by group, of any number and size. A null group or value is none."""
+    q = percentiles(df, (by,), value, {"q1": 0.25, "q3": 0.75}).select(by, "q1", "q3")
+    q = q.withColumn("reach", k * (F.col("q3") - F.col("q1"))).withColumnRenamed(by, "__by")
+    out = (F.col(value) < F.col("q1") - F.col("reach")) | (F.col(value) > F.col("q3") + F.col("reach"))
+    return df.join(q, F.col(by) == F.col("__by")).filter(out).select(*df.columns, "q1", "q3")
 
 
 def dedup_exact(df: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -35,6 +35,21 @@ def align_asof(left: DataFrame, right: DataFrame, key: str, us: str, tol: int, v
     return found.select(*left.columns, near["id"].alias("match_id"), near["us"].alias("match_us"), near["value"].alias("match_value")).drop(*both)
 
 
+def band_join(left: DataFrame, right: DataFrame, at_left: str, at_right: str, before: int, after: int) -> DataFrame:
+    """Pairs whose right time lies from ``before`` before to ``after`` after the left one, ends included; no other column has to be equal.
+
+    Time is cut into slices as long as the band. A left row stands in its own slice, a right row in its own and the ones that the band reaches into from there, so
+    rows meet by the number of their slice and each pair in one place. Null times meet nothing. Columns of both sides must differ in name.
+    """
+    if before < 0 or after < 0:
+        raise ValueError("before and after are lengths")
+    width = max(1, before + after)
+    place = lambda c: F.floor(c / width)
+    lefts = left.withColumn("__slice", place(F.col(at_left)))
+    rights = right.withColumn("__slice", F.explode(F.sequence(place(F.col(at_right) - after), place(F.col(at_right) + before))))
+    return lefts.join(rights, "__slice").filter(F.col(at_right).between(F.col(at_left) - before, F.col(at_left) + after)).drop("__slice")
+
+
 def _back(df: DataFrame, keys: tuple[str, ...], us: str, tie: str, hot: int, columns: dict[str, tuple[str, int]]) -> DataFrame:
     """df with, for each name, the value that a column had so many rows before in its key."""
     rows = carried(sliced(df, keys, us, hot), keys, (us, tie), max(n for _, n in columns.values()))
@@ -165,9 +180,9 @@ def between_failures(df: DataFrame, key: str, us: str) -> DataFrame:
 
 
 def throughput(df: DataFrame, us: str, value: str, step: int) -> DataFrame:
-    """Rows, median and 95th percentile of each bucket of time."""
+    """Rows, median and 95th percentile of each bucket of time, of any number of buckets."""
     bucketed = df.select((F.floor(F.col(us) / step) * step).cast("long").alias("bucket"), value)
-    return percentiles(bucketed, ("bucket",), value, {"p50": 0.5, "p95": 0.95}, few=True)
+    return percentiles(bucketed, ("bucket",), value, {"p50": 0.5, "p95": 0.95})
 
 
 def deadline_miss(df: DataFrame, key: str, us: str, tie: str, budget: int, hot: int = HOT) -> DataFrame:

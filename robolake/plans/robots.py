@@ -28,7 +28,8 @@ def _rounded(df, *cols):
     return df.withColumns({c: r6(F.col(c)) for c in cols})
 
 
-_BOX = "event_id % 97 AS image, (event_id % 7)::DOUBLE AS x0, (event_id % 5)::DOUBLE AS y0, (event_id % 7 + 4 + event_id % 3)::DOUBLE AS x1, (event_id % 5 + 4 + event_id % 2)::DOUBLE AS y1"
+#: Fifty events, whatever their kind, are an image, so images grow in number with the table.
+_BOX = "event_id // 50 AS image, (event_id % 7)::DOUBLE AS x0, (event_id % 5)::DOUBLE AS y0, (event_id % 7 + 4 + event_id % 3)::DOUBLE AS x1, (event_id % 5 + 4 + event_id % 2)::DOUBLE AS y1"
 
 
 def _boxes(spark, d, which):
@@ -36,19 +37,23 @@ def _boxes(spark, d, which):
     e = load(spark, d, "events").filter(F.col("event_type") == which)
     dbl = lambda c: c.cast("double")
     return e.select(
-        i.alias("id"), (i % 97).alias("image"), dbl(i % 7).alias("x0"), dbl(i % 5).alias("y0"), dbl(i % 7 + 4 + i % 3).alias("x1"),
+        i.alias("id"), F.expr("event_id div 50").alias("image"), dbl(i % 7).alias("x0"), dbl(i % 5).alias("y0"), dbl(i % 7 + 4 + i % 3).alias("x1"),
         dbl(i % 5 + 4 + i % 2).alias("y1"), (hash_mod(i, 1000) / 1000).alias("conf")
     )
 
 
 @query("c13_detection", f"""
-WITH p AS (SELECT event_id AS id, {_BOX}, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 1000 / 1000 AS conf FROM events WHERE event_type = 'view'),
+WITH RECURSIVE p AS (SELECT event_id AS id, {_BOX}, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 1000 / 1000 AS conf FROM events WHERE event_type = 'view'),
      t AS (SELECT event_id AS tid, {_BOX} FROM events WHERE event_type = 'purchase'),
-     m AS (SELECT p.id, p.conf, t.tid, greatest(least(p.x1, t.x1) - greatest(p.x0, t.x0), 0) * greatest(least(p.y1, t.y1) - greatest(p.y0, t.y0), 0) AS i,
+     m AS (SELECT p.image, p.id, p.conf, t.tid, greatest(least(p.x1, t.x1) - greatest(p.x0, t.x0), 0) * greatest(least(p.y1, t.y1) - greatest(p.y0, t.y0), 0) AS i,
                   (p.x1 - p.x0) * (p.y1 - p.y0) AS ar, (t.x1 - t.x0) * (t.y1 - t.y0) AS br FROM p JOIN t USING (image)),
-     b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i / (ar + br - i) DESC, tid) AS k FROM m WHERE i / (ar + br - i) >= 0.5),
-     r AS (SELECT id, row_number() OVER (PARTITION BY tid ORDER BY conf DESC, id) AS j FROM b WHERE k = 1),
-     q AS (SELECT p.id, p.conf, CASE WHEN r.id IS NULL THEN 0 ELSE 1 END AS hit FROM p LEFT JOIN r ON p.id = r.id AND r.j = 1),
+     b AS (SELECT image, id, conf, tid, i / (ar + br - i) AS o FROM m WHERE i / (ar + br - i) >= 0.5),
+     c AS (SELECT image, id, list(tid ORDER BY o DESC, tid) AS tids, row_number() OVER (PARTITION BY image ORDER BY any_value(conf) DESC, id) AS k FROM b GROUP BY image, id),
+     g AS (SELECT image, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS id, NULL::BIGINT AS tid FROM c WHERE k = 1
+           UNION ALL SELECT image, k, CASE WHEN x IS NULL THEN taken ELSE list_append(taken, x) END, id, x
+           FROM (SELECT c.image, c.k, c.id, g.taken, list_filter(c.tids, lambda t: NOT list_contains(g.taken, t))[1] AS x FROM g JOIN c ON c.image = g.image AND c.k = g.k + 1)),
+     r AS (SELECT id FROM g WHERE tid IS NOT NULL),
+     q AS (SELECT p.id, p.conf, CASE WHEN r.id IS NULL THEN 0 ELSE 1 END AS hit FROM p LEFT JOIN r ON p.id = r.id),
      a AS (SELECT *, sum(hit) OVER w AS tp, count(*) OVER w AS k FROM q WINDOW w AS (ORDER BY conf DESC, id ROWS UNBOUNDED PRECEDING))
 SELECT count(*) AS n_pred, (SELECT count(*) FROM t) AS n_truth, sum(hit)::BIGINT AS tp, round(sum(hit) / count(*), 6) AS precision, round(sum(hit) / (SELECT count(*) FROM t), 6) AS recall,
        round(sum(CASE WHEN hit = 1 THEN tp / k ELSE 0 END) / (SELECT count(*) FROM t), 6) AS ap FROM a""")
@@ -70,6 +75,18 @@ def c14_pose(spark, d):
     return _rounded(evaluation.vector_errors(pred, truth, "vec_id", "v"), "error", "relative").withColumn("angle", F.round("angle", 4))
 
 
+@query("c14_rmse", """
+WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings),
+     q AS (SELECT label, a, list_transform(a, lambda x, i: x + 0.01::DOUBLE * (i % 3)) AS b FROM p),
+     e AS (SELECT label, len(a) AS d, sqrt(list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS e,
+                  list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS c FROM q)
+SELECT label, count(*) AS n, round(sqrt(sum(e * e) / sum(d)), 6) AS rmse, round(avg(e), 6) AS mean_error, round(max(degrees(acos(greatest(least(c, 1), -1)))), 4) AS max_angle FROM e GROUP BY label""")
+def c14_rmse(spark, d):
+    pred = load(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    truth = pred.select("vec_id", F.transform("v", lambda x, i: x + 0.01 * ((i + 1) % 3)).alias("v"))
+    return _rounded(evaluation.pose_summary(pred, truth, "vec_id", "v", "label"), "rmse", "mean_error").withColumn("max_angle", F.round("max_angle", 4))
+
+
 @query("c15_fuse", f"""
 WITH {E}, v AS (SELECT entity, value, CASE channel WHEN 'view' THEN 1.0 WHEN 'click' THEN 2.0 ELSE 4.0 END::DOUBLE AS var FROM e)
 SELECT entity, round(sum(value / var) / sum(1 / var), 6) AS fused, round(1 / sum(1 / var), 6) AS variance FROM v GROUP BY entity""")
@@ -108,6 +125,21 @@ def c17_reachable(spark, d):
     return ledger.reachable(transitions(spark, d).withColumn("k", k).filter("k = 1"), "click")
 
 
+_HOURLY = """h AS (SELECT entity, us, id, channel || ':' || ((us // 21600000000) % 4) AS node FROM e),
+     t AS (SELECT src, node AS dst, (1000000 // count(*))::BIGINT AS w FROM (SELECT node, lag(node) OVER (PARTITION BY entity ORDER BY us, id) AS src FROM h) WHERE src IS NOT NULL GROUP BY ALL)"""
+
+
+@query("c17_cost", f"""
+WITH RECURSIVE {E}, {_HOURLY}, r(node, cost) USING KEY (node) AS (
+  SELECT 'click:0', 0::BIGINT UNION
+  SELECT t.dst, min(r.cost + t.w) FROM r JOIN t ON t.src = r.node LEFT JOIN recurring.r q ON q.node = t.dst WHERE q.cost IS NULL OR r.cost + t.w < q.cost GROUP BY t.dst)
+SELECT node, cost FROM r""")
+def c17_cost(spark, d):
+    """Cheapest ways between channels in quarters of the day; a step costs the less, the oftener it is made."""
+    edges = transitions(spark, d, hours=6).withColumn("w", F.expr("1000000 div w"))
+    return ledger.cheapest(edges, "click:0")
+
+
 @query("c17_path", f"""
 WITH {E}, d AS (SELECT entity, us, id, value - lag(value) OVER (PARTITION BY entity ORDER BY us, id) AS d FROM e),
      s AS (SELECT entity, d, abs(d - lag(d) OVER (PARTITION BY entity ORDER BY us, id)) AS dd FROM d)
@@ -128,6 +160,16 @@ def c18_levels(spark, d):
     return ledger.levels(edges)
 
 
+@query("c18_recursive", """
+WITH RECURSIVE n AS (SELECT n_nationkey AS k FROM nation), t AS (SELECT k // 2 AS src, k AS dst FROM n WHERE k > 0 UNION SELECT k // 3, k FROM n WHERE k > 0),
+     r AS (SELECT 0 AS node, 0 AS level UNION SELECT t.dst, r.level + 1 FROM r JOIN t ON t.src = r.node WHERE r.level < 30)
+SELECT node::BIGINT AS node, max(level)::BIGINT AS level FROM r GROUP BY node""")
+def c18_recursive(spark, d):
+    n = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    edges = n.filter("k > 0").selectExpr("k as dst", "explode(array(k div 2, k div 3)) as src")
+    return ledger.levels_sql(edges, n.filter("k = 0").select(F.col("k").alias("node")))
+
+
 @query("c18_early", f"""
 WITH {E}, f AS (SELECT entity, channel, min(us) AS us FROM e GROUP BY ALL), n AS (SELECT * FROM (VALUES ('purchase', 'view'), ('view', 'signup')) v(task, need))
 SELECT a.entity, a.channel, n.need FROM f a JOIN n ON n.task = a.channel LEFT JOIN f b ON b.entity = a.entity AND b.channel = n.need WHERE b.us IS NULL OR b.us > a.us""")

@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from robolake.functions.columns import r6
+from robolake.functions.columns import micros, r6
 from robolake.functions.scratch import shared_folder
+from robolake.operators import timeline
 from robolake.sources.tables import load, read_rows
 
+DAY = 24 * 3600 * timeline.SECOND
 QUERIES, SQL = {}, {}
 
 
@@ -121,9 +123,11 @@ def set_intersect_all(spark, d):
     return load(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersectAll(load(spark, d, "supplier").select("s_nationkey"))
 
 
-@query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def set_except(spark, d):
-    return load(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, d, "orders").select("o_custkey"))
+    """Customers without a large order."""
+    large = load(spark, d, "orders").filter("o_totalprice > 300000").select("o_custkey")
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(large)
 
 
 @query("fn_strings", """
@@ -208,6 +212,17 @@ def join_theta(spark, d):
     return a.join(b, "n_regionkey").filter("low < high").select("low", "high")
 
 
+@query("join_band", f"""
+WITH o AS (SELECT o_orderkey, 1704067200000000 + epoch_us(o_orderdate) % {30 * DAY} + o_orderkey % {DAY} AS t0 FROM orders), e AS (SELECT event_id, epoch_us(ts) AS us FROM events)
+SELECT o_orderkey, event_id FROM o JOIN e ON us BETWEEN t0 - 20000000 AND t0 + 40000000""")
+def join_band(spark, d):
+    """Orders, their dates laid into the month of the events, against events from 20 seconds before to 40 after: no key is equal."""
+    at = F.lit(1704067200000000) + micros("o_orderdate") % (30 * DAY) + F.col("o_orderkey") % DAY
+    orders = load(spark, d, "orders").select("o_orderkey", at.alias("at"))
+    events = load(spark, d, "events").select("event_id", micros("ts").alias("us"))
+    return timeline.band_join(orders, events, "at", "us", 20 * timeline.SECOND, 40 * timeline.SECOND).select("o_orderkey", "event_id")
+
+
 @query("join_semi", "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
 def join_semi(spark, d):
     lines = load(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from robolake.functions.columns import micros
+from robolake.functions.slices import HOT, SLICE, carried, real, sliced
 
 #: What splits events into a baseline and a candidate version.
 CANDIDATE_FROM = "2024-01-16"
@@ -49,8 +50,13 @@ def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between the channels that follow each other for an entity, with how often."""
-    w = Window.partitionBy("entity").orderBy("us", "id")
-    r = readings(spark, sf_dir).withColumn("dst", F.lead("channel").over(w)).filter("dst is not null")
-    return r.groupBy(F.col("channel").alias("src"), "dst").agg(F.count(F.lit(1)).alias("w"))
+def transitions(spark: SparkSession, sf_dir: str, hours: int = 0, hot: int = HOT) -> DataFrame:
+    """Edges between the channels that follow each other for an entity, with how often; with ``hours``, between channels in parts of the day so many hours long."""
+    rows = readings(spark, sf_dir)
+    if hours:
+        part = F.floor(F.col("us") / (hours * 3_600_000_000)) % (24 // hours)
+        rows = rows.withColumn("channel", F.concat_ws(":", "channel", part.cast("string")))
+    rows = carried(sliced(rows.select("entity", "channel", "us", "id"), ("entity",), "us", hot), ("entity",), ("us", "id"), 1)
+    w = Window.partitionBy("entity", SLICE).orderBy("us", "id")
+    r = real(rows.withColumn("src", F.lag("channel").over(w))).filter("src is not null")
+    return r.groupBy("src", F.col("channel").alias("dst")).agg(F.count(F.lit(1)).alias("w"))
