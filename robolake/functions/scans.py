@@ -37,8 +37,8 @@ def fractional(later: Column, earlier: Column) -> Column:
     """p -> (a p + b) / (c p + d) for numbers that aren't negative; the four are only told up to a factor, and kept from growing."""
     a, b = later.a * earlier.a + later.b * earlier.c, later.a * earlier.b + later.b * earlier.d
     c, d = later.c * earlier.a + later.d * earlier.c, later.c * earlier.b + later.d * earlier.d
-    size = F.greatest(a, b, c, d)
-    return F.struct(*[F.try_divide(v, size).alias(n) for n, v in zip("abcd", (a, b, c, d), strict=True)])
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(a, b, c, d))))  # a power of two, so nothing is rounded
+    return F.struct(*[(v / size).alias(n) for n, v in zip("abcd", (a, b, c, d), strict=True)])
 
 
 class Scan:

@@ -83,6 +83,70 @@ def s5_once(spark, d):
     return _micros(_drained(spark, jobs.once(e, "1 day", ("user_id", "event_type", "day")).select("user_id", "event_type", "day")), "day")
 
 
+#: Microseconds of a recovering silence.
+SILENCE = 48 * 3600 * 1_000_000
+
+
+@query("c41b_recovery", f"""
+WITH e AS (SELECT user_id, epoch_us(ts) AS us, event_id, (event_type = 'error')::INT AS bad FROM events),
+     g AS (SELECT *, coalesce(us - lag(us) OVER w > {SILENCE}, true)::INT AS fresh, lead(us) OVER w AS next FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+     r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS part FROM g),
+     k AS (SELECT *, sum(1 - bad) OVER (PARTITION BY user_id, part ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM r),
+     n AS (SELECT *, sum(bad) OVER (PARTITION BY user_id, part, run ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS n FROM k)
+SELECT user_id, us, event_id, CASE WHEN n >= 3 THEN 'STOPPED' WHEN n >= 2 THEN 'DEGRADED' ELSE 'NORMAL' END AS state FROM n
+UNION ALL SELECT user_id, us + {SILENCE}, NULL, 'RECOVERED' FROM g WHERE next - us > {SILENCE} OR (next IS NULL AND us + {SILENCE} < {MARK})""")
+def c41b_recovery(spark, d):
+    """Over eight files one after the other, so state and timers go from batch to batch."""
+    at = shared_folder(spark, "files")
+    jobs.in_files(load(spark, d, "events"), at, FILES)
+    with jobs.with_rocksdb(spark):
+        return _drained(spark, jobs.recovery(jobs.from_files(spark, at), "1 hour", 2, 3, SILENCE))
+
+
+_LATE = f"""s AS (SELECT *, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS lo, max(epoch_us(ts)) OVER () AS hi FROM events),
+     f AS (SELECT *, (us - lo) * {FILES} // (hi - lo + 1) + CASE WHEN event_id % 10 = 0 AND (us - lo) * {FILES} // (hi - lo + 1) < {FILES - 3} THEN 3 ELSE 0 END AS file,
+                  (us // 3600000000) * 3600000000 AS start FROM s),
+     m AS (SELECT a.file, max(b.us) // 1000 * 1000 - 3600000000 AS mark FROM (SELECT DISTINCT file FROM f) a LEFT JOIN f b ON b.file < a.file GROUP BY a.file),
+     l AS (SELECT f.*, coalesce(start + 3600000000 <= mark, false) AS late FROM f JOIN m USING (file))"""
+
+
+def _late(spark, d):
+    """The events in eight files by time, but every tenth of the first five comes three files late; counts of each hour."""
+    at, rows = shared_folder(spark, "late"), load(spark, d, "events")
+    span = jobs.span_of(rows, FILES)
+    jobs.in_files(rows, at, FILES, span + F.when((F.col("event_id") % 10 == 0) & (span < FILES - 3), 3).otherwise(0))
+    counts = jobs.tumbling(jobs.from_files(spark, at), "1 hour", "1 hour")
+    return jobs.progress_of(counts, f"{at}-out/rows", f"{at}-out/checkpoint")
+
+
+@query("s1_late", f"""
+WITH {_LATE} SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM l WHERE NOT late AND start + 3600000000 <= {MARK} GROUP BY ALL""")
+def s1_late(spark, d):
+    """What comes after the watermark has passed its hour isn't counted."""
+    return _micros(_late(spark, d)[0], "start").withColumn("mean", F.round("mean", 6))
+
+
+@query("s1_dropped", f"""
+WITH {_LATE} SELECT (SELECT count(*) FROM (SELECT DISTINCT file, start, event_type FROM l WHERE late)) AS n_dropped, count(DISTINCT file) AS n_batches FROM l""")
+def s1_dropped(spark, d):
+    """What the query's progress says was dropped: the partial counts (batch, hour, kind) that came too late, and how many batches had rows."""
+    _, reports = _late(spark, d)
+    batches = sum(p["numInputRows"] > 0 for p in reports)
+    return spark.createDataFrame([(jobs.dropped(reports), batches)], "n_dropped long, n_batches long")
+
+
+@query("c43a_stream", f"""
+WITH b AS (SELECT (epoch_us(ts) // 21600000000) * 21600000000 AS bucket, count(*) AS n, count(*) FILTER (event_type = 'error') / count(*) AS rate FROM events GROUP BY 1),
+     h AS (SELECT a.bucket, any_value(a.n) AS n, any_value(a.rate) AS rate, avg(p.rate) AS baseline FROM b a LEFT JOIN b p ON p.bucket < a.bucket AND p.bucket >= a.bucket - 8 * 21600000000 GROUP BY a.bucket)
+SELECT bucket, n, round(rate, 6) AS rate, round(baseline, 6) AS baseline, coalesce(round(rate - baseline - 0.05::DOUBLE, 9) > 0, false) AS alert FROM h WHERE bucket + 21600000000 <= {MARK}""")
+def c43a_stream(spark, d):
+    """c43a_health as a stream over eight files."""
+    at = shared_folder(spark, "files")
+    jobs.in_files(load(spark, d, "events"), at, FILES)
+    told = _drained(spark, jobs.health(jobs.from_files(spark, at), "1 hour", 6, 8, 0.05))
+    return _micros(told, "bucket").withColumns({c: F.round(c, 6) for c in ("rate", "baseline")})
+
+
 @query("c11_ingest", """
 SELECT event_type, count(*) AS n_read, count(*) FILTER (value >= 10) AS n_good, count(*) FILTER (NOT coalesce(value >= 10, false)) AS n_rejected, 1::BIGINT AS n_batches
 FROM events GROUP BY event_type""")
