@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from robolake.functions.columns import hash_mod, text_key
@@ -182,6 +182,24 @@ def augment(df: DataFrame, id_col: str, value: str, n: int, spread: float, seed:
     return v.withColumn("augmented", F.col(value) * (1 + spread * u))
 
 
+def staged(df: DataFrame, stages: list[tuple[str, Column]], path: str) -> list[tuple[str, int, int, int]]:
+    """Put rows through rules in order while they are written, and count on the way: for each stage its name, and how many rows came, stayed and were rejected.
+
+    A row goes to the folder of the first stage whose rule it doesn't meet (null doesn't), below path as ``stage=name``, or to ``stage=kept``. The counts are metrics that the
+    writing job observes, so the input is read once and the output not at all.
+    """
+    failed = F.coalesce(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in stages], F.lit("kept"))
+    seen = Observation()
+    counts = [F.count_if(F.col("stage") == name).alias(f"n{k}") for k, (name, _) in enumerate(stages)]
+    df.withColumn("stage", failed).observe(seen, F.count(F.lit(1)).alias("n"), *counts).write.partitionBy("stage").parquet(path)
+    n, out = seen.get["n"], []
+    for k, (name, _) in enumerate(stages):
+        rejected = seen.get[f"n{k}"]
+        out.append((name, n, n - rejected, rejected))
+        n -= rejected
+    return out
+
+
 def new_rows(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't among those done."""
     return source.join(done.select(key).distinct(), key, "left_anti")

@@ -28,6 +28,14 @@ def type_audit(df: DataFrame, expected: dict[str, str]) -> list[tuple[str, str,
     return [(c, t, have.get(c)) for c, t in expected.items() if have.get(c) != t]
 
 
+def type_violations(df: DataFrame, rules: dict[str, tuple[Column, str]]) -> DataFrame:
+    """For each rule, a column and the type that its texts should have: how many values there are, and how many can't be read as that type. Nulls are none."""
+    n = [F.count(c).alias(f"n{k}") for k, (c, _) in enumerate(rules.values())]
+    bad = [F.count_if(c.isNotNull() & c.try_cast(t).isNull()).alias(f"b{k}") for k, (c, t) in enumerate(rules.values())]
+    one = lambda k, name: F.struct(F.lit(name).alias("rule"), F.col(f"n{k}").alias("n_values"), F.col(f"b{k}").alias("n_violations"))
+    return df.agg(*n, *bad).select(F.explode(F.array(*[one(k, name) for k, name in enumerate(rules)])).alias("r")).select("r.*")
+
+
 def degrade(df: DataFrame, key: str, us: str, tie: str, bad: Column, warn: int, stop: int, hot: int = HOT) -> DataFrame:
     """State after each row: by the errors in a row so far, NORMAL below warn, DEGRADED below stop, else STOPPED; a good row resets.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from robolake.functions.columns import r6
+from robolake.functions.scratch import shared_folder
 from robolake.operators import quality, similar, timeline
 from robolake.sources.tables import load, readings
 
@@ -22,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_DOC_COLS = ("doc_id", "lang", "source", "n_chars")
+_DOC_COLS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 @query("c01_profile", "\nUNION ALL\n".join(
@@ -262,6 +263,25 @@ def c11_incremental(spark, d):
     return quality.new_rows(e.filter("value is not null"), done, "event_id").select("event_id", "event_type")
 
 
+_STAGES = {"size": "n_chars >= 200", "language": "lang IN ('en', 'de')", "lines": "text LIKE '%.%'", "source": "source <> 'src1'"}
+
+
+def _staged_sql() -> str:
+    passed, parts = "true", []
+    for k, (name, rule) in enumerate(_STAGES.items()):
+        parts.append(f"SELECT '{name}' AS stage, count(*) AS n_in, count(*) FILTER ({rule}) AS n_kept, count(*) FILTER (NOT coalesce({rule}, false)) AS n_rejected FROM documents WHERE {passed}")
+        passed += f" AND {rule}"
+    return " UNION ALL ".join(parts)
+
+
+@query("c11_observed", _staged_sql())
+def c11_observed(spark, d):
+    """Counts of a pipeline's stages, observed while its rows are written; the kept and the rejected ones lie in folders of their own."""
+    stages = [(name, F.expr(rule)) for name, rule in _STAGES.items()]
+    told = quality.staged(load(spark, d, "documents"), stages, shared_folder(spark, "staged"))
+    return spark.createDataFrame(told, "stage string, n_in long, n_kept long, n_rejected long")
+
+
 @query("c12_pack", """
 WITH RECURSIVE s AS (SELECT conv_id, turn, role, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
      p AS (SELECT conv_id, k, 0 AS part, size AS full_ FROM s WHERE k = 1

@@ -45,6 +45,20 @@ def c41a_contract(spark, d):
     return release.contract_audit(load(spark, d, "lineitem"), rules, refs)
 
 
+@query("c41a_types", """
+WITH e AS (SELECT props->>'$.k' AS k, event_type, value::VARCHAR AS value, split_part(value::VARCHAR, '.', 1) AS whole FROM events)
+SELECT 'k' AS rule, count(k) AS n_values, count(*) FILTER (k IS NOT NULL AND TRY_CAST(k AS INT) IS NULL) AS n_violations FROM e
+UNION ALL SELECT 'kind', count(event_type), count(*) FILTER (event_type IS NOT NULL AND TRY_CAST(event_type AS DOUBLE) IS NULL) FROM e
+UNION ALL SELECT 'small', count(whole), count(*) FILTER (whole IS NOT NULL AND TRY_CAST(whole AS TINYINT) IS NULL) FROM e""")
+def c41a_types(spark, d):
+    e = load(spark, d, "events")
+    rules = {
+        "k": (F.get_json_object("props", "$.k"), "int"), "kind": (F.col("event_type"), "double"),
+        "small": (F.split_part(F.col("value").cast("string"), F.lit("."), F.lit(1)), "tinyint"),
+    }
+    return release.type_violations(e, rules)
+
+
 DEGRADE = f"""{E}, r AS (SELECT *, (channel = 'error')::INT AS bad, sum(1 - (channel = 'error')::INT) OVER (PARTITION BY entity ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS run FROM e),
      n AS (SELECT *, sum(bad) OVER (PARTITION BY entity, run ORDER BY us, id ROWS UNBOUNDED PRECEDING)::BIGINT AS n FROM r)"""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from robolake.functions import mergeable
 from robolake.functions.columns import hash_mod, r6
 from robolake.operators import evaluation, ledger, quality, recursive, timeline
 from robolake.sources.tables import costs, load, readings, transitions
@@ -382,6 +383,18 @@ def c36_calibrate(spark, d):
     return f.withColumns({"scale": r6(F.col("scale")), "offset": F.round("offset", 3), "residual": F.round("residual", 3)})
 
 
+@query("c36_robust", """
+WITH c AS (SELECT l_returnflag, least(floor((l_quantity - 0.5::DOUBLE) / 2.0::DOUBLE), 24)::BIGINT AS a, least(floor(l_extendedprice / 250.0::DOUBLE), 511)::BIGINT AS b
+           FROM lineitem WHERE l_quantity BETWEEN 0.5 AND 50.5 AND l_extendedprice BETWEEN 0 AND 128000),
+     k AS (SELECT l_returnflag, a, b, row_number() OVER (PARTITION BY l_returnflag, a ORDER BY b) AS k, count(*) OVER (PARTITION BY l_returnflag, a) AS n FROM c),
+     m AS (SELECT l_returnflag, 0.5::DOUBLE + (a + 0.5::DOUBLE) * 2 AS x, (b + 0.5::DOUBLE) * 250 AS y FROM k WHERE k = (n + 1) // 2),
+     s AS (SELECT p.l_returnflag, quantile_cont((q.y - p.y) / (q.x - p.x), 0.5) AS scale FROM m p JOIN m q ON p.l_returnflag = q.l_returnflag AND p.x < q.x GROUP BY p.l_returnflag)
+SELECT l_returnflag, (SELECT count(*) FROM c WHERE c.l_returnflag = s.l_returnflag) AS n, round(scale, 6) AS scale, round((SELECT quantile_cont(y - scale * x, 0.5) FROM m WHERE m.l_returnflag = s.l_returnflag), 3) AS "offset" FROM s""")
+def c36_robust(spark, d):
+    f = mergeable.robust_line(load(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice", (0.5, 50.5), (0.0, 128_000.0), 25)
+    return f.withColumns({"scale": r6(F.col("scale")), "offset": F.round("offset", 3)})
+
+
 @query("c36_mtbf", f"""
 WITH {E}, d AS (SELECT entity, us - lag(us) OVER (PARTITION BY entity ORDER BY us, id) AS d FROM e WHERE channel = 'error')
 SELECT entity, count(*) AS n_failures, round(avg(d) / 3600000000, 6) AS mtbf_hours FROM d GROUP BY entity""")
