@@ -154,7 +154,7 @@ def detections(pred: DataFrame, truth: DataFrame, image: str, iou: float) -> Dat
     w = Window.partitionBy("bin", "run").orderBy(F.desc("conf"), "id").rowsBetween(Window.unboundedPreceding, 0)
     at = cells.join(before, ["bin", "run"]).withColumns({"tp": F.col("h0") + F.sum("hit").over(w), "k": F.col("n0") + F.count(F.lit(1)).over(w)})
     precision = F.sum(F.when(F.col("hit") == 1, F.col("tp") / F.col("k")))
-    told = at.agg(F.count(F.lit(1)).alias("n_pred"), F.sum("hit").alias("tp"), precision.alias("s")).join(F.broadcast(n_truth))
+    told = at.agg(F.count(F.lit(1)).alias("n_pred"), F.coalesce(F.sum("hit"), F.lit(0)).alias("tp"), precision.alias("s")).join(F.broadcast(n_truth))
     rates = [F.try_divide("tp", n).alias(c) for n, c in (("n_pred", "precision"), ("n_truth", "recall"))]
     return told.select("n_pred", "n_truth", "tp", *rates, F.try_divide(F.coalesce("s", F.lit(0.0)), "n_truth").alias("ap"))
 
