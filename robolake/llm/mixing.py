@@ -4,9 +4,9 @@ Each source gets a target, its share by weight of the words wanted; each of its
 copies. Laid end to end, the expected copies of a source's documents form a line; one random offset shifts it, and a
 document is emitted once for each whole number that its piece of the line crosses.
 
-No task holds a source. A document lies in a cell: source, size class, and the first hex digits of a hash, one digit and one more each
+No task holds a source. A document lies in a cell: source, size class, and the first hex digits of a hash of its id and text, one digit and one more each
 time that a source has sixteen times more rows, so that a cell has about CELL_ROWS rows at most. The line runs through the cells in
-order and inside a cell by size and id. Where a cell begins follows from the cells' sums alone, a row for each cell.
+order and inside a cell by size, id and hash. Where a cell begins follows from the cells' sums alone, a row for each cell.
 Neighbours on the line have like sizes, so the words taken come near the target too.
 Expected copies are whole multiples of 1 / UNIT, so that sums don't depend on their order. Where a cell begins is kept modulo UNIT: what is
 crossed between two places stays the same when both move by whole numbers, so a source may have any number of documents.
@@ -74,14 +74,16 @@ def draw(
     """For each row how often it is taken: doc_id, source, size, source_size, target, copies.
 
     Size is the number of words; a null text has none. A null source is a source of its own, after all others. Sources
-    without words have target 0 and none of their rows is taken; a row of size 0 in another source may be. Rows of equal id and size in a source
-    take their places in any order. Other columns aren't read. The same rows and seed give the same result, however they are dealt
+    without words have target 0 and none of their rows is taken; a row of size 0 in another source may be. Rows of equal id and text in a source
+    take their places in any order; nulls and repeated ids are dealt by their texts. Other columns aren't read. The same rows and seed give the same result, however they are dealt
     out. The result is a written table.
     """
     name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     with Scratch(docs.sparkSession) as tmp:
         keys = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source")]
-        read = docs.select(*keys, words(F.col(text_col)).alias("size"))
+        mark = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))), 1, 16)
+        read = docs.select(*keys, F.col(text_col).cast("string").alias("text")).withColumn("size", words(F.col("text")))
+        read = read.withColumn("mark", mark).drop("text")
         rows = tmp.written(read.withColumn("key", name), "rows")
         sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
         aims = tmp.written(targets(sizes, weights, share, most).withColumn("key", name).drop("source"), "targets")
@@ -93,11 +95,11 @@ def _taken(rows: DataFrame, aims: DataFrame, seed: int) -> DataFrame:
     offset = _hex(F.concat(F.lit(f"{seed}:"), "key"), F.lit(7))
     aims = aims.withColumns({"expected": rate.cast("long"), "offset": offset, "digits": _digits(F.col("n_rows"))})
     cell = ["key", "class", "part"]
-    part = _hex(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("digits"))
+    part = F.conv(F.col("mark").substr(F.lit(1), F.col("digits")), 16, 10).cast("long")
     placed = lookup(rows, aims, "key", "n_rows").withColumns({"class": size_class(F.col("size")), "part": part})
     cells = placed.groupBy(*cell).agg((F.sum("expected") % UNIT).alias("width"))
     begins = cells.select(*cell, ((F.sum("width").over(Window.partitionBy("key").orderBy("class", "part")) - F.col("width")) % UNIT).alias("begin"))
-    inside = F.sum("expected").over(Window.partitionBy(*cell).orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("expected").over(Window.partitionBy(*cell).orderBy("size", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0))
     copies = F.expr(f"end div {UNIT} - (end - expected) div {UNIT}")
     told = placed.join(begins, cell).withColumn("end", F.col("offset") + F.col("begin") + inside)
     return told.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
@@ -120,7 +122,7 @@ def mix(
 
 _SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce('s' || source, 'n') AS key,
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS key, substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 16) AS mark,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, key, sum(size)::BIGINT AS source_size, 1 + {digits} AS digits,
@@ -137,14 +139,14 @@ WITH d AS (
 ), t AS (
   SELECT key, source_size, digits, CASE WHEN final IS NULL THEN cap ELSE least(cap, weight * final) END AS target FROM f
 ), r AS (
-  SELECT d.doc_id, d.key, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.key, d.size, d.mark, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size * 268435456)::BIGINT ELSE 0 END AS expected,
          ('0x' || substr(md5('0:' || d.key), 1, 7))::BIGINT AS offset_,
          CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 8 + (size >> (length(bin(size)) - 4)) END AS class,
-         ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, t.digits))::BIGINT AS part
+         ('0x' || substr(d.mark, 1, t.digits))::BIGINT AS part
   FROM d JOIN t USING (key)
 ), e AS (
-  SELECT *, offset_ + sum(expected) OVER (PARTITION BY key ORDER BY class, part, size, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS end_ FROM r
+  SELECT *, offset_ + sum(expected) OVER (PARTITION BY key ORDER BY class, part, size, doc_id NULLS FIRST, mark ROWS UNBOUNDED PRECEDING) AS end_ FROM r
 )
 SELECT doc_id, size, source_size, target, (((end_ // 268435456) - ((end_ - expected) // 268435456)) * size)::BIGINT AS taken FROM e
 """

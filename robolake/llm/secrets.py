@@ -35,19 +35,24 @@ OWNERS = 2
 #: Distinct repositories from which on a value of fewer owners counts as one too: an owner may use a credential in some.
 REPOS = 10
 
-_MATCH = "array<struct<kind:int,gap:long,size:long,value:string>>"
+_MATCH = "array<struct<kind:int,gap:long,size:long,good:boolean,hash:binary>>"
 
 
 def _matches(text: Column, kind: int, pattern: str, group: int, least: int, hint: str) -> Column:
-    """The matches in a text in order: the length of the gap before, the match's length, in code points, and the value.
+    """The matches in a text in order: the length of the gap before, the match's length, in code points, whether the value can be a secret, and its
+    digest; values themselves are never written.
 
-    The text is gone over for the hint, and if that holds for the gaps and the matches; the value comes from its short match.
+    The text is gone over for the hint, and if that holds for the gaps and the matches; the value comes from its short match. A base value
+    has the least length, a wide one a digit, a small and a capital letter.
     """
     gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     size = lambda c: F.char_length(c).cast("long")
     value = lambda m: F.regexp_extract(m, pattern, group) if group else m
     places = lambda m: [size(m["gap"]).alias("gap"), size(m["whole"]).alias("size")]
-    one = lambda m: F.struct(F.lit(kind).alias("kind"), *places(m), value(m["whole"]).alias("value"))
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")
+    good = lambda v: F.char_length(v) >= least if kind < len(BASE) else mixed(v)
+    told = lambda v: [good(v).alias("good"), F.unhex(F.md5(v)).alias("hash")]
+    one = lambda m: F.struct(F.lit(kind).alias("kind"), *places(m), *told(value(m["whole"])))
     row = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole")), one)
     return F.when(text.rlike(hint), row).otherwise(F.lit(None)).cast(_MATCH)
 
@@ -92,18 +97,14 @@ def _spans(rows: DataFrame) -> DataFrame:
     each = each.select("row", "owner", "repo", "k", "m.*")
     end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("k"))
     wide = len(BASE)
-    good = F.lit(False)
-    for k, (_, _, least, _) in enumerate(BASE.values()):
-        good = good | ((F.col("kind") == k) & (F.char_length("value") >= least))
-    good = good | ((F.col("kind") == wide) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]"))
-    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).filter(good)
+    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).filter("good")
     of_row = Window.partitionBy("row").orderBy("start", "kind")
     base = F.col("kind") < wide
     before = F.max(F.when(base, F.col("end"))).over(of_row.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(base, F.col("start"))).over(of_row.rowsBetween(1, Window.unboundedFollowing))
     clear = base | ~(F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False)))
     kept = placed.withColumn("clear", clear).filter("clear")
-    return kept.select("row", "owner", "repo", "kind", "start", "end", F.unhex(F.md5("value")).alias("hash"))
+    return kept.select("row", "owner", "repo", "kind", "start", "end", "hash")
 
 
 def _told(rows: DataFrame, judged: DataFrame) -> DataFrame:
