@@ -25,6 +25,8 @@ ENDS = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
     "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
 }
+#: Tags that say what a part of the page is.
+PARTS = frozenset("article aside main nav header footer form section dialog figure table blockquote button select noscript body".split())
 INSIDE_P = BLOCK - {"button", "iframe", "noscript", "object", "select", "option", "optgroup", "textarea", "video", "audio", "canvas", "svg", "template"}
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -34,12 +36,13 @@ _STOP = re.compile(r"[>\"']")
 
 
 class Block:
-    """One stretch of text: its text, innermost tags, all tags and names around it, how many letters are in links, and which element holds it."""
+    """One stretch of text: its text, innermost tags, the innermost tag that says what a part is, all tags and names around it, the names of the innermost
+    element that has any, how many letters are in links, and which element holds it."""
 
-    __slots__ = ("holder", "linked", "names", "tag", "tags", "text", "up")
+    __slots__ = ("holder", "linked", "names", "near", "part", "tag", "tags", "text", "up")
 
-    def __init__(self, text: str, tag: str, up: str, tags: Counter, names: list[str], linked: float, holder: int):
-        self.text, self.tag, self.up, self.tags, self.names, self.linked, self.holder = text, tag, up, tags, names, linked, holder
+    def __init__(self, text: str, tag: str, up: str, part: str, near: list[str], tags: Counter, names: list[str], linked: float, holder: int):
+        self.text, self.tag, self.up, self.part, self.near, self.tags, self.names, self.linked, self.holder = text, tag, up, part, near, tags, names, linked, holder
 
 
 def _names(attributes: str) -> list[str]:
@@ -57,7 +60,7 @@ class _Reader:
     def __init__(self, page: str, known: frozenset[str] | None):
         self.page, self.known = page, known
         self.stack: list[tuple[str, list[str]]] = []  # tag, names
-        self.held: list[tuple[str, int]] = []  # the block-level ones, with the number of the element
+        self.held: list[tuple[str, int, str, list[str]]] = [("body", 0, "body", [])]  # the block-level ones: tag, number of the element, part, nearest names
         self.tags: Counter = Counter()
         self.names: Counter = Counter()
         self.pieces: list[tuple[str, bool]] = []
@@ -70,9 +73,9 @@ class _Reader:
         text = " ".join("".join(t for t, _ in self.pieces).split())
         if text:
             linked = sum(len(t) - t.count(" ") for t, a in self.pieces if a) / max(1, sum(len(t) - t.count(" ") for t, _ in self.pieces))
-            tag, holder = self.held[-1] if self.held else ("body", 0)
-            up = self.held[-2] if len(self.held) > 1 else ("body", 0)
-            self.blocks.append(Block(text, tag, up[0], self.tags.copy(), list(self.names), linked, up[1] if tag in ("p", "li") else holder))
+            tag, holder, part, near = self.held[-1]
+            up = self.held[-2] if len(self.held) > 1 else self.held[0]
+            self.blocks.append(Block(text, tag, up[0], part, near, self.tags.copy(), list(self.names), linked, up[1] if tag in ("p", "li") else holder))
         self.pieces = []
 
     def push(self, tag: str, attributes: str) -> None:
@@ -80,7 +83,8 @@ class _Reader:
         self.elements += 1
         self.stack.append((tag, names))
         if tag in BLOCK:
-            self.held.append((tag, self.elements))
+            _, _, part, near = self.held[-1]
+            self.held.append((tag, self.elements, tag if tag in PARTS else part, names or near))
         self.tags[tag] += 1
         self.names.update(names)
 
@@ -208,6 +212,8 @@ def own_features(b: Block) -> tuple[list[str], str]:
     out = [f"tag {b.tag}", f"up {b.up}", f"size {size}", f"link {link}", f"ends {ends}", f"commas {commas}", f"tag {b.tag} link {link}", f"size {size} ends {ends}"]
     out += [f"in {t}" for t in b.tags if t in BLOCK]
     out += [f"name {n}" for n in b.names]
+    out += [f"near {n}" for n in b.near]
+    out += [f"part {b.part}", f"part {b.part} tag {b.tag}"]
     if b.tags["article"] > 1:
         out.append("articles")
     if not b.names:

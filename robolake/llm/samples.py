@@ -110,7 +110,7 @@ class _Page:
         form = self.rng.choice(("li", "li", "li", "div", "bar", "td"))
         item = lambda: f'<a href="/{self.rng.randrange(999)}">{html.escape(self.words(1, self.rng.choice((1, 2, 4, 8))))}</a>'
         if form == "bar":
-            self.add(self.rng.choice((" | ", " &middot; ", " &raquo; ", " / ")).join(item() for _ in range(n)))
+            self.add(self.rng.choice((" | ", " &middot; ", " &raquo; ", " / ", " ", "\n")).join(item() for _ in range(n)))
         elif form == "div":
             self.add(*[f"<div>{item()}</div>" for _ in range(n)])
         elif form == "td":
@@ -130,10 +130,11 @@ class _Page:
     def header(self) -> None:
         tag = self.rng.choice(("header", "header", "div"))
         self.add(f"<{tag}{self.attributes(HEAD, 0.5 if tag == 'header' else 1.0)}>")
-        self.add(f"<{self.rng.choice(('div', 'p', 'h1', 'h2'))}><a href='/'>{html.escape(self.words(1, 3))}</a>")
+        inner, title = self.rng.choice(("div", "p", "h1", "h1", "h2")), html.escape(self.words(1, self.rng.choice((3, 8))))
+        self.add(f"<{inner}><a href='/'>{title}</a></{inner}>" if self.some(0.5) else f"<{inner}>{title}</{inner}>")
         if self.some(0.6):
-            self.add(f"<p>{self.text(self.words(2, 9))}</p>")
-        if self.some(0.5):
+            self.add(f"<p>{self.text(self.words(2, 9) if self.some(0.5) else self.prose(2, 30))}</p>")
+        if self.some(0.4):
             self.menu()
         self.add(f"</{tag}>")
 
@@ -151,11 +152,17 @@ class _Page:
         self.add(f"</{tag}>")
 
     def advert(self) -> None:
-        self.boxed(("div", "div", "div", "ins", "section", "aside"), ADVERT, 2, 25)
+        self.boxed(("div", "div", "div", "ins", "section", "aside"), ADVERT if self.some(0.6) else ADVERT[:3], 2, 60)
 
     def notice(self) -> None:
         self.boxed(("div", "div", "section", "aside", "dialog"), NOTICE, 5, 45, 0.6)
 
+    def aside(self) -> None:
+        """Prose and nothing else, as long as a paragraph of the article."""
+        tag = self.rng.choice(("aside", "aside", "div"))
+        said = "".join(f"<p>{self.text(self.prose(5, 70))}</p>" for _ in range(self.rng.randint(1, 3)))
+        self.add(f"<{tag}{self.attributes(self.rng.choice((SIDE, NOTICE, ADVERT)), 0.4 if tag == 'aside' else 1.0)}>{said}</{tag}>")
+
     def form(self) -> None:
         self.add(f"<form{self.attributes(FORM, 0.6)}>")
         if self.some(0.5):
@@ -260,11 +267,11 @@ class _Page:
             self.add(f"<{tag}{self.attributes(MAIN if k == len(outer) - 1 or tag == 'main' else PLAIN, named)}>")
         if self.some(0.85):
             self.content(r.choice(("h1", "h1", "h1", "h2")), self.words(1, 14))
-        noise = [self.advert, self.notice, self.side, self.form, self.share] if self.some(0.4) else []
+        noise = [self.advert, self.advert, self.notice, self.aside, self.side, self.form, self.share] if self.some(0.6) else []
         n = r.choice((1, 2, 4, 8, 16, 25))
         for k in range(n):
             self.part()
-            if noise and self.some(0.2) and k < n - 1:
+            if noise and self.some(0.25) and k < n - 1:
                 r.choice(noise)()
         if noise and self.some(0.4):
             r.choice([*noise, self.talk])()
@@ -276,8 +283,8 @@ class _Page:
         wrap = self.some(0.4)
         if wrap:
             self.add(f"<div{self.attributes(PLAIN)}>")
-        before: list[tuple[Callable[[], None], float]] = [(self.notice, 0.25), (self.header, 0.5), (self.menu, 0.7), (self.advert, 0.4), (self.side, 0.2), (self.form, 0.15)]
-        after: list[tuple[Callable[[], None], float]] = [(self.share, 0.2), (self.advert, 0.25), (self.side, 0.35), (self.talk, 0.4), (self.form, 0.2), (self.menu, 0.15), (self.notice, 0.15)]
+        before: list[tuple[Callable[[], None], float]] = [(self.notice, 0.25), (self.header, 0.5), (self.menu, 0.7), (self.advert, 0.4), (self.side, 0.2), (self.aside, 0.15), (self.form, 0.15)]
+        after: list[tuple[Callable[[], None], float]] = [(self.share, 0.2), (self.advert, 0.25), (self.side, 0.35), (self.aside, 0.2), (self.talk, 0.4), (self.form, 0.2), (self.menu, 0.15), (self.notice, 0.15)]
         for f, p in before:
             if self.some(p):
                 f()

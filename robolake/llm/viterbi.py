@@ -88,7 +88,7 @@ class CountOnly:
 def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, n_tokens for each row; null and empty texts have none.
 
-    One pass without a shuffle; repeated rows are counted each; a null id stays null; other columns aren't read.
+    One pass without a shuffle; repeated rows are counted each; a null id stays null; other columns aren't read; no rows give no rows.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a tokenizer's vocabulary

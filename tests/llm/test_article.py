@@ -7,6 +7,7 @@ import math
 import random
 import time
 from collections import Counter
+from html import escape
 
 import numpy as np
 import pytest
@@ -115,6 +116,39 @@ def test_pages_not_learned_from(model):
     assert np.mean([g == w for g, w in got]) > 0.85 and np.mean([overlap(g, w) if g or w else 1.0 for g, w in got]) > 0.985
 
 
+LAYOUTS = {
+    "side before": "<nav><a href=/>Home</a></nav><div class=sidebar><h3>{0}</h3><p>{1}</p></div>{a}<footer>{2}</footer>",
+    "side within": "{a:aside}<footer>{2}</footer>", "advert within": "{a:div class=ad}<footer>x</footer>", "form within": "{a:form}<div class=footer><p>{2}</p></div>",
+    "header": "<header><h1>{0}</h1><p>{1}</p></header>{a}<footer>{2}</footer>", "comments": "{a}<section class=comments><div class=comment><p>{0}</p></div><div class=comment><p>{1}</p></div></section>",
+    "comment list": "{a}<ul class=comments><li>{0}<li>{1}</ul><footer>{2}</footer>", "comment articles": "{a}<div id=comments><article class=comment><p>{0}</p></article></div>",
+    "notice": '<div id="cookie-notice" role="dialog"><p>{0}</p><button>OK</button></div>{a}', "menu": "<div class=menu><a href=/>Home</a> <a href=/b>Blog</a></div>{a}<div class=footer>{2}</div>",
+}
+
+
+class Article(str):
+    """An article that puts a part after its first paragraph where the layout asks for one."""
+
+    def __format__(self, spec):
+        said = f"<{spec}><p>{self.inside}</p></{spec.split()[0]}>" if spec else ""
+        return str(self).replace("</p>", "</p>" + said, 1)
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div class=content", "div id=main", "section class=article-text"])
+def test_layouts(spark, sf, model, outer):
+    """Real paragraphs, with prose of other documents around and between them."""
+    docs = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) > 300").orderBy("doc_id").limit(60).collect()]
+    rng, known, right = random.Random(1), names(model), []
+    for layout in LAYOUTS.values():
+        for _ in range(6):
+            lines = [" ".join(line.split()) for line in rng.choice(docs).split("\n") if line.strip()]
+            title = " ".join(lines[0][:60].split())
+            page = Article(f"<{outer}><h1>{escape(title)}</h1>" + "".join(f"<p>{escape(t)}</p>" for t in lines) + f"</{outer.split()[0]}>")
+            other = [escape(" ".join(rng.choice(docs).split()[: rng.randint(8, 60)])) for _ in range(4)]
+            page.inside = other[3]
+            right.append(main_text(f"<html><body>{layout.format(*other, a=page)}</body></html>", model, known) == "\n".join([title, *lines]))
+    assert np.mean(right) > 0.95
+
+
 def test_query_gives_whole_articles(spark, sf):
     rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = registry.QUERIES["op12_main_text"](spark, sf).collect()

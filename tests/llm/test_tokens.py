@@ -184,6 +184,14 @@ def test_open_windows_are_bounded(sizes):
         assert at == want[i]
 
 
+def test_counts_of_empty_tables_and_repeated_rows(spark):
+    pieces = viterbi.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.createDataFrame([(1, "a word"), (1, "a word"), (None, None), (2, "")], "doc_id long, text string").selectExpr("*", "'c' as n_chars")
+    got = sorted(((r.doc_id, r.n_chars, r.n_tokens) for r in viterbi.count_tokens(docs, pieces).collect()), key=str)
+    assert got[0] == got[1] and got[0][:2] == (1, 6) and got[2:] == [(2, 0, 0), (None, 0, 0)]
+    assert viterbi.count_tokens(docs.limit(0), pieces).count() == 0
+
+
 def test_counts_equal_library(spark):
     pieces = viterbi.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     t = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
