@@ -160,7 +160,8 @@ def similar_classes(df: DataFrame, id_col: str, text: str, percent: int = 80) ->
     """A row for each text with tokens: the smallest id of its set, of its cluster, and the number of texts that it is directly similar to.
 
     Clusters are what links between similar sets connect. Texts of one set are linked with each other and with all that the set is linked with. Sets
-    without a similar one are clusters of their own; null and blank texts have no tokens and no row. The result is written.
+    without a similar one are clusters of their own; null and blank texts have no tokens and no row, nor has a set that only texts without an id have.
+    The result is written.
     """
     with Rounds(df.sparkSession) as rounds:
         texts, told = similar_sets(df, id_col, text, percent, rounds)

@@ -67,20 +67,25 @@ def c03_resample(spark, d):
     return timeline.resample(readings(spark, d).filter("channel = 'view'"), "entity", "us", "value", "id", 6 * H)
 
 
-@query("c04_clean", r"""
-WITH s AS (SELECT avg(n_chars) AS m, stddev_samp(n_chars) AS sd FROM documents),
+_REASONS = r"""s AS (SELECT avg(n_chars) AS m, stddev_samp(n_chars) AS sd FROM documents),
      d AS (SELECT doc_id, text, n_chars, length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) / length(text) AS odd,
-                  1 - len(list_distinct(string_split(text, chr(10)))) / len(string_split(text, chr(10))) AS again FROM documents)
-SELECT coalesce(CASE WHEN text IS NULL THEN 'null' WHEN trim(text) = '' THEN 'empty' WHEN length(text) < 50 THEN 'short' WHEN odd > 0.3 THEN 'symbols'
-       WHEN again > 0.5 THEN 'repeated' WHEN sd > 0 AND abs(n_chars - m) > 3 * sd THEN 'outlier' END, 'clean') AS reason, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id
-FROM d, s GROUP BY 1""")
+                  1 - len(list_distinct(string_split(text, chr(10)))) / len(string_split(text, chr(10))) AS again FROM documents),
+     r AS (SELECT doc_id, CASE WHEN text IS NULL THEN 'null' WHEN trim(text) = '' THEN 'empty' WHEN length(text) < 50 THEN 'short' WHEN odd > 0.3 THEN 'symbols'
+                  WHEN again > 0.5 THEN 'repeated' WHEN sd > 0 AND abs(n_chars - m) > 3 * sd THEN 'outlier' END AS reason FROM d, s)"""
+
+
+@query("c04_clean", f"WITH {_REASONS} SELECT coalesce(reason, 'clean') AS reason, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM r GROUP BY 1")
 def c04_clean(spark, d):
-    c = quality.clean(load(spark, d, "documents"), "text", F.col("n_chars"))
-    return c.groupBy(F.coalesce("reason", F.lit("clean")).alias("reason")).agg(
+    return c04_reasons(spark, d).groupBy(F.coalesce("reason", F.lit("clean")).alias("reason")).agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")
     )
 
 
+@query("c04_reasons", f"WITH {_REASONS} SELECT doc_id, reason FROM r")
+def c04_reasons(spark, d):
+    return quality.clean(load(spark, d, "documents"), "text", F.col("n_chars")).select("doc_id", "reason")
+
+
 @query("c04_outliers", """
 WITH q AS (SELECT source, quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.75) AS q3 FROM documents GROUP BY source)
 SELECT doc_id, source, n_chars FROM documents JOIN q USING (source) WHERE n_chars < q1 - 1.5 * (q3 - q1) OR n_chars > q3 + 1.5 * (q3 - q1)""")

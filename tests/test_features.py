@@ -170,3 +170,22 @@ def test_windows_without_hot_keys_are_plain(spark):
     got = timeline.tickets(df, "k", "us", "tie", 3)
     assert plan(got).count("Exchange") == 1 and "Join" not in plan(got)
     assert rows(got, "k", "ticket", "n_events") == rows(timeline.tickets(df, "k", "us", "tie", 3, hot=7), "k", "ticket", "n_events")
+
+
+@pytest.mark.parametrize("large", [0, ledger.LARGE])
+def test_clusters_with_a_hub_and_a_long_chain(spark, large):
+    rng = random.Random(3)
+    links = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = ledger.clusters(spark.createDataFrame(links, "u long, v long").repartition(3), large)
+    assert rows(got, "node", "cluster") == sorted(((x, root(x)) for x in list(up)), key=str)
+    assert ledger.clusters(spark.createDataFrame([], "u long, v long"), large).count() == 0
