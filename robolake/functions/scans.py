@@ -72,3 +72,17 @@ def _doubled(rows: DataFrame, window, name: str, compose: Compose, n: int) -> Da
         rows = rows.withColumn(name, one).drop("__earlier")
         step *= 2
     return rows
+
+
+def numbered(df: DataFrame, key: str, order: tuple[str, ...], rounds: Rounds) -> DataFrame:
+    """df with __k, the number of a row in the order of its key, from 1, and __n, the rows of its key; no key is sorted in one task.
+
+    Slices are counted, a row each, and what lies before a slice is added to the numbers in it. order tells the rows of a key apart.
+    """
+    scan = Scan(df, key, order, rounds)
+    each = scan.rows.groupBy(key, SLICE).agg(F.count(F.lit(1)).alias("__size"))
+    over = Window.partitionBy(key)
+    before = F.sum("__size").over(over.orderBy(SLICE)) - F.col("__size")
+    each = each.select(F.col(key).alias("__key"), F.col(SLICE).alias("__of"), before.alias("__before"), F.sum("__size").over(over).alias("__n"))
+    met = scan.rows.join(each, F.col(key).eqNullSafe(F.col("__key")) & (F.col(SLICE) == F.col("__of")))
+    return met.withColumn("__k", F.row_number().over(scan.window) + F.col("__before")).select(*df.columns, "__k", "__n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from robolake.functions.columns import Z95, bin_of, hash_mod, wilson
 from robolake.functions.quantiles import percentiles
+from robolake.functions.scans import numbered
 from robolake.functions.scratch import Rounds
 from robolake.functions.slices import HOT, SLICE, carried, real, sliced
 
@@ -220,6 +221,21 @@ def discretise(df: DataFrame, by: str, value: str, lo: float, hi: float, n: int)
     )
 
 
+def ranks(df: DataFrame, by: str, value: str, tie: str, parts: int, nth: int) -> DataFrame:
+    """tie, an id, for each row with its place in its group by value and tie: which of ``parts`` equal parts it is in, its share of the rows before and up to it, its
+    rank by value alone, and the id that stands nth (null in smaller groups). A group may have any number of rows. The result is written."""
+    with Rounds(df.sparkSession) as rounds:
+        rows = rounds.written(numbered(df.select(by, value, tie), by, (value, tie), rounds))
+        k, n = F.col("__k"), F.col("__n")
+        first = rows.groupBy(F.col(by).alias("__by"), F.col(value).alias("__value")).agg(F.min("__k").alias("rank"))
+        at = rows.filter(k == nth).select(F.col(by).alias("__group"), F.col(tie).alias("nth"))
+        size, more = F.expr(f"__n div {parts}"), n % parts
+        part = F.when(k <= more * (size + 1), F.expr(f"(__k - 1) div (__n div {parts} + 1) + 1")).otherwise(more + F.expr(f"try_divide(__k - __n % {parts} * (__n div {parts} + 1) - 1, __n div {parts})").cast("long") + 1)
+        met = rows.join(first, F.col(by).eqNullSafe(F.col("__by")) & F.col(value).eqNullSafe(F.col("__value"))).join(at, F.col(by).eqNullSafe(F.col("__group")), "left")
+        share = F.coalesce(F.try_divide(k - 1, n - 1), F.lit(0.0)).alias("share")
+        return rounds.result(met.select(tie, part.cast("long").alias("part"), share, (k / n).alias("upto"), F.col("rank").cast("long").alias("rank"), "nth"))
+
+
 def top_similar(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, most: int = 10_000) -> DataFrame:
     """The k rows most similar by cosine to each query, itself excepted (ties by rounded cosine: smaller key).
 
