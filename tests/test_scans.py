@@ -106,3 +106,26 @@ def test_one_slice_and_none(spark, data):
     want = filtered(by["gaps"], 1.0, 25.0)
     assert all(same(r["estimate"], want[3 * r["t"] + r["id"]][0]) for r in got) and len(got) == 200
     assert recursive.kalman(df.limit(0), "k", ("t", "id"), "v", 1.0, 25.0).count() == 0
+
+
+def test_ranks_over_many_slices(spark, many):
+    """Places of rows in groups that fill several slices, with ties, null groups and values, and groups smaller than the number of parts."""
+    from robolake.operators import evaluation
+
+    rng = random.Random(6)
+    data = [("big", rng.randrange(40)) for _ in range(900)] + [("few", 3), ("few", 3), (None, 1), (None, None), (None, 1), ("one", None)]
+    df = spark.createDataFrame([(g, v, i) for i, (g, v) in enumerate(data)], "g string, v long, id long").repartition(5)
+    got = {r["id"]: (r["part"], r["share"], r["upto"], r["rank"], r["nth"]) for r in evaluation.ranks(df, "g", "v", "id", 4, 2).collect()}
+    groups: dict = {}
+    for i, (g, v) in enumerate(data):
+        groups.setdefault(g, []).append((v is not None, v or 0, i))
+    for members in groups.values():
+        members.sort()
+        n = len(members)
+        size, more = divmod(n, 4)
+        parts = [k + 1 for k in range(4) for _ in range(size + (k < more))]
+        for k, (there, v, i) in enumerate(members):
+            rank = 1 + sum(m[:2] < (there, v) for m in members)
+            nth = members[1][2] if n > 1 else None
+            assert got[i] == (parts[k], k / (n - 1) if n > 1 else 0.0, (k + 1) / n, rank, nth)
+    assert evaluation.ranks(df.limit(0), "g", "v", "id", 4, 2).count() == 0
