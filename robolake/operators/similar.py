@@ -82,14 +82,14 @@ def _families(sets: DataFrame, postings: DataFrame, rounds: Rounds, percent: int
 
 def _root_pairs(sets: DataFrame, postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs x, y of representatives, each once, whose families may hold a link: they are no farther from each other than threshold and both radii."""
-    far, half = 1 - percent / 100, (1 - percent / 100) / 2
+    far, widest = 1 - percent / 100, roots.agg(F.max("rho")).first()[0] or 0.0
     rows = postings.join(roots.select("id", "rho"), "id").withColumn("single", F.col("rho") == 0)
     side = lambda df, i: df.select("t", *[F.col(c).alias(f"{c}{i}") for c in ("id", "n", "k", "rho", "single")])
     least = 1 - far - F.col("rhox") - F.col("rhoy") - SLACK
     sized = F.least("nx", "ny") >= F.greatest("nx", "ny") * least
     enough = (F.least(F.col("nx") - F.col("kx"), F.col("ny") - F.col("ky")) + 1) * (1 + least) >= (F.col("nx") + F.col("ny")) * least
     base = rows.filter(F.col("single") & (F.col("k") <= _prefix(F.lit(1 - far))))
-    wide = rows.filter(F.col("k") <= _prefix(1 - far - half - F.col("rho")))
+    wide = rows.filter(F.col("k") <= _prefix(1 - far - widest - F.col("rho")))
     alone = side(base, "x").join(side(base, "y"), "t").filter(F.col("idx") < F.col("idy"))
     mixed = side(wide.filter(~F.col("single")), "x").join(side(wide, "y"), "t").filter((F.col("idx") != F.col("idy")) & (F.col("singley") | (F.col("idx") < F.col("idy"))))
     pairs = alone.unionByName(mixed).filter(sized & enough).select(F.col("idx").alias("x"), F.col("idy").alias("y"), "rhox", "rhoy").distinct()
