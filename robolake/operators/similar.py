@@ -21,10 +21,11 @@ SLACK = 1e-9
 
 
 def token_sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Each text's sorted distinct white-space tokens and a digest of them; texts without tokens have none."""
+    """Each text's distinct white-space tokens, as 64-bit hashes, and a digest of the tokens themselves; texts without tokens have none."""
     tokens = F.array_sort(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda t: t != "")))
     rows = df.select(F.col(id_col).alias("id"), tokens.alias("tokens")).filter(F.size("tokens") > 0)
-    return rows.withColumn("set", F.sha2(F.array_join("tokens", " "), 256))
+    named = rows.withColumn("set", F.unhex(F.sha2(F.array_join("tokens", " "), 256)))
+    return named.withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t)))
 
 
 def _common(pairs: DataFrame, sets: DataFrame, x: str, y: str) -> DataFrame:
