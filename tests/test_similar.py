@@ -82,3 +82,53 @@ def test_edges(spark):
     got = sorted(((r["id"], r["class"], r["cluster"], r["n_links"]) for r in similar.similar_classes(df, "id", "text").filter("class = 1").collect()), key=str)
     assert got == sorted([(1, 1, 1, 2), (2, 1, 1, 2), (None, 1, 1, 2)], key=str)
     assert similar.similar_classes(df.limit(0), "id", "text").count() == 0 and similar.similar_representatives(df.limit(0), "id", "text").count() == 0
+
+
+def check_pairs(spark, docs, percent):
+    """Every pair of different sets with its similarity, and every text under its set."""
+    sets = {i: frozenset(t.split()) for i, t in docs if t and t.split()}
+    first: dict = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    want = {("member", first[s], i, 1.0) for i, s in sets.items()}
+    for s, x in first.items():
+        want |= {("pair", x, y, len(s & t) / len(s | t)) for t, y in first.items() if x < y and 100 * len(s & t) >= percent * len(s | t)}
+    df = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    got = [tuple(r) for r in similar.similar_pairs(df, "id", "text", percent).select("kind", "x", "y", "jaccard").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    return sum(k == "pair" for k, *_ in got)
+
+
+@pytest.mark.parametrize("block", [3, 256])
+@pytest.mark.parametrize("percent", [60, 80])
+def test_pairs_of_families_and_their_members(spark, monkeypatch, percent, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rnd = random.Random(11)
+    docs = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(9)))) for i in range(120)]
+    base = [[f"w{rnd.randrange(400)}" for _ in range(50)] for _ in range(3)]
+    for i in range(150):
+        words = list(base[i % 3])
+        for _ in range(rnd.choice((0, 0, 1, 2, 3, 5, 8, 12))):
+            words[rnd.randrange(50)] = f"x{rnd.randrange(60)}"
+        docs.append((1000 - i, " ".join(words)))
+    docs += [(2000, None), (2001, " \n"), (2002, "")]
+    assert check_pairs(spark, docs, percent) > 500
+
+
+def test_near_lists_each_link_and_each_text(spark, sf):
+    """c05_near gives the pairs themselves, not only how many a set has."""
+    from robolake.plans import data
+
+    got = data.c05_near(spark, sf)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    classes, near = brute(docs, 80)
+    assert {(r["y"], r["x"]) for r in got.filter("kind = 'member'").collect()} == {(i, c) for i, c, *_ in classes}
+    ends = [i for r in got.filter("kind = 'pair'").collect() for i in (r["x"], r["y"])]
+    assert {i: ends.count(i) for i in ends} == {i: n for i, n, _ in near}
+
+
+def test_pairs_without_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (None, "b a"), (None, "q"), (3, "a b c d e"), (4, "a b c d e f")], "id long, text string")
+    got = {tuple(r) for r in similar.similar_pairs(df, "id", "text").collect()}
+    assert {r for r in got if r[0] == "pair"} == {("pair", 3, 4, 5 / 6)} and ("member", 1, None, 1.0) in got and len(got) == 6
+    assert similar.similar_pairs(df.limit(0), "id", "text").count() == 0
