@@ -246,6 +246,35 @@ def test_score_of_empty_text(spark, tmp_path):
     assert data.c09_score(spark, str(tmp_path)).count() == 3 and data.c09_gate(spark, str(tmp_path)).first()["n"] == 2
 
 
+def test_scores_of_odd_texts_as_in_sql(spark, tmp_path):
+    """An empty text, none, and texts of 2560 characters whose scores lie in the middle of two sixth decimals."""
+    from compare import connect
+
+    from robolake.plans import data
+
+    texts = ["", None, "abc\nabc", *["a" * n + "1" * (2560 - n) for n in range(5, 1000, 10)]]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    told = lambda r: tuple(repr(v) for v in r)
+    want = {told(r) for r in con.sql(data.SQL["c09_score"]).fetchall()}
+    assert {told(r) for r in data.c09_score(spark, str(tmp_path)).collect()} == want
+    assert {w[1] for w in want} >= {"nan", "None"}
+
+
+def test_rounding_as_in_sql(spark):
+    import duckdb
+
+    from robolake.functions.columns import r6
+
+    ties = [(2 * k + 1) / 2e6 for k in range(1, 10**8, 10_007)] + [64.0001595, -64.0001595, float("inf"), float("nan"), None]
+    got = spark.createDataFrame([(x,) for x in ties], "x double").select(r6(F.col("x")).alias("r")).collect()
+    con = duckdb.connect()
+    assert [repr(r["r"]) for r in got] == [repr(con.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0]) for x in ties]
+
+
 def test_detections_of_one_confidence(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "RUN", 10)
     box = lambda n, conf: spark.range(n).selectExpr("id", "id % 5 as image", "0.0 + id as x0", "0.0D as y0", "2.0 + id as x1", "2.0D as y1", f"{conf} as conf")
