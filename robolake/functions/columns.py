@@ -22,6 +22,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b in doubles as SQL divides them: by 0, infinite by both signs, or NaN for 0 / 0; null only where a side is."""
+    return F.when(b != 0, F.try_divide(a, b)).otherwise(a * F.pow(b, F.lit(-1.0)))
+
+
 def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column, Column]:
     """Success rate and the bounds of its Wilson score interval; all null if n is 0."""
     m = F.when(n > 0, n.cast("double"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from robolake.functions.columns import ratio
 from robolake.functions.quantiles import percentiles
 from robolake.functions.slices import GHOST, HOT, SLICE, carried, real, sliced, upto
 
@@ -212,7 +213,7 @@ SALTS = 16
 
 
 def step_response(df: DataFrame, key: str, us: str, tie: str, value: str, band: float) -> DataFrame:
-    """Overshoot over the last value, as a share of it, and the time of the last row outside the band around it.
+    """Overshoot over the last value, as a share of it (infinite over a last value of 0, NaN if there is none), and the time of the last row outside the band around it.
 
     The last value of a key is an aggregate; rows are dealt by key and SALTS by hash to meet it, and summed up again in two steps.
     """
@@ -225,9 +226,10 @@ def step_response(df: DataFrame, key: str, us: str, tie: str, value: str, band:
     rows = df.select(key, us, value, F.pmod(F.xxhash64(us, tie), F.lit(SALTS)).cast("int").alias("__s"))
     met = rows.join(salted, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__s") == F.col("__salt")))
     off = F.abs(F.col(value) - F.col("final")) > band * F.abs(F.col("final"))
-    late = met.groupBy(key, "__s", "final", "__top", "__begin").agg(F.max(F.when(off, F.col(us))).alias("__out"))
-    late = late.groupBy(key, "final", "__top", "__begin").agg(F.max("__out").alias("__out"))
-    overshoot = F.try_divide(F.greatest(F.col("__top") - F.col("final"), F.lit(0.0)), F.col("final"))
+    told = [F.first(c).alias(c) for c in ("final", "__top", "__begin")]  # as keys they would lose the sign of a zero
+    late = met.groupBy(key, "__s").agg(F.max(F.when(off, F.col(us))).alias("__out"), *told)
+    late = late.groupBy(key).agg(F.max("__out").alias("__out"), *told)
+    overshoot = ratio(F.greatest(F.col("__top") - F.col("final"), F.lit(0.0)), F.col("final"))
     return late.select(key, "final", overshoot.alias("overshoot"), F.coalesce(F.col("__out") - F.col("__begin"), F.lit(0)).alias("settling_us"))
 
 

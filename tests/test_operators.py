@@ -275,6 +275,24 @@ def test_rounding_as_in_sql(spark):
     assert [repr(r["r"]) for r in got] == [repr(con.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0]) for x in ties]
 
 
+def test_steps_that_end_at_zero_as_in_sql(spark, tmp_path):
+    from compare import connect
+
+    from robolake.plans import robots
+
+    values = {1: (3.0, 0.0), 2: (0.0, 0.0), 3: (-1.0, -0.0), 4: (2.0, -0.0), 5: (1.0, 2.0, 4.0), 6: (5.0, None), 7: (None, 1.0), 8: (1.0, -2.0)}
+    rows = [(k * 10 + i, i * 1000, k, "view", v) for k, vs in values.items() for i, v in enumerate(vs)]
+    events = spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double")
+    events = events.withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz")).drop("us")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    told = lambda rs: sorted(repr(tuple(r)) for r in rs)
+    got = robots.c21_step(spark, str(tmp_path)).collect()
+    assert told(got) == told(con.sql(robots.SQL["c21_step"]).fetchall())
+    assert {repr(r["overshoot"]) for r in got} >= {"inf", "-inf", "nan", "0.0"}
+
+
 def test_detections_of_one_confidence(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "RUN", 10)
     box = lambda n, conf: spark.range(n).selectExpr("id", "id % 5 as image", "0.0 + id as x0", "0.0D as y0", "2.0 + id as x1", "2.0D as y1", f"{conf} as conf")
