@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from robolake.functions.columns import Z95, bin_of, hash_mod, wilson
-from robolake.functions.quantiles import percentiles
+from robolake.functions.quantiles import percentiles, ranked
 from robolake.functions.scans import numbered
 from robolake.functions.scratch import Rounds
 from robolake.functions.slices import HOT, SLICE, carried, real, sliced
@@ -27,11 +27,8 @@ def tail(df: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
 
 
 def tail_approx(df: DataFrame, by: tuple[str, ...], value: str, accuracy: int = 10_000) -> DataFrame:
-    """The same from mergeable sketches, for groups too large to sort."""
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, 0.5, accuracy).alias("p50"),
-        F.percentile_approx(value, 0.95, accuracy).alias("p95")
-    )
+    """The values at these ranks, not interpolated, for groups too large to sort: mergeable sketches say where they are, counts which they are."""
+    return ranked(df, by, value, {"p50": 0.5, "p95": 0.95}, accuracy=accuracy)
 
 
 def regression(df: DataFrame, cell: str, version: str, success: str, base: str, cand: str, z: float = Z95) -> DataFrame:

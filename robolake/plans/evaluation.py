@@ -45,7 +45,6 @@ def e2_tail(spark, d):
 WITH {TRIALS}, r AS (SELECT cell, version, latency, row_number() OVER (PARTITION BY cell, version ORDER BY latency) AS k, count(*) OVER (PARTITION BY cell, version) AS n FROM t)
 SELECT cell, version, any_value(n) AS n, min(latency) FILTER (k >= ceil(n * 0.5)) AS p50, min(latency) FILTER (k >= ceil(n * 0.95)) AS p95 FROM r GROUP BY cell, version""")
 def e2_tail_approx(spark, d):
-    """The sketch is exact for groups of fewer rows than its accuracy, which is where its SQL holds."""
     return evaluation.tail_approx(trials(spark, d), ("cell", "version"), "latency")
 
 

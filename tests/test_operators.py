@@ -343,3 +343,31 @@ def test_more_queries_than_one_block(spark, sf):
     rows = lambda most: sorted(tuple(r) for r in evaluation.top_similar(v, q, "vec_id", "embedding", 5, most).collect())
     one = rows(10_000)
     assert len(one) == 5 * q.count() and rows(q.count()) == rows(q.count() - 1) == rows(7) == one
+
+
+@pytest.mark.parametrize("accuracy", [20, 200, 10_000])
+def test_tail_by_rank_as_in_sql(spark, tmp_path, monkeypatch, accuracy):
+    """Groups above and below the sketch's accuracy, with copies, nulls, values that aren't numbers, and none but these."""
+    from compare import connect
+
+    from robolake.plans import evaluation as plans
+
+    rnd = random.Random(accuracy)
+    odd = [None, float("nan"), float("inf"), -float("inf")]
+    kinds = {
+        "view": [rnd.random() for _ in range(3000)], "click": [float(rnd.randrange(5)) for _ in range(999)], "error": [None] * 30, "signup": [1.0, None],
+        "purchase": [rnd.choice([rnd.gauss(0, 1), rnd.gauss(0, 1), *odd]) for _ in range(2000)], None: [float("nan")] * 300 + [7.0] * 20,
+    }
+    rows = [(i, i * 977_000_000 % 2_592_000_000_000, i % 7, c, v) for c, vs in kinds.items() for i, v in enumerate(vs)]
+    events = spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double")
+    events = events.withColumn("ts", F.timestamp_micros(F.col("us") + 1_704_067_200_000_000).cast("timestamp_ntz")).drop("us")
+    events.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    told = lambda rs: sorted(repr(tuple(r)) for r in rs)
+    want = told(con.sql(plans.SQL["e2_tail_approx"]).fetchall())
+    assert told(plans.e2_tail_approx(spark, str(tmp_path)).collect()) == want
+    small = lambda df, by, value: tail(df, by, value, accuracy)
+    tail = evaluation.tail_approx
+    monkeypatch.setattr(evaluation, "tail_approx", small)
+    assert told(plans.e2_tail_approx(spark, str(tmp_path)).collect()) == want
