@@ -12,6 +12,7 @@ from robolake.functions.quantiles import percentiles, ranked
 from robolake.functions.scans import numbered
 from robolake.functions.scratch import Rounds
 from robolake.functions.slices import HOT, SLICE, carried, real, sliced
+from robolake.operators.nearest import top_similar  # noqa: F401
 
 
 def success_rate(df: DataFrame, by: tuple[str, ...], success: str, z: float = Z95) -> DataFrame:
@@ -233,26 +234,6 @@ def ranks(df: DataFrame, by: str, value: str, tie: str, parts: int, nth: int) ->
         return rounds.result(met.select(tie, part.cast("long").alias("part"), share, (k / n).alias("upto"), F.col("rank").cast("long").alias("rank"), "nth"))
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, most: int = 10_000) -> DataFrame:
-    """The k rows most similar by cosine to each query, itself excepted (ties by rounded cosine: smaller key).
-
-    Up to ``most`` queries are broadcast, after a count; more are dealt by key into blocks of about ``most``, and each pair of a block and
-    a partition of vectors is a task. Only k rows a query and task reach the shuffle of the ranking.
-    """
-    n = queries.count()
-    unit = lambda v: F.transform(v, lambda x: x.cast("double"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    q = queries.select(F.col(key).alias("query"), unit(F.col(vec)).alias("q")).withColumn("nq", norm(F.col("q")))
-    b = vectors.select(F.col(key).alias("neighbour"), unit(F.col(vec)).alias("v")).withColumn("nv", norm(F.col("v")))
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = F.broadcast(q) if n <= most else q.repartition(-(-n // most), "query").hint("shuffle_replicate_nl")
-    pairs = b.join(q, F.col("query") != F.col("neighbour")).select(
-        "query", "neighbour", F.round(F.try_divide(dot, F.col("nq") * F.col("nv")), 6).alias("cosine")
-    )
-    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
-
-
 def horizon_error(df: DataFrame, key: str, us: str, tie: str, value: str, horizons: tuple[int, ...], hot: int = HOT) -> DataFrame:
     """Mean absolute error of repeating the value h rows before, for each h."""
     rows = carried(sliced(df.select(key, us, tie, value), (key,), us, hot), (key,), (us, tie), max(horizons))
