@@ -132,3 +132,32 @@ def test_pairs_without_ids(spark):
     got = {tuple(r) for r in similar.similar_pairs(df, "id", "text").collect()}
     assert {r for r in got if r[0] == "pair"} == {("pair", 3, 4, 5 / 6)} and ("member", 1, None, 1.0) in got and len(got) == 6
     assert similar.similar_pairs(df.limit(0), "id", "text").count() == 0
+
+
+def test_bitmaps_of_large_sets(spark, monkeypatch):
+    """Large sets that share rare tokens but are far from each other don't get to a comparison of tokens; those that are close do."""
+    monkeypatch.setattr(similar, "BITS", 64)
+    rnd = random.Random(5)
+    common = [f"c{i}" for i in range(2500)]
+    docs = []
+    for i in range(60):
+        words = rnd.sample(common, rnd.choice((20, 150, 300, 900))) + [f"r{i % 6}-{j}" for j in range(3)]
+        docs.append((i, " ".join(words)))
+        for j in (1, 2, 3):
+            cut = len(words) * rnd.choice((0, 2, 10, 21)) // 100
+            docs.append((100 * j + i, " ".join(words[cut:] if j < 3 else [*words, *(f"n{i}-{m}" for m in range(cut))])))
+    check(spark, docs, 80)
+    assert check_pairs(spark, docs, 80) > 50
+    df = spark.createDataFrame(docs, "id long, text string")
+    with Rounds(spark) as rounds:
+        _, _, sets = similar._distinct(df, "id", "text", rounds)
+        postings = similar._postings(sets, rounds, 0.6)
+        size = {r["id"]: len(r["bits"]) * 64 for r in postings.collect()}
+        assert all(size[r["id"]] >= max(64, 2 * r["n"]) for r in postings.collect()) and len(set(size.values())) > 4
+        every = postings.select(similar.F.col("id").alias("x")).crossJoin(postings.select(similar.F.col("id").alias("y"))).filter("x < y")
+        near = {(r["x"], r["y"]) for r in similar._close(every, postings, "x", "y", similar.F.lit(0.8)).collect()}
+    held = {i: set(t.split()) for i, t in docs}
+    alike = lambda x, y: len(held[x] & held[y]) / len(held[x] | held[y])
+    far = [(x, y) for x in size for y in size if x < y and alike(x, y) < 0.5 and min(len(held[x]), len(held[y])) > 500]
+    assert far and not near & set(far)
+    assert {(x, y) for x in size for y in size if x < y and alike(x, y) >= 0.8} <= near
